@@ -49,7 +49,7 @@ SKEW_LIMIT = 1.0
 CARDINALITY_LIMIT = 0.9
 CARDINALITY_MIN_VALUES = 20
 
-REPORT_SCHEMA = T.StructType.fromDDL(
+REPORT_SCHEMA = (
     "duplicates_removed bigint, missing_before bigint, missing_after bigint, "
     "imputations array<struct<column: string, strategy: string, filled_count: bigint, "
     "fill_value: string>>, "
@@ -105,7 +105,7 @@ def keep_one_copy(
 ) -> DataFrame:
     """CLN1 with the result held for the later passes: cached while small, else written."""
     unique = distinct_rows(table, rows, key, limits)
-    if rows <= limits.small_rows and rows * len(table.columns) <= limits.small_cells:
+    if rows <= limits.small_rows and rows * len(table.columns) <= limits.cached_cells:
         return unique.persist(StorageLevel.MEMORY_AND_DISK)
     return settle(unique, "unique-rows")
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ _SKETCH_SIZE = 1_000
 _SKETCH_MARGIN = 0.01
 _MERGE_FANOUT = 256
 _STRIDE = 1 << 20
+# Columns handled by one scan of the input; Parquet reads each column once either way, and
+# small groups keep the generated code within what the JVM compiles.
+_COLUMNS_PER_SCAN = 4
 
 
 @dataclass
@@ -61,23 +65,36 @@ def _count_pass(
 ) -> dict[str, list[tuple]]:
     """Count, minimum and maximum per bucket; the result is bounded by the bucket number."""
     names = list(intervals)
-    cells = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(slot).alias("slot"),
-                        _bucket(_finite(values[name]), intervals[name]).alias("bucket"),
-                        _finite(values[name]).alias("value"),
-                    )
-                    for slot, name in enumerate(names)
-                ]
+    groups = [names[i : i + _COLUMNS_PER_SCAN] for i in range(0, len(names), _COLUMNS_PER_SCAN)]
+    slots = {name: slot for slot, name in enumerate(names)}
+
+    def scan(group: list[str]) -> DataFrame:
+        plain = df.select(*[_finite(values[name]).alias(f"v{slots[name]}") for name in group])
+        numbered = plain.select(
+            "*",
+            *[_bucket(F.col(f"v{slots[n]}"), intervals[n]).alias(f"b{slots[n]}") for n in group],
+        )
+        cells = numbered.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(slots[name]).alias("slot"),
+                            F.col(f"b{slots[name]}").alias("bucket"),
+                            F.col(f"v{slots[name]}").alias("value"),
+                        )
+                        for name in group
+                    ]
+                )
             )
         )
-    ).where(F.col("bucket").isNotNull())
-    counted = cells.groupBy("slot", "bucket").agg(
-        F.count("*").alias("cells"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
+        return (
+            cells.where(F.col("bucket").isNotNull())
+            .groupBy("slot", "bucket")
+            .agg(F.count("*").alias("cells"), F.min("value").alias("low"), F.max("value").alias("high"))
+        )
+
+    counted = reduce(DataFrame.unionAll, [scan(group) for group in groups])
     table = counted.toPandas().sort_values(["slot", "bucket"])
     found: dict[str, list[tuple]] = {name: [] for name in names}
     for row in table.itertuples(index=False):
@@ -185,10 +202,14 @@ def quantiles(
         return {}
     if sum(counts[name] for name in names) <= limits.small_cells:
         wanted = F.array(*[F.lit(share) for share in shares])
-        row = df.agg(
-            *[F.percentile(values[name], wanted).alias(f"p{i}") for i, name in enumerate(names)]
-        ).first()
-        return {name: tuple(row[i]) for i, name in enumerate(names)}
+        searched = [
+            df.agg(F.percentile(values[name], wanted).alias("found")).select(
+                F.lit(name).alias("column"), "found"
+            )
+            for name in names
+        ]
+        rows = reduce(DataFrame.unionAll, searched).collect()
+        return {row["column"]: tuple(row["found"]) for row in rows}
 
     ranks = {}
     for name in names:

@@ -16,7 +16,6 @@ from plumbline.functions.columns import (
     is_numeric,
     is_ordered,
     is_text,
-    numeric_value,
     quoted,
 )
 from plumbline.functions.rounding import percentage, round_exact
@@ -30,6 +29,9 @@ _FENCE_FACTOR = 1.5
 _FENCE_MIN_VALUES = 4
 _MIXED_MIN_VALUES = 5
 _MIXED_RANGE = (0.10, 0.90)
+# Columns measured by one scan.  Parquet reads each column once however they are grouped;
+# small groups keep the generated code within what the JVM compiles.
+COLUMNS_PER_SCAN = 4
 # Sums of squared or cubed deviations below this count as zero when taking the skew.
 _NO_SPREAD = 1e-14
 
@@ -93,39 +95,70 @@ def sample_skewness(value: Column) -> Column:
 
 
 def column_statistics(table: DataFrame, key: str | None = None) -> DataFrame:
-    """One row per column from one scan without a data shuffle.
+    """One row per column, without a data shuffle.
 
-    ``table`` is already normalized.  A constant column is found as nulls only, or no nulls
-    and equal extremes, which needs no distinct count."""
-    fields = data_fields(table, key)
-    rows = F.count("*")
-    measures = []
-    for position, field in enumerate(fields):
-        value = quoted(field.name)
-        nulls = F.count_if(value.isNull())
-        nothing = F.lit(None).cast("double")
-        if is_ordered(field):
-            constant = (nulls == rows) | ((nulls == 0) & (F.min(value) == F.max(value)))
-        else:
-            constant = nulls == rows
-        measures.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                rows.alias("total_rows"),
-                nulls.alias("null_count"),
-                F.coalesce(constant, F.lit(False)).alias("is_constant"),
-                (F.avg(is_number(value).cast("double")) if is_text(field) else nothing).alias(
-                    "numeric_ratio"
-                ),
-                (sample_skewness(numeric_value(field)) if is_numeric(field) else nothing).alias(
-                    "skewness"
-                ),
-            ).alias(f"m{position}")
-        )
+    ``table`` is already normalized.  A column may be constant if it is all null, or has no
+    nulls and equal extremes, which needs no distinct count.  Text is compared by digest so
+    that the aggregation buffer has a fixed width; `constant_columns` settles those."""
+    fields = list(enumerate(data_fields(table, key)))
+    groups = [fields[i : i + COLUMNS_PER_SCAN] for i in range(0, len(fields), COLUMNS_PER_SCAN)]
+    return reduce(DataFrame.unionAll, [_statistics_scan(table, group) for group in groups])
+
+
+def _statistics_scan(table: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+    measures = [_measures(position, field).alias(f"m{position}") for position, field in fields]
     gathered = table.agg(*measures)
-    return gathered.select(F.inline(F.array(*[f"m{i}" for i in range(len(fields))])))
+    return gathered.select(F.inline(F.array(*[f"m{position}" for position, _ in fields])))
+
+
+def _measures(position: int, field: T.StructField) -> Column:
+    value = quoted(field.name)
+    rows = F.count("*")
+    nulls = rows - F.count(value)
+    constant = nulls == rows
+    if is_ordered(field):
+        seen = F.xxhash64(value) if _has_variable_width(field) else value
+        constant = constant | ((nulls == 0) & (F.min(seen) == F.max(seen)))
+    nothing = F.lit(None).cast("double")
+    numeric_ratio = F.avg(is_number(value).cast("double")) if is_text(field) else nothing
+    skewness = sample_skewness(value.cast("double")) if is_numeric(field) else nothing
+    return F.struct(
+        F.lit(position).alias("position"),
+        F.lit(field.name).alias("column"),
+        F.lit(field.dataType.simpleString()).alias("data_type"),
+        rows.alias("total_rows"),
+        nulls.alias("null_count"),
+        F.coalesce(constant, F.lit(False)).alias("may_be_constant"),
+        numeric_ratio.alias("numeric_ratio"),
+        skewness.alias("skewness"),
+    )
+
+
+def _has_variable_width(field: T.StructField) -> bool:
+    return isinstance(
+        field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.DecimalType)
+    )
+
+
+def constant_columns(table: DataFrame, statistics: list) -> set[str]:
+    """AGG8: names of columns with one value, null counting as a value.
+
+    Different digests prove different values.  Equal ones do not prove equal values, so the
+    few columns left are compared by value."""
+    types = {field.name: field for field in table.schema.fields}
+    likely = [row.column for row in statistics if row.may_be_constant]
+    doubtful = [
+        row.column
+        for row in statistics
+        if row.may_be_constant and row.null_count == 0 and _has_variable_width(types[row.column])
+    ]
+    if not doubtful:
+        return set(likely)
+    equal = table.agg(
+        *[F.min(quoted(name)) == F.max(quoted(name)) for name in doubtful]
+    ).first()
+    differing = {name for name, same in zip(doubtful, equal) if not same}
+    return set(likely) - differing
 
 
 def is_mixed(numeric_ratio: Column, non_null: Column) -> Column:
@@ -159,6 +192,7 @@ class TableProfile:
     rows: int
     columns: list
     fences: list[Fences]
+    constant: set[str]
 
     @property
     def missing(self) -> int:
@@ -179,9 +213,9 @@ def fit_profile(
     """Column statistics and fences of a normalized table."""
     columns = sorted(column_statistics(table, key).collect(), key=lambda row: row.position)
     rows = columns[0].total_rows if columns else 0
-    bare = TableProfile(rows, columns, [])
+    bare = TableProfile(rows, columns, [], set())
     fences = fit_fences(table, bare.non_null(numeric_names(table, key)), limits)
-    return TableProfile(rows, columns, fences)
+    return TableProfile(rows, columns, fences, constant_columns(table, columns))
 
 
 def require_rows(df: DataFrame) -> None:
@@ -282,9 +316,7 @@ def analyze_quality(
         percentage(
             F.lit(sum(1 for column in profile.columns if column.null_count > 0)), F.lit(width)
         ).alias("null_col_ratio"),
-        percentage(
-            F.lit(sum(1 for column in profile.columns if column.is_constant)), F.lit(width)
-        ).alias("constant_col_ratio"),
+        percentage(F.lit(len(profile.constant)), F.lit(width)).alias("constant_col_ratio"),
         round_exact(F.lit(float(mean_skew)), 3).alias("avg_skewness"),
     )
 
