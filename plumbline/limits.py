@@ -19,8 +19,9 @@ class Limits:
     cached_cells: int = 100_000_000
     # Rows of a keyed helper table that may be broadcast.
     broadcast_rows: int = 1_000_000
-    # Vectors or weighted terms of a question batch held by every task.
-    question_rows: int = 50_000
+    # Vector components, and words, of a question batch held by every task.
+    question_values: int = 2_000_000
+    question_terms: int = 200_000
     # Histogram buckets per searched interval in the order-statistic passes.
     buckets: int = 2_048
 
