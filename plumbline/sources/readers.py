@@ -100,14 +100,14 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     try:
         files = (
             spark.read.option("pathGlobFilter", "*.txt")
-            .option("wholetext", True)
             .option("recursiveFileLookup", True)
-            .text(folder)
+            .text(folder, wholetext=True)
         )
     except AnalysisException:
         return spark.createDataFrame([], _REPORT_SCHEMA)
+    path = F.col("_metadata.file_path")
+    # A report written by Spark is a folder of that name with one part file.
+    report = F.regexp_replace(path, r"\.txt/part-[^/]*$", ".txt")
     return files.select(
-        file_stem(F.col("_metadata.file_name")).alias("doc_id"),
-        F.col("_metadata.file_path").alias("report_path"),
-        F.col("value").alias("text"),
+        file_stem(report).alias("doc_id"), report.alias("report_path"), F.col("value").alias("text")
     ).orderBy("doc_id")

@@ -49,22 +49,8 @@ def export_json(result: DataFrame, path: str) -> None:
     result.write.mode("overwrite").json(path)
 
 
-def save_reports(reports: DataFrame, folder: str) -> None:
-    """SNK4: (doc_id, text) as one text file per report, in a folder named after it.
-
-    Saving a report again replaces it and leaves the others."""
-    (
-        reports.select(F.col("text").alias("value"), F.col("doc_id").alias("report"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("lineSep", "\n")
-        .partitionBy("report")
-        .text(folder)
-    )
-
-
 def save_report(report: DataFrame, folder: str, doc_id: str) -> str:
-    """SNK4 for a single run: part files under ``folder/doc_id.txt``."""
+    """SNK4 for a single run: a folder ``doc_id.txt`` with one part file."""
     path = f"{folder.rstrip('/')}/{doc_id}.txt"
     report.select(F.col("text").alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return path
