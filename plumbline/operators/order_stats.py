@@ -118,28 +118,34 @@ def _proposals(
         ]
     )
     merged = partial.agg(*[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(names))])
-    wanted: dict[str, list[float]] = {}
+    shares: dict[str, list[float]] = {}
     for name in names:
-        shares = {0.0, 1.0}
+        edges = {0.0, 1.0}
         for rank in ranks[name]:
             share = rank / max(counts[name] - 1, 1)
-            shares |= {max(share - _SKETCH_MARGIN, 0.0), min(share + _SKETCH_MARGIN, 1.0)}
-        wanted[name] = sorted(shares)
-    edges = merged.select(
+            edges |= {max(share - _SKETCH_MARGIN, 0.0), min(share + _SKETCH_MARGIN, 1.0)}
+        shares[name] = sorted(edges)
+    found = merged.select(
         *[
             F.kll_sketch_get_quantile_double(
-                f"s{i}", F.array(*[F.lit(share) for share in wanted[name]])
+                f"s{i}", F.array(*[F.lit(share) for share in shares[name]])
             ).alias(f"e{i}")
             for i, name in enumerate(names)
         ]
     ).first()
-    proposed = {}
+    proposed: dict[str, list[_Interval]] = {}
     for i, name in enumerate(names):
-        bounds = sorted(set(edges[i]))
-        if len(bounds) == 1:
-            proposed[name] = [_Interval(bounds[0], bounds[0], 1)]
-            continue
-        proposed[name] = [_Interval(a, b, buckets) for a, b in zip(bounds, bounds[1:])]
+        last = max(counts[name] - 1, 1)
+        pieces: list[_Interval] = []
+        for place, (low, high) in enumerate(zip(found[i], found[i][1:])):
+            near = any(
+                shares[name][place] <= rank / last <= shares[name][place + 1]
+                for rank in ranks[name]
+            )
+            # The stretches between the wanted ranks are only counted.
+            if low < high or not pieces:
+                pieces.append(_Interval(low, high, buckets if near else 1))
+        proposed[name] = pieces
     return proposed
 
 

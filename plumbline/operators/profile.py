@@ -29,9 +29,10 @@ _FENCE_FACTOR = 1.5
 _FENCE_MIN_VALUES = 4
 _MIXED_MIN_VALUES = 5
 _MIXED_RANGE = (0.10, 0.90)
-# Columns measured by one scan.  Parquet reads each column once however they are grouped;
-# small groups keep the generated code within what the JVM compiles.
-COLUMNS_PER_SCAN = 4
+# Columns measured by one scan.  Parquet reads each column once however they are grouped; the
+# aggregation buffer of eight columns stays under the width at which Spark stops generating
+# code.
+COLUMNS_PER_SCAN = 8
 # Sums of squared or cubed deviations below this count as zero when taking the skew.
 _NO_SPREAD = 1e-14
 

@@ -106,8 +106,11 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     except AnalysisException:
         return spark.createDataFrame([], _REPORT_SCHEMA)
     path = F.col("_metadata.file_path")
-    # A report written by Spark is a folder of that name with one part file.
-    report = F.regexp_replace(path, r"\.txt/part-[^/]*$", ".txt")
+    # A report written by Spark is a folder of that name with one part file, whose last line
+    # end is the writer's.
+    part = r"\.txt/part-[^/]*$"
+    report = F.regexp_replace(path, part, ".txt")
+    text = F.when(path.rlike(part), F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
     return files.select(
-        file_stem(report).alias("doc_id"), report.alias("report_path"), F.col("value").alias("text")
+        file_stem(report).alias("doc_id"), report.alias("report_path"), text.alias("text")
     ).orderBy("doc_id")
