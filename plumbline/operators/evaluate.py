@@ -80,7 +80,7 @@ def fit_masking(
     present = {f.name: row[i + 1] for i, f in enumerate(fields)}
     sizes = {name: min(n, max(1, int(n * fraction))) for name, n in present.items() if n}
     eligible = {f.name: _present(f) for f in fields if present[f.name]}
-    cuts = fit_cuts(df, key, eligible, sizes, seed, limits)
+    cuts = fit_cuts(df, key, eligible, present, sizes, seed, limits)
     numeric = tuple(
         f.name
         for f in fields
@@ -176,8 +176,16 @@ def duplicate_fix_accuracy(
     unique = keep_one_copy(df, rows, key, limits)
     expected = unique.count()
     injected = min(expected, max(1, int(expected * fraction)))
-    cuts = fit_cuts(unique, key, {_ROW_LABEL: F.lit(True)}, {_ROW_LABEL: injected}, seed, limits)
-    copies = unique.where(cuts[_ROW_LABEL].chosen(key, _ROW_LABEL, seed))
+    cut = fit_cuts(
+        unique,
+        key,
+        {_ROW_LABEL: F.lit(True)},
+        {_ROW_LABEL: expected},
+        {_ROW_LABEL: injected},
+        seed,
+        limits,
+    )[_ROW_LABEL]
+    copies = unique.where(cut.chosen(key, _ROW_LABEL, seed))
     corrupted = normalize_missing(unique.unionByName(copies), key)
     left = count_distinct_rows(corrupted, expected + injected, key, limits)
     surplus = F.greatest(F.col("distinct_rows") - expected, F.lit(0).cast("long"))

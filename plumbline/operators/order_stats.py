@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from plumbline.limits import DEFAULT_LIMITS, Limits
 
 _LARGEST = 1.7976931348623157e308
+# Rows sketched, and the sketch's size.  Together they place a quantile within a third of a
+# percent; the margin is three times that.
+_SKETCHED_ROWS = 200_000
 _SKETCH_SIZE = 1_000
-# Over three times the rank error of a sketch of that size.
 _SKETCH_MARGIN = 0.01
 _MERGE_FANOUT = 256
 _STRIDE = 1 << 20
@@ -109,65 +111,101 @@ def _proposals(
     counts: dict[str, int],
     buckets: int,
 ) -> dict[str, list[_Interval]]:
-    """Narrow intervals around the wanted ranks, from sketches merged in two levels."""
+    """Intervals over the whole number line, narrow around the wanted ranks.
+
+    They come from sketches of a sample, merged in two levels.  That only steers the search:
+    the counting passes read every row."""
     names = list(ranks)
-    partial = df.groupBy((F.spark_partition_id() % _MERGE_FANOUT).alias("part")).agg(
+    fraction = min(1.0, _SKETCHED_ROWS / max(counts[name] for name in names))
+    sample = df.select(*[_finite(values[name]).alias(f"v{i}") for i, name in enumerate(names)])
+    if fraction < 1.0:
+        sample = sample.sample(fraction, seed=0)
+    partial = sample.groupBy((F.spark_partition_id() % _MERGE_FANOUT).alias("part")).agg(
         *[
-            F.kll_sketch_agg_double(_finite(values[name]), F.lit(_SKETCH_SIZE)).alias(f"s{i}")
-            for i, name in enumerate(names)
+            F.kll_sketch_agg_double(f"v{i}", F.lit(_SKETCH_SIZE)).alias(f"s{i}")
+            for i in range(len(names))
         ]
     )
-    merged = partial.agg(*[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(names))])
+    merged = partial.agg(
+        *[F.kll_merge_agg_double(f"s{i}").alias(f"s{i}") for i in range(len(names))]
+    )
     shares: dict[str, list[float]] = {}
     for name in names:
-        edges = {0.0, 1.0}
+        edges = set()
         for rank in ranks[name]:
             share = rank / max(counts[name] - 1, 1)
             edges |= {max(share - _SKETCH_MARGIN, 0.0), min(share + _SKETCH_MARGIN, 1.0)}
         shares[name] = sorted(edges)
     found = merged.select(
         *[
-            F.kll_sketch_get_quantile_double(
-                f"s{i}", F.array(*[F.lit(share) for share in shares[name]])
+            F.when(
+                F.kll_sketch_get_n_double(f"s{i}") > 0,
+                F.kll_sketch_get_quantile_double(
+                    f"s{i}", F.array(*[F.lit(share) for share in shares[name]])
+                ),
             ).alias(f"e{i}")
             for i, name in enumerate(names)
         ]
     ).first()
     proposed: dict[str, list[_Interval]] = {}
     for i, name in enumerate(names):
+        # A column too sparse for the sample starts with its count and extremes alone.
+        edges = found[i] or []
         last = max(counts[name] - 1, 1)
-        pieces: list[_Interval] = []
-        for place, (low, high) in enumerate(zip(found[i], found[i][1:])):
-            near = any(
-                shares[name][place] <= rank / last <= shares[name][place + 1]
+        pieces = []
+        for place, (low, high) in enumerate(zip([-_LARGEST, *edges], [*edges, _LARGEST])):
+            near = 0 < place < len(edges) and any(
+                shares[name][place - 1] <= rank / last <= shares[name][place]
                 for rank in ranks[name]
             )
             # The stretches between the wanted ranks are only counted.
-            if low < high or not pieces:
+            if low < high:
                 pieces.append(_Interval(low, high, buckets if near else 1))
         proposed[name] = pieces
     return proposed
 
 
+def _even_proposals(
+    ranks: dict[str, set[int]], counts: dict[str, int], end: float, buckets: int
+) -> dict[str, list[_Interval]]:
+    """The same for values spread evenly over [0, end), whose ranks are nearly known."""
+    proposed = {}
+    for name, wanted in ranks.items():
+        size = counts[name]
+        edges = {0.0, end}
+        for rank in wanted:
+            # Six standard deviations of a binomial count to each side.
+            share = (rank + 0.5) / size
+            margin = 6.0 * math.sqrt(share * (1.0 - share) / size) + 1.0 / size
+            edges |= {max(share - margin, 0.0) * end, min(share + margin, 1.0) * end}
+        bounds = sorted(edges)
+        proposed[name] = [
+            _Interval(low, high, buckets) for low, high in zip(bounds, bounds[1:])
+        ]
+    return proposed
+
+
 def order_statistics(
     df: DataFrame,
     values: dict[str, Column],
     ranks: dict[str, set[int]],
     counts: dict[str, int],
-    bounds: tuple[float, float] | None = None,
+    even_up_to: float | None = None,
     limits: Limits = DEFAULT_LIMITS,
-) -> dict[tuple[str, int], float]:
-    """Value at each zero-based rank per column.
+) -> dict[tuple[str, int], tuple[float, int | None]]:
+    """For each column and zero-based rank: the value, and how many values do not exceed it.
 
-    ``bounds`` skips the sketch where the values are known to be spread evenly."""
+    The latter is None where the search ended without it.  ``counts`` are the non-null values
+    per column.  ``even_up_to`` says that values are spread evenly over [0, even_up_to) and
+    saves the sketch; it also makes the search go on until that number is known."""
     ranks = {name: set(wanted) for name, wanted in ranks.items() if wanted}
     if not ranks:
         return {}
-    if bounds is not None:
-        intervals = {name: [_Interval(*bounds, limits.buckets)] for name in ranks}
-    else:
+    if even_up_to is None:
         intervals = _proposals(df, values, ranks, counts, limits.buckets)
-    found: dict[tuple[str, int], float] = {}
+    else:
+        intervals = _even_proposals(ranks, counts, even_up_to, limits.buckets)
+    found: dict[tuple[str, int], tuple[float, int | None]] = {}
     while intervals:
         counted = _count_pass(df, values, intervals)
         following: dict[str, list[_Interval]] = {}
@@ -180,11 +218,13 @@ def order_statistics(
                 wanted = ranks[name] if interval.below is None else interval.ranks
                 pending = set()
                 for rank in wanted:
-                    if rank == below:
-                        found[name, rank] = low
-                    elif rank == below + cells - 1 or (low == high and below < rank < below + cells):
-                        found[name, rank] = high
-                    elif below < rank < below + cells:
+                    if not below <= rank < below + cells:
+                        continue
+                    if low == high or rank == below + cells - 1:
+                        found[name, rank] = (high, below + cells)
+                    elif rank == below and even_up_to is None:
+                        found[name, rank] = (low, None)
+                    else:
                         pending.add(rank)
                 if pending:
                     following.setdefault(name, []).append(
@@ -229,10 +269,10 @@ def quantiles(
             place = (counts[name] - 1) * share
             low, high = math.floor(place), math.ceil(place)
             if low == high:
-                interpolated.append(found[name, low])
+                interpolated.append(found[name, low][0])
             else:
                 interpolated.append(
-                    (high - place) * found[name, low] + (place - low) * found[name, high]
+                    (high - place) * found[name, low][0] + (place - low) * found[name, high][0]
                 )
         result[name] = tuple(interpolated)
     return result

@@ -46,28 +46,27 @@ def fit_cuts(
     df: DataFrame,
     key: str,
     eligible: dict[str, Column],
+    counts: dict[str, int],
     sizes: dict[str, int],
     seed: int,
     limits: Limits = DEFAULT_LIMITS,
 ) -> dict[str, Cut]:
-    """For each label, the cut that keeps exactly ``sizes[label]`` eligible rows."""
+    """For each label, the cut that keeps ``sizes[label]`` of its ``counts[label]`` eligible
+    rows."""
     labels = [label for label in eligible if sizes[label] > 0]
     if not labels:
         return {}
     hashed = {label: F.when(eligible[label], cell_hash(key, label, seed)) for label in labels}
     ranks = {label: {sizes[label] - 1} for label in labels}
-    found = order_statistics(df, hashed, ranks, {}, bounds=(0.0, _HASH_END), limits=limits)
-    limit = {label: found[label, sizes[label] - 1] for label in labels}
-    reached = df.agg(
-        *[F.count_if(hashed[label] <= limit[label]).alias(f"n{i}") for i, label in enumerate(labels)]
-    ).first()
+    found = order_statistics(df, hashed, ranks, counts, even_up_to=_HASH_END, limits=limits)
     cuts = {}
-    for place, label in enumerate(labels):
+    for label in labels:
+        threshold, reached = found[label, sizes[label] - 1]
         last_key = None
-        surplus = reached[place] - sizes[label]
+        surplus = reached - sizes[label]
         if surplus:
             # Equal hashes are a handful of rows; the smallest keys among them stay.
-            tied = df.where(hashed[label] == limit[label]).select(quoted(key).alias("key"))
+            tied = df.where(hashed[label] == threshold).select(quoted(key).alias("key"))
             last_key = sorted(row.key for row in tied.collect())[-1 - surplus]
-        cuts[label] = Cut(limit[label], last_key)
+        cuts[label] = Cut(threshold, last_key)
     return cuts

@@ -29,7 +29,7 @@ def test_tied_hashes_go_by_key(spark, monkeypatch, limits):
 
     monkeypatch.setattr(sampling, "cell_hash", lambda key, label, seed: F.lit(5.0))
     df = spark.range(20).withColumnRenamed("id", "k")
-    cuts = fit_cuts(df, "k", {"x": F.lit(True)}, {"x": 7}, 1, limits)
+    cuts = fit_cuts(df, "k", {"x": F.lit(True)}, {"x": 20}, {"x": 7}, 1, limits)
     assert cuts["x"] == Cut(5.0, 6)
     kept = df.where(cuts["x"].chosen("k", "x", 1))
     assert sorted(row.k for row in kept.collect()) == list(range(7))
