@@ -18,7 +18,7 @@ class Limits:
     # Cells of a table that may be cached.
     cached_cells: int = 100_000_000
     # Rows of a keyed helper table that may be broadcast.
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 4_000_000
     # Vector components, and words, of a question batch held by every task.
     question_values: int = 2_000_000
     question_terms: int = 200_000

@@ -22,11 +22,16 @@ from plumbline.functions.columns import (
     quoted,
 )
 from plumbline.limits import DEFAULT_LIMITS, Limits
-from plumbline.operators.distinct import count_distinct_rows, distinct_rows
+from plumbline.operators.distinct import (
+    DuplicateSearch,
+    count_distinct_rows,
+    find_duplicates,
+)
 from plumbline.operators.normalize import normalize_missing
 from plumbline.operators.order_stats import quantiles
 from plumbline.operators.profile import (
     Fences,
+    TableProfile,
     fit_fences,
     numeric_names,
     require_rows,
@@ -100,13 +105,15 @@ def null_counts(table: DataFrame, key: str | None = None) -> tuple[int, dict[str
 # ── one copy of each row ─────────────────────────────────────────────────────────────────
 
 
-def keep_one_copy(
-    table: DataFrame, rows: int, key: str | None = None, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
-    """CLN1 with the result held for the later passes: cached while small, else written."""
-    unique = distinct_rows(table, rows, key, limits)
-    if rows <= limits.small_rows and rows * len(table.columns) <= limits.cached_cells:
+def keep_one_copy(duplicates: DuplicateSearch, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """CLN1 with the result held for the later passes: cached while small, else written.
+    Without any duplicate there is nothing to save, and the passes read the table itself."""
+    unique = duplicates.keep_one()
+    rows, width = duplicates.rows, len(unique.columns)
+    if rows <= limits.small_rows and rows * width <= limits.cached_cells:
         return unique.persist(StorageLevel.MEMORY_AND_DISK)
+    if duplicates.all_unique:
+        return unique
     return settle(unique, "unique-rows")
 
 
@@ -299,13 +306,19 @@ def clean_data(
     key: str | None = None,
     limits: Limits = DEFAULT_LIMITS,
     validate: bool = True,
+    profile: TableProfile | None = None,
 ) -> CleaningResult:
-    """CLN8.  ``validate=False`` skips the final duplicate check, a shuffle of its own."""
-    require_rows(df)
-    table = normalize_missing(df, key)
-    rows_before, nulls = null_counts(table, key)
-    unique = keep_one_copy(table, rows_before, key, limits)
-    rows = unique.count()
+    """CLN8.  ``validate=False`` skips the final duplicate check, a shuffle of its own.  With
+    the profile of the same table, its counts and digests are not computed again."""
+    if profile is not None:
+        rows_before, nulls, duplicates = profile.rows, profile.nulls, profile.duplicates
+    else:
+        require_rows(df)
+        table = normalize_missing(df, key)
+        rows_before, nulls = null_counts(table, key)
+        duplicates = find_duplicates(table, rows_before, key, limits)
+    unique = keep_one_copy(duplicates, limits)
+    rows = rows_before if duplicates.all_unique else unique.count()
     with_nulls = {name for name, count in nulls.items() if count}
     plan = fit_imputations(unique, rows, with_nulls, key, limits)
     filled = apply_imputations(unique, plan)

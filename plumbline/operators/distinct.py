@@ -2,13 +2,15 @@
 
 A small table is grouped on all its columns.  A large one first shuffles only a 64-bit
 digest per row: a digest seen once proves its row unique, so only rows that share a digest
-need the exact grouping on all columns.  If too many rows share one to broadcast their
-digests, the exact grouping of the whole table is the plan.  Map-side grouping turns a row
-repeated any number of times into one row per task before the shuffle.
+need the exact grouping on all columns, and none at all if no digest is shared.  If too many
+are shared to broadcast them, the exact grouping of the whole table is the plan.  Map-side
+grouping turns a row repeated any number of times into one row per task before the shuffle.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,33 +35,73 @@ def _row_values(df: DataFrame, key: str | None) -> list[Column]:
     return [_hashable(field).alias(field.name) for field in data_fields(df, key)]
 
 
-def _shared_digests(df: DataFrame, key: str | None, limits: Limits) -> DataFrame | None:
-    """Digests carried by more than one row, or None if they are too many to broadcast."""
+@dataclass(frozen=True)
+class DuplicateSearch:
+    """What one digest pass found out about the rows of a table."""
+
+    df: DataFrame
+    rows: int
+    key: str | None
+    # Digests carried by more than one row, and their number; None where the table is small
+    # or has too many of them, and is grouped whole.
+    shared: DataFrame | None = None
+    shared_number: int | None = None
+
+    @property
+    def all_unique(self) -> bool:
+        return self.shared_number == 0
+
+    def _tagged(self) -> DataFrame:
+        return self.df.withColumn(_DIGEST, F.xxhash64(*_row_values(self.df, self.key)))
+
+    def count_distinct(self) -> DataFrame:
+        """One row: ``distinct_rows``; nulls equal each other."""
+        if self.all_unique:
+            return self.df.sparkSession.range(1).select(
+                F.lit(self.rows).cast("long").alias("distinct_rows")
+            )
+        if self.shared is None:
+            grouped = self.df.select(*_row_values(self.df, self.key)).distinct()
+            return grouped.agg(F.count("*").alias("distinct_rows"))
+        repeated = self._tagged().join(F.broadcast(self.shared), _DIGEST, "left_semi")
+        groups = repeated.groupBy(*_row_values(self.df, self.key)).agg(
+            F.count("*").alias("__copies")
+        )
+        extra = F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))
+        return groups.agg((F.lit(self.rows) - extra).alias("distinct_rows"))
+
+    def keep_one(self) -> DataFrame:
+        """One copy of each row; with a row key the smallest key survives."""
+        if self.all_unique:
+            return self.df
+        if self.shared is None:
+            return _group_copies(self.df, self.key)
+        tagged, shared = self._tagged(), F.broadcast(self.shared)
+        unique = tagged.join(shared, _DIGEST, "left_anti").drop(_DIGEST)
+        repeated = tagged.join(shared, _DIGEST, "left_semi").drop(_DIGEST)
+        kept = unique.unionByName(_group_copies(repeated, self.key))
+        return kept.select(*[quoted(name) for name in self.df.columns])
+
+
+def find_duplicates(
+    df: DataFrame, rows: int, key: str | None = None, limits: Limits = DEFAULT_LIMITS
+) -> DuplicateSearch:
+    """The digest pass, for a table too large to be grouped whole without a look first."""
+    if rows <= limits.small_rows:
+        return DuplicateSearch(df, rows, key)
     digest = F.xxhash64(*_row_values(df, key)).alias(_DIGEST)
     counted = df.select(digest).groupBy(_DIGEST).agg(F.count("*").alias("copies"))
     shared = settle(counted.where("copies > 1").select(_DIGEST), "digests")
-    return shared if shared.count() <= limits.broadcast_rows else None
+    number = shared.count()
+    if number > limits.broadcast_rows:
+        return DuplicateSearch(df, rows, key)
+    return DuplicateSearch(df, rows, key, shared, number)
 
 
 def count_distinct_rows(
     df: DataFrame, rows: int, key: str | None = None, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """One row: ``distinct_rows``; nulls equal each other."""
-    values = _row_values(df, key)
-    if rows > limits.small_rows:
-        shared = _shared_digests(df, key, limits)
-        if shared is not None:
-            digest = F.xxhash64(*values)
-            repeated = df.select(*values, digest.alias(_DIGEST)).join(
-                F.broadcast(shared), _DIGEST, "left_semi"
-            )
-            # One number per group: the group is one distinct row with its copies.
-            groups = repeated.groupBy(*[quoted(f.name) for f in data_fields(df, key)]).agg(
-                F.count("*").alias("copies")
-            )
-            extra = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
-            return groups.agg((F.lit(rows) - extra).alias("distinct_rows"))
-    return df.select(*values).distinct().agg(F.count("*").alias("distinct_rows"))
+    return find_duplicates(df, rows, key, limits).count_distinct()
 
 
 def duplicate_summary(
@@ -77,15 +119,8 @@ def duplicate_summary(
 def distinct_rows(
     df: DataFrame, rows: int, key: str | None = None, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """SET1: one copy of each row; with a row key the smallest key survives."""
-    if rows > limits.small_rows:
-        shared = _shared_digests(df, key, limits)
-        if shared is not None:
-            tagged = df.withColumn(_DIGEST, F.xxhash64(*_row_values(df, key)))
-            unique = tagged.join(F.broadcast(shared), _DIGEST, "left_anti").drop(_DIGEST)
-            repeated = tagged.join(F.broadcast(shared), _DIGEST, "left_semi").drop(_DIGEST)
-            return unique.unionByName(_group_copies(repeated, key)).select(*map(quoted, df.columns))
-    return _group_copies(df, key)
+    """SET1."""
+    return find_duplicates(df, rows, key, limits).keep_one()
 
 
 def _group_copies(df: DataFrame, key: str | None) -> DataFrame:

@@ -12,7 +12,7 @@ from plumbline.functions.columns import data_fields, is_categorical, is_numeric,
 from plumbline.functions.rounding import percentage, round_exact
 from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.operators.clean import clean_data, keep_one_copy, null_counts
-from plumbline.operators.distinct import count_distinct_rows
+from plumbline.operators.distinct import count_distinct_rows, find_duplicates
 from plumbline.operators.normalize import normalize_missing
 from plumbline.operators.profile import (
     fit_fences,
@@ -173,7 +173,7 @@ def duplicate_fix_accuracy(
             "SELECT 0L AS injected_duplicates, 0L AS duplicates_removed, "
             "CAST(100.0 AS DOUBLE) AS duplicate_fix_accuracy"
         )
-    unique = keep_one_copy(df, rows, key, limits)
+    unique = keep_one_copy(find_duplicates(df, rows, key, limits), limits)
     expected = unique.count()
     injected = min(expected, max(1, int(expected * fraction)))
     cut = fit_cuts(

@@ -21,7 +21,7 @@ from plumbline.functions.columns import (
 from plumbline.functions.rounding import percentage, round_exact
 from plumbline.functions.tokens import is_number
 from plumbline.limits import DEFAULT_LIMITS, Limits
-from plumbline.operators.distinct import count_distinct_rows
+from plumbline.operators.distinct import DuplicateSearch, find_duplicates
 from plumbline.operators.normalize import normalize_missing
 from plumbline.operators.order_stats import quantiles
 
@@ -190,18 +190,17 @@ def outside(fences: Fences) -> Column:
 class TableProfile:
     """Driver-side state of a few numbers per column, which shapes the later passes."""
 
+    table: DataFrame
+    key: str | None
     rows: int
     columns: list
     fences: list[Fences]
     constant: set[str]
+    duplicates: DuplicateSearch
 
     @property
-    def missing(self) -> int:
-        return sum(column.null_count for column in self.columns)
-
-    def non_null(self, names: Iterable[str]) -> dict[str, int]:
-        wanted = set(names)
-        return {c.column: self.rows - c.null_count for c in self.columns if c.column in wanted}
+    def nulls(self) -> dict[str, int]:
+        return {column.column: column.null_count for column in self.columns}
 
 
 def numeric_names(table: DataFrame, key: str | None = None) -> list[str]:
@@ -211,12 +210,20 @@ def numeric_names(table: DataFrame, key: str | None = None) -> list[str]:
 def fit_profile(
     table: DataFrame, key: str | None = None, limits: Limits = DEFAULT_LIMITS
 ) -> TableProfile:
-    """Column statistics and fences of a normalized table."""
+    """Column statistics, fences and shared row digests of a normalized table."""
     columns = sorted(column_statistics(table, key).collect(), key=lambda row: row.position)
-    rows = columns[0].total_rows if columns else 0
-    bare = TableProfile(rows, columns, [], set())
-    fences = fit_fences(table, bare.non_null(numeric_names(table, key)), limits)
-    return TableProfile(rows, columns, fences, constant_columns(table, columns))
+    rows = columns[0].total_rows
+    numeric = set(numeric_names(table, key))
+    non_null = {c.column: rows - c.null_count for c in columns if c.column in numeric}
+    return TableProfile(
+        table,
+        key,
+        rows,
+        columns,
+        fit_fences(table, non_null, limits),
+        constant_columns(table, columns),
+        find_duplicates(table, rows, key, limits),
+    )
 
 
 def require_rows(df: DataFrame) -> None:
@@ -274,54 +281,55 @@ def outlier_counts(table: DataFrame, fences: list[Fences]) -> DataFrame:
     return counted.select(F.inline(F.array(*[f"f{i}" for i in range(len(entries))])))
 
 
-def analyze_quality(
-    df: DataFrame, key: str | None = None, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
-    """AGG9: one row with the eleven quality metrics.
-
-    Passes: one scan for all column statistics, the quartile search, one scan that counts
-    outliers, and a digest or row shuffle for duplicates.  Only the last two are left in the
-    returned plan; it holds no more than a few numbers per column from the earlier ones."""
-    require_rows(df)
-    table = normalize_missing(df, key)
-    profile = fit_profile(table, key, limits)
-    width = len(profile.columns)
+def quality_metrics(profile: TableProfile) -> DataFrame:
+    """The eleven metrics of a profiled table; left to do are counting outliers, one scan,
+    and copies among the rows that share a digest."""
+    width = F.lit(len(profile.columns))
     used = [fence for fence in profile.fences if fence.usable]
     skews = {column.column: abs(column.skewness or 0.0) for column in profile.columns}
-    mean_skew = sum(skews[f.column] for f in used) / len(used) if used else 0.0
+    mean_skew = sum(skews[fence.column] for fence in used) / len(used) if used else 0.0
     low, high = _MIXED_RANGE
     mixed = sum(
-        1
-        for column in profile.columns
-        if column.numeric_ratio is not None
+        column.numeric_ratio is not None
         and profile.rows - column.null_count >= _MIXED_MIN_VALUES
         and low < column.numeric_ratio < high
+        for column in profile.columns
     )
-    distinct = count_distinct_rows(table, profile.rows, key, limits)
-    counted = table.agg(
+    missing = sum(profile.nulls.values())
+    with_nulls = sum(count > 0 for count in profile.nulls.values())
+    counted = profile.table.agg(
         F.count("*").alias("total_rows"),
         total(F.count_if(outside(fence)) for fence in used).alias("outlier_count"),
         total(F.count(quoted(fence.column)) for fence in used).alias("fenced_cells"),
-    ).select("*", distinct.scalar().alias("distinct_rows"))
+    ).select("*", profile.duplicates.count_distinct().scalar().alias("distinct_rows"))
+    rows, copies = F.col("total_rows"), F.col("total_rows") - F.col("distinct_rows")
     return counted.select(
         "total_rows",
-        F.lit(profile.missing).cast("long").alias("missing_count"),
-        percentage(F.lit(profile.missing), F.col("total_rows") * width).alias("missing_pct"),
-        (F.col("total_rows") - F.col("distinct_rows")).alias("duplicate_count"),
-        percentage(F.col("total_rows") - F.col("distinct_rows"), F.col("total_rows")).alias(
-            "duplicate_pct"
-        ),
+        F.lit(missing).cast("long").alias("missing_count"),
+        percentage(F.lit(missing), rows * width).alias("missing_pct"),
+        copies.alias("duplicate_count"),
+        percentage(copies, rows).alias("duplicate_pct"),
         "outlier_count",
         percentage(F.col("outlier_count"), F.col("fenced_cells")).alias("outlier_pct"),
-        percentage(F.lit(mixed), F.lit(width)).alias("type_inconsistency_pct"),
-        percentage(
-            F.lit(sum(1 for column in profile.columns if column.null_count > 0)), F.lit(width)
-        ).alias("null_col_ratio"),
-        percentage(F.lit(len(profile.constant)), F.lit(width)).alias("constant_col_ratio"),
+        percentage(F.lit(mixed), width).alias("type_inconsistency_pct"),
+        percentage(F.lit(with_nulls), width).alias("null_col_ratio"),
+        percentage(F.lit(len(profile.constant)), width).alias("constant_col_ratio"),
         round_exact(F.lit(float(mean_skew)), 3).alias("avg_skewness"),
     )
 
 
+def analyze_quality(
+    df: DataFrame, key: str | None = None, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
+    """AGG9: one row with the eleven quality metrics.
+
+    Passes: one scan for all column statistics, the quartile search, the digest shuffle of a
+    large table, and the scan left in the returned plan.  The driver holds no more than a
+    few numbers per column."""
+    require_rows(df)
+    return quality_metrics(fit_profile(normalize_missing(df, key), key, limits))
+
+
 def mixed_type_columns(table: DataFrame, key: str | None = None) -> DataFrame:
     """AGG6 per text column of a normalized table."""
     non_null = F.col("total_rows") - F.col("null_count")

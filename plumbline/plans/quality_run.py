@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.operators.clean import REPORT_SCHEMA, CleaningResult, clean_data, null_counts
 from plumbline.operators.distinct import count_distinct_rows
-from plumbline.operators.profile import analyze_quality, require_rows
+from plumbline.operators.normalize import normalize_missing
+from plumbline.operators.profile import TableProfile, fit_profile, quality_metrics, require_rows
 from plumbline.operators.reports import build_report, report_name
 from plumbline.operators.trust import predict_trust_score
 from plumbline.sources.history import save_run
@@ -55,8 +56,10 @@ def untouched_report(
     return df.sparkSession.createDataFrame([row], REPORT_SCHEMA)
 
 
-def _scored(df: DataFrame, key: str | None, scorer: str, limits: Limits) -> DataFrame:
-    return predict_trust_score(analyze_quality(df, key, limits), scorer)
+def _measured(profile: TableProfile, scorer: str) -> DataFrame:
+    """Metrics and score, computed now: they decide how the run goes on."""
+    scored = predict_trust_score(quality_metrics(profile), scorer)
+    return scored.sparkSession.createDataFrame([scored.first()], scored.schema)
 
 
 def run_quality(
@@ -78,16 +81,14 @@ def run_quality(
     The driver sees metrics rows and the cleaning report, never rows of the table."""
     require_rows(df)
     spark = df.sparkSession
-    before = _scored(df, key, scorer, limits)
-    before_row = before.first()
-    before = spark.createDataFrame([before_row], before.schema)
-    was_cleaned = needs_cleaning(before_row.trust_score, threshold)
+    profile = fit_profile(normalize_missing(df, key), key, limits)
+    before = _measured(profile, scorer)
+    was_cleaned = needs_cleaning(before.first().trust_score, threshold)
     cleaning = None
     if was_cleaned:
-        cleaning = clean_data(df, key, limits)
+        cleaning = clean_data(df, key, limits, profile=profile)
         frame, report = cleaning.frame, cleaning.report()
-        after = _scored(frame, key, scorer, limits)
-        after = spark.createDataFrame([after.first()], after.schema)
+        after = _measured(fit_profile(normalize_missing(frame, key), key, limits), scorer)
     else:
         frame, report, after = df, untouched_report(df, key, limits), before
 
