@@ -43,7 +43,7 @@ from plumbline.operators.profile import (
 )
 from plumbline.operators.reports import report_metadata, upsert_index
 from plumbline.operators.retrieve import (
-    assemble_context,
+    answer_context,
     group_centroids,
     text_topk,
     vector_topk,
@@ -1208,7 +1208,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, questions = _index(spark, sf_dir), _questions(spark, sf_dir, True)
-    found = assemble_context(questions, text_topk(index, questions), index)
+    found = answer_context(questions, index)
     listed = F.transform(
         "sources",
         lambda s: F.concat_ws(":", s["run_id"].cast("string"), s["filename"], s["report_path"]),

@@ -21,7 +21,7 @@ class Limits:
     broadcast_rows: int = 4_000_000
     # Vector components, and words, of a question batch held by every task.
     question_values: int = 2_000_000
-    question_terms: int = 200_000
+    question_terms: int = 20_000
     # Histogram buckets per searched interval in the order-statistic passes.
     buckets: int = 2_048
 

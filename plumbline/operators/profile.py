@@ -82,7 +82,11 @@ class Fences:
 
 
 def total(columns: Iterable[Column]) -> Column:
-    return reduce(add, columns, F.lit(0).cast("long"))
+    """Sum of columns, paired up so that wide tables give a shallow expression."""
+    level = list(columns) or [F.lit(0).cast("long")]
+    while len(level) > 1:
+        level = [reduce(add, level[i : i + 2]) for i in range(0, len(level), 2)]
+    return level[0]
 
 
 def sample_skewness(value: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.formats import file_stem, fixed, flag_text, signed
 from plumbline.operators.views import clipped_cells
+from plumbline.sources.readers import read_reports
 
 # Wording of the report.
 TITLE = "Data Quality Cleaning Report"
@@ -156,6 +157,12 @@ def report_metadata(reports: DataFrame) -> DataFrame:
     )
 
 
+def index_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """REP4: index rows of all report files in a folder, keyed by the file's stem as saved
+    reports are, so that indexing again replaces and does not add."""
+    return report_metadata(read_reports(spark, folder))
+
+
 def upsert_index(index: DataFrame, changes: DataFrame, version: str) -> DataFrame:
     """REP4: newest row per document; ``version`` orders both sides."""
     latest = Window.partitionBy("doc_id").orderBy(F.desc(version))

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.rounding import round_exact
 from plumbline.limits import DEFAULT_LIMITS, Limits
@@ -19,15 +25,6 @@ _SCORE_DIGITS = 6
 # ── vectors ──────────────────────────────────────────────────────────────────────────────
 
 
-def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, product: acc + product)
-
-
-def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
-
-
 def _best(scored: DataFrame, k: int) -> DataFrame:
     """Top k per question.  The rank filter is applied in every task before the shuffle, so
     a question's group holds k rows per task however large the index is."""
@@ -35,47 +32,80 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; a zero vector stays and is similar to nothing."""
+    sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
+
+
+def _task_topk(questions: Broadcast, k: int):
+    """Scores one task's part of the index against all questions of a batch.
+
+    Spark has no aggregate that keeps the k best rows; ranking with a window would write and
+    sort a row for every pair.  Here a task holds k rows per question and one Arrow batch."""
+
+    def keep_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = questions.value
+        asked = _unit_rows(vectors)
+        best = None
+        for batch in batches:
+            scores = asked @ _unit_rows(np.stack(batch["doc_vector"]).astype("float64")).T
+            scores = np.round(scores, _SCORE_DIGITS) + 0.0
+            if len(batch) > k:
+                # At least the k best of this batch, and all that tie with the last of them.
+                least = np.partition(scores, -k, axis=1)[:, -k]
+                question, row = np.nonzero(scores >= least[:, None])
+            else:
+                question, row = (part.ravel() for part in np.indices(scores.shape))
+            found = pd.DataFrame(
+                {
+                    "question_id": ids[question],
+                    "doc_id": batch["doc_id"].to_numpy()[row],
+                    "score": scores[question, row],
+                }
+            )
+            best = found if best is None else pd.concat([best, found])
+            best = best.sort_values(
+                ["question_id", "score", "doc_id"], ascending=[True, False, True]
+            )
+            best = best.groupby("question_id", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return keep_best
+
+
 def vector_topk(
     index: DataFrame, questions: DataFrame, k: int = RESULTS, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """RET2 on ready vectors: index (doc_id, vector), questions (question_id, vector).
 
-    Each task holds one bounded batch of questions and streams its part of the index past
-    it; more questions than that make more batches, each a pass over the index."""
+    Each task holds one bounded batch of questions, streams its part of the index past it
+    and passes on its k best rows per question.  More questions than a batch holds make more
+    batches, each a pass over the index."""
+    spark = index.sparkSession
     number, width = questions.agg(F.count("*"), F.max(F.size("vector"))).first()
     batches = max(1, math.ceil(number * (width or 0) / limits.question_values))
-    sized = index.select("doc_id", F.col("vector").alias("doc_vector")).withColumn(
-        "doc_norm", norm(F.col("doc_vector"))
+    documents = index.select("doc_id", F.col("vector").alias("doc_vector")).where(
+        F.col("doc_vector").isNotNull()
     )
-    asked = questions.select(
-        "question_id", F.col("vector").alias("question_vector")
-    ).withColumn("question_norm", norm(F.col("question_vector")))
-    found = None
+    schema = T.StructType(
+        [
+            T.StructField("question_id", questions.schema["question_id"].dataType),
+            T.StructField("doc_id", index.schema["doc_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    parts = []
     for batch in range(batches):
-        slice_ = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == batch)
-        held = slice_.agg(F.collect_list(F.struct(*slice_.columns)).alias("questions"))
-        scored = sized.withColumn("questions", held.scalar()).select(
-            "doc_id",
-            F.inline(
-                F.transform(
-                    "questions",
-                    lambda q: F.struct(
-                        q["question_id"].alias("question_id"),
-                        round_exact(
-                            F.coalesce(
-                                F.try_divide(
-                                    dot(q["question_vector"], F.col("doc_vector")),
-                                    q["question_norm"] * F.col("doc_norm"),
-                                ),
-                                F.lit(0.0),
-                            ),
-                            _SCORE_DIGITS,
-                        ).alias("score"),
-                    ),
-                )
-            ),
-        )
-        found = scored if found is None else found.unionAll(scored)
+        part = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == batch)
+        held = part.select("question_id", "vector").toPandas()
+        if held.empty:
+            continue
+        asked = np.stack(held["vector"]).astype("float64")
+        shared = spark.sparkContext.broadcast((held["question_id"].to_numpy(), asked))
+        parts.append(documents.mapInPandas(_task_topk(shared, k), schema))
+    found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
     return _best(found, k).select("question_id", "rank", "doc_id", "score")
 
 
@@ -267,3 +297,10 @@ def assemble_context(questions: DataFrame, matches: DataFrame, index: DataFrame)
             F.coalesce(sources, empty).alias("sources"),
         )
     )
+
+
+def answer_context(
+    questions: DataFrame, index: DataFrame, k: int = RESULTS, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
+    """RET3 to RET5 for a table of questions: what a reader needs to answer each of them."""
+    return assemble_context(questions, text_topk(index, questions, k, limits), index)

@@ -65,8 +65,9 @@ def fit_cuts(
         last_key = None
         surplus = reached - sizes[label]
         if surplus:
-            # Equal hashes are a handful of rows; the smallest keys among them stay.
+            # Of the rows with an equal hash, a handful, those with the largest keys go.
             tied = df.where(hashed[label] == threshold).select(quoted(key).alias("key"))
-            last_key = sorted(row.key for row in tied.collect())[-1 - surplus]
+            largest = tied.orderBy(F.desc("key")).limit(surplus + 1)
+            last_key = largest.agg(F.min("key")).first()[0]
         cuts[label] = Cut(threshold, last_key)
     return cuts

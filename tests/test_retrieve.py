@@ -109,8 +109,18 @@ def test_centroids(frame):
     assert found == {1: [1.0, 3.0], 2: [1.0, 1.0]}
 
 
-def test_topk_plan_limits_before_the_shuffle(frame):
+def test_ranking_is_cut_before_the_shuffle(frame):
     index = frame("doc_id bigint, vector array<double>", (1, [1.0]))
     questions = frame("question_id bigint, vector array<double>", (1, [1.0]))
     plan = vector_topk(index, questions)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    assert "WindowGroupLimit" in plan and "Join" not in plan
+
+
+def test_equal_vectors_are_ranked_by_id(frame):
+    index = frame("doc_id string, vector array<float>", *[(f"d{i:03d}", [1.0, 1.0]) for i in range(200)])
+    questions = frame("question_id string, vector array<double>", ("q", [2.0, 2.0]), ("r", [0.0, 1.0]))
+    found = vector_topk(index, questions, 2).orderBy("question_id", "rank").collect()
+    assert [tuple(row) for row in found] == [
+        ("q", 1, "d000", 1.0), ("q", 2, "d001", 1.0),
+        ("r", 1, "d000", 0.707107), ("r", 2, "d001", 0.707107),
+    ]
