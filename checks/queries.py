@@ -794,7 +794,7 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
             history=path,
             run_key=name,
             created_at=MOMENT + dt.timedelta(minutes=place),
-        ).release()
+        )
     return read_history(spark, path)
 
 

@@ -13,10 +13,8 @@ from dataclasses import dataclass
 class Limits:
     # Cells (rows x columns) whose values may sit in one aggregation buffer.
     small_cells: int = 1_000_000
-    # Rows of a table that may be cached or shuffled whole without a digest pass first.
+    # Rows of a table that may be shuffled whole without a digest pass first.
     small_rows: int = 5_000_000
-    # Cells of a table that may be cached.
-    cached_cells: int = 100_000_000
     # Rows of a keyed helper table that may be broadcast.
     broadcast_rows: int = 4_000_000
     # Vector components, and words, of a question batch held by every task.

@@ -7,9 +7,8 @@ computed once; later passes read its result.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,16 +104,12 @@ def null_counts(table: DataFrame, key: str | None = None) -> tuple[int, dict[str
 # ── one copy of each row ─────────────────────────────────────────────────────────────────
 
 
-def keep_one_copy(duplicates: DuplicateSearch, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """CLN1 with the result held for the later passes: cached while small, else written.
-    Without any duplicate there is nothing to save, and the passes read the table itself."""
-    unique = duplicates.keep_one()
-    rows, width = duplicates.rows, len(unique.columns)
-    if rows <= limits.small_rows and rows * width <= limits.cached_cells:
-        return unique.persist(StorageLevel.MEMORY_AND_DISK)
+def keep_one_copy(duplicates: DuplicateSearch) -> DataFrame:
+    """CLN1, written once for the later passes.  Where the digests show that no row is
+    repeated there is nothing to write, and the passes read the table itself."""
     if duplicates.all_unique:
-        return unique
-    return settle(unique, "unique-rows")
+        return duplicates.df
+    return settle(duplicates.keep_one(), "unique-rows")
 
 
 # ── filling ──────────────────────────────────────────────────────────────────────────────
@@ -281,7 +276,6 @@ class CleaningResult:
     imputations: list[Imputation]
     clippings: list[Clipping]
     no_duplicate_rows: bool
-    held: list[DataFrame] = field(default_factory=list)
 
     def report(self) -> DataFrame:
         """CLN6: the audit of all changes, one row."""
@@ -295,11 +289,6 @@ class CleaningResult:
         )
         return self.frame.sparkSession.createDataFrame([row], REPORT_SCHEMA)
 
-    def release(self) -> None:
-        """Drop cached data; the frame is recomputed if it is used again."""
-        for df in self.held:
-            df.unpersist()
-
 
 def clean_data(
     df: DataFrame,
@@ -317,7 +306,7 @@ def clean_data(
         table = normalize_missing(df, key)
         rows_before, nulls = null_counts(table, key)
         duplicates = find_duplicates(table, rows_before, key, limits)
-    unique = keep_one_copy(duplicates, limits)
+    unique = keep_one_copy(duplicates)
     rows = rows_before if duplicates.all_unique else unique.count()
     with_nulls = {name for name, count in nulls.items() if count}
     plan = fit_imputations(unique, rows, with_nulls, key, limits)
@@ -340,5 +329,4 @@ def clean_data(
         imputations=plan,
         clippings=clippings,
         no_duplicate_rows=no_duplicates,
-        held=[unique],
     )

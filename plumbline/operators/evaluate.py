@@ -173,7 +173,7 @@ def duplicate_fix_accuracy(
             "SELECT 0L AS injected_duplicates, 0L AS duplicates_removed, "
             "CAST(100.0 AS DOUBLE) AS duplicate_fix_accuracy"
         )
-    unique = keep_one_copy(find_duplicates(df, rows, key, limits), limits)
+    unique = keep_one_copy(find_duplicates(df, rows, key, limits))
     expected = unique.count()
     injected = min(expected, max(1, int(expected * fraction)))
     cut = fit_cuts(

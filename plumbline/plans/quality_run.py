@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.limits import DEFAULT_LIMITS, Limits
-from plumbline.operators.clean import REPORT_SCHEMA, CleaningResult, clean_data, null_counts
+from plumbline.operators.clean import REPORT_SCHEMA, clean_data, null_counts
 from plumbline.operators.distinct import count_distinct_rows
 from plumbline.operators.normalize import normalize_missing
 from plumbline.operators.profile import TableProfile, fit_profile, quality_metrics, require_rows
@@ -33,11 +33,6 @@ class QualityRun:
     run_id: int | None
     report_path: str | None
     export_path: str | None
-    cleaning: CleaningResult | None = None
-
-    def release(self) -> None:
-        if self.cleaning:
-            self.cleaning.release()
 
 
 def needs_cleaning(score: float, threshold: float = TRUST_THRESHOLD) -> bool:
@@ -84,7 +79,6 @@ def run_quality(
     profile = fit_profile(normalize_missing(df, key), key, limits)
     before = _measured(profile, scorer)
     was_cleaned = needs_cleaning(before.first().trust_score, threshold)
-    cleaning = None
     if was_cleaned:
         cleaning = clean_data(df, key, limits, profile=profile)
         frame, report = cleaning.frame, cleaning.report()
@@ -132,4 +126,4 @@ def run_quality(
             ).cast("string"),
         }
     )
-    return QualityRun(result, frame, was_cleaned, run_id, report_path, export_path, cleaning)
+    return QualityRun(result, frame, was_cleaned, run_id, report_path, export_path)

@@ -52,7 +52,7 @@ def ingest(
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        run = run_quality(
+        run_quality(
             batch,
             f"{source_name}_{batch_id}",
             key=key,
@@ -66,7 +66,6 @@ def ingest(
             created_at=created_at,
             limits=limits,
         )
-        run.release()
 
     return (
         stream.writeStream.foreachBatch(handle)

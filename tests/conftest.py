@@ -11,7 +11,7 @@ from plumbline.session import local_session  # noqa: E402
 SMALLEST = "/root/testdata/sf0.001"
 
 # Every bound at zero: all operators take the form they have on large tables.
-DISTRIBUTED = Limits(small_cells=0, small_rows=0, cached_cells=0, buckets=16)
+DISTRIBUTED = Limits(small_cells=0, small_rows=0, buckets=16)
 
 
 @pytest.fixture(scope="session")
