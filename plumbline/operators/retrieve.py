@@ -1,35 +1,112 @@
-"""Finding the reports or vectors closest to questions by cosine (RET1 to RET5, JOIN2)."""
+"""Finding the reports or vectors closest to questions by cosine (RET1 to RET5, JOIN2).
+
+Every visible document is scored against every question, as an exact search must.  A task
+holds one bounded batch of questions, streams its part of the index past it in Arrow batches
+and passes on its k best documents per question.  Spark has no aggregate that keeps the k
+best rows: with built-in operators every pair would become a row to sort, and grouping the
+words of a document would shuffle the whole text.  More questions than a batch holds make
+more batches, each a pass over the index.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.rounding import round_exact
 from plumbline.limits import DEFAULT_LIMITS, Limits
-from plumbline.storage import settle
 
 NO_MATCH = "No matching reports were found."
 RESULTS = 5
 _WORD = r"[\p{L}\p{N}]+"
 _SCORE_DIGITS = 6
+# Scores held at once by a task.
+_SCORES_HELD = 2_000_000
+_INVISIBLE = -np.inf
+
+Scorer = Callable[[pa.RecordBatch], np.ndarray]
+
+# ── the k best of each task, then of all ─────────────────────────────────────────────────
+
+
+def _keep(
+    best: pd.DataFrame | None, asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int
+) -> pd.DataFrame:
+    """The k best so far, joined by those among ``scores`` (questions x documents)."""
+    if len(ids) > k:
+        # At least the k best of these documents, and all that tie with the last of them.
+        least = np.partition(scores, -k, axis=1)[:, -k]
+        question, row = np.nonzero((scores >= least[:, None]) & (scores > _INVISIBLE))
+    else:
+        question, row = np.nonzero(scores > _INVISIBLE)
+    found = pd.DataFrame(
+        {"question_id": asked[question], "doc_id": ids[row], "score": scores[question, row]}
+    )
+    if best is not None:
+        found = pd.concat([best, found])
+    found = found.sort_values(["question_id", "score", "doc_id"], ascending=[True, False, True])
+    return found.groupby("question_id", sort=False).head(k)
 
-# ── vectors ──────────────────────────────────────────────────────────────────────────────
 
+def _task_topk(asked: np.ndarray, scorer: Scorer, k: int):
+    step = max(1, _SCORES_HELD // len(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                scores = np.round(scorer(part), _SCORE_DIGITS) + 0.0
+                ids = part.column("doc_id").to_pandas().to_numpy()
+                best = _keep(best, asked, ids, scores, k)
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    return run
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     """Top k per question.  The rank filter is applied in every task before the shuffle, so
     a question's group holds k rows per task however large the index is."""
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("question_id", "rank", "doc_id", "score")
+
+
+def _result_type(index: DataFrame, questions: DataFrame) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("question_id", questions.schema["question_id"].dataType),
+            T.StructField("doc_id", index.schema["doc_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+
+def _batches(questions: DataFrame, size: int, limit: int) -> Iterator[DataFrame]:
+    """The questions in parts of about ``limit`` of their ``size``, small enough for a task."""
+    number = max(1, math.ceil(size / limit))
+    slot = F.pmod(F.xxhash64("question_id"), F.lit(number))
+    for batch in range(number):
+        yield questions.where(slot == batch)
+
+
+def _union(parts: list[DataFrame], schema: T.StructType, index: DataFrame) -> DataFrame:
+    if not parts:
+        return index.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, parts)
+
+
+# ── vectors ──────────────────────────────────────────────────────────────────────────────
 
 
 def _unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -38,84 +115,44 @@ def _unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
 
 
-def _task_topk(questions: Broadcast, k: int):
-    """Scores one task's part of the index against all questions of a batch.
+def _cosines(asked: np.ndarray) -> Scorer:
+    units = _unit_rows(asked)
 
-    Spark has no aggregate that keeps the k best rows; ranking with a window would write and
-    sort a row for every pair.  Here a task holds k rows per question and one Arrow batch."""
+    def score(part: pa.RecordBatch) -> np.ndarray:
+        flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
+        vectors = flat.astype("float64").reshape(part.num_rows, -1)
+        return units @ _unit_rows(vectors).T
 
-    def keep_best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors = questions.value
-        asked = _unit_rows(vectors)
-        best = None
-        for batch in batches:
-            scores = asked @ _unit_rows(np.stack(batch["doc_vector"]).astype("float64")).T
-            scores = np.round(scores, _SCORE_DIGITS) + 0.0
-            if len(batch) > k:
-                # At least the k best of this batch, and all that tie with the last of them.
-                least = np.partition(scores, -k, axis=1)[:, -k]
-                question, row = np.nonzero(scores >= least[:, None])
-            else:
-                question, row = (part.ravel() for part in np.indices(scores.shape))
-            found = pd.DataFrame(
-                {
-                    "question_id": ids[question],
-                    "doc_id": batch["doc_id"].to_numpy()[row],
-                    "score": scores[question, row],
-                }
-            )
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(
-                ["question_id", "score", "doc_id"], ascending=[True, False, True]
-            )
-            best = best.groupby("question_id", sort=False).head(k)
-        if best is not None:
-            yield best
-
-    return keep_best
+    return score
 
 
 def vector_topk(
     index: DataFrame, questions: DataFrame, k: int = RESULTS, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """RET2 on ready vectors: index (doc_id, vector), questions (question_id, vector).
-
-    Each task holds one bounded batch of questions, streams its part of the index past it
-    and passes on its k best rows per question.  More questions than a batch holds make more
-    batches, each a pass over the index."""
-    spark = index.sparkSession
-    number, width = questions.agg(F.count("*"), F.max(F.size("vector"))).first()
-    batches = max(1, math.ceil(number * (width or 0) / limits.question_values))
-    documents = index.select("doc_id", F.col("vector").alias("doc_vector")).where(
-        F.col("doc_vector").isNotNull()
-    )
-    schema = T.StructType(
-        [
-            T.StructField("question_id", questions.schema["question_id"].dataType),
-            T.StructField("doc_id", index.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    """RET2 on ready vectors: index (doc_id, vector), questions (question_id, vector)."""
+    size = questions.agg(F.sum(F.size("vector"))).first()[0] or 0
+    documents = index.select("doc_id", "vector").where(F.col("vector").isNotNull())
+    schema = _result_type(index, questions)
     parts = []
-    for batch in range(batches):
-        part = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == batch)
-        held = part.select("question_id", "vector").toPandas()
-        if held.empty:
-            continue
-        asked = np.stack(held["vector"]).astype("float64")
-        shared = spark.sparkContext.broadcast((held["question_id"].to_numpy(), asked))
-        parts.append(documents.mapInPandas(_task_topk(shared, k), schema))
-    found = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
-    return _best(found, k).select("question_id", "rank", "doc_id", "score")
+    for batch in _batches(questions, size, limits.question_values):
+        asked = batch.select("question_id", "vector").toPandas()
+        if not asked.empty:
+            scorer = _cosines(np.stack(asked["vector"]).astype("float64"))
+            task = _task_topk(asked["question_id"].to_numpy(), scorer, k)
+            parts.append(documents.mapInArrow(task, schema))
+    return _ranked(_union(parts, schema, index), k)
 
 
 def group_centroids(vectors: DataFrame, group: str) -> DataFrame:
     """Mean vector per group as questions; sums are combined per task and place."""
     places = vectors.select(group, F.posexplode("vector").alias("place", "value"))
     means = places.groupBy(group, "place").agg(F.avg(F.col("value").cast("double")).alias("mean"))
-    gathered = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("m"))
+    gathered = means.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("means")
+    )
     return gathered.select(
-        F.col(group).alias("question_id"), F.transform("m", lambda e: e["mean"]).alias("vector")
+        F.col(group).alias("question_id"),
+        F.transform("means", lambda entry: entry["mean"]).alias("vector"),
     )
 
 
@@ -126,34 +163,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
-def _term_counts(table: DataFrame, key: str) -> DataFrame:
-    return (
-        table.select(key, F.explode(words(F.col("text"))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-
+def question_terms(questions: DataFrame, index: DataFrame, documents: int) -> DataFrame:
+    """RET1 for questions: (question_id, term, weight), log term frequency times smoothed
+    inverse document frequency, scaled to unit length.
 
-def document_terms(index: DataFrame) -> DataFrame:
-    """RET1: (doc_id, term, weight) with log term frequency, scaled to unit length.
-
-    The weights need nothing from other documents, so documents are placed by id once and
-    counted, measured and later scored without moving again."""
-    placed = index.select("doc_id", "text").repartition("doc_id")
-    weighted = _term_counts(placed, "doc_id").select(
-        "doc_id", "term", (1.0 + F.log(F.col("tf").cast("double"))).alias("raw")
+    Documents are only counted for words of the questions, each once per document, so one
+    row per word and task is shuffled."""
+    asked = (
+        questions.select("question_id", F.explode(words(F.col("text"))).alias("term"))
+        .groupBy("question_id", "term")
+        .agg(F.count("*").alias("tf"))
     )
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
-    return weighted.select("doc_id", "term", (F.col("raw") / length).alias("weight"))
-
-
-def question_terms(questions: DataFrame, terms: DataFrame, documents: int) -> DataFrame:
-    """(question_id, term, weight): log term frequency times smoothed inverse document
-    frequency, scaled to unit length.  Only terms of the questions are counted."""
-    asked = _term_counts(questions, "question_id")
     vocabulary = asked.select("term").distinct()
     spread = (
-        terms.join(F.broadcast(vocabulary), "term", "left_semi")
+        index.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+        .join(F.broadcast(vocabulary), "term", "left_semi")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -168,8 +192,71 @@ def question_terms(questions: DataFrame, terms: DataFrame, documents: int) -> Da
     return weighted.select("question_id", "term", share.alias("weight"))
 
 
-def _scopes(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """RET3: which documents each question may see.  A run id restricts to its report; a
+@dataclass(frozen=True)
+class _Postings:
+    """Weights of a batch of questions by word: ``questions[starts[w]:starts[w + 1]]`` use
+    the w-th word."""
+
+    vocabulary: pa.Array
+    starts: np.ndarray
+    questions: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def of(terms: pd.DataFrame, asked: np.ndarray) -> _Postings:
+        place = pd.Series(np.arange(len(asked)), index=asked)
+        codes, vocabulary = pd.factorize(terms["term"])
+        order = np.argsort(codes, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(vocabulary)))])
+        return _Postings(
+            pa.array(vocabulary, pa.string()),
+            starts.astype("int64"),
+            place[terms["question_id"]].to_numpy()[order],
+            terms["weight"].to_numpy(dtype="float64")[order],
+        )
+
+
+def _text_scores(part: pa.RecordBatch, postings: _Postings, asked: int) -> np.ndarray:
+    """RET1, RET2: documents as log term frequencies scaled to unit length, times the
+    questions' weights."""
+    lists = part.column("words")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    encoded = lists.flatten().dictionary_encode()
+    # One number per (document, word) pair; counting equal ones gives term frequencies.
+    width = max(len(encoded.dictionary), 1)
+    document = np.repeat(np.arange(part.num_rows, dtype="int64"), lengths)
+    pairs, tf = np.unique(
+        document * width + encoded.indices.to_numpy(zero_copy_only=False), return_counts=True
+    )
+    document, word = pairs // width, pairs % width
+    weight = 1.0 + np.log(tf)
+    sizes = np.sqrt(np.bincount(document, weight * weight, minlength=part.num_rows))
+    weight = weight / sizes[document]
+    known = pc.fill_null(pc.index_in(encoded.dictionary, postings.vocabulary), -1)
+    word = known.to_numpy(zero_copy_only=False)[word] if len(word) else word
+    document, weight, word = document[word >= 0], weight[word >= 0], word[word >= 0]
+    # Each pair meets the questions that use its word.
+    uses = postings.starts[word + 1] - postings.starts[word]
+    first = np.repeat(postings.starts[word] - (np.cumsum(uses) - uses), uses)
+    entry = first + np.arange(len(first))
+    cell = postings.questions[entry] * part.num_rows + np.repeat(document, uses)
+    product = postings.weights[entry] * np.repeat(weight, uses)
+    scores = np.bincount(cell, product, minlength=asked * part.num_rows)
+    return scores.reshape(asked, part.num_rows)
+
+
+def _visible(part: pa.RecordBatch, scopes: pd.DataFrame) -> np.ndarray:
+    """RET3: questions x documents, whether the question's scope holds the document."""
+    run = part.column("run_id").to_pandas().to_numpy()
+    file = part.column("filename").to_pandas().to_numpy()
+    scope = scopes["scope"].to_numpy()[:, None]
+    same_run = scopes["run_id"].to_numpy()[:, None] == run[None, :]
+    same_file = scopes["filename"].to_numpy()[:, None] == file[None, :]
+    return (scope == "all") | ((scope == "run") & same_run) | ((scope == "file") & same_file)
+
+
+def question_scopes(index: DataFrame, questions: DataFrame) -> DataFrame:
+    """RET3: which documents each question may see.  A run id restricts to its reports; a
     run without reports falls back to the file name, and to nothing without one."""
     asked = questions.select("question_id", "run_id", "filename")
     known = (
@@ -185,85 +272,39 @@ def _scopes(index: DataFrame, questions: DataFrame) -> DataFrame:
         .otherwise("none")
     )
     return asked.join(F.broadcast(known), "run_id", "left").select(
-        "question_id",
-        scope.alias("scope"),
-        F.col("run_id").alias("scope_run"),
-        F.col("filename").alias("scope_file"),
+        "question_id", scope.alias("scope"), "run_id", "filename"
     )
 
 
-def _fillers(index: DataFrame, scopes: DataFrame, k: int) -> DataFrame:
-    """The first k documents of each scope with score 0, for questions that share words
-    with fewer than k documents."""
-    ids = index.select("doc_id", "run_id", "filename")
+def _text_scorer(postings: _Postings, scopes: pd.DataFrame) -> Scorer:
+    everywhere = bool((scopes["scope"] == "all").all())
 
-    def first_of(column: str, scope: str, wanted: str) -> DataFrame:
-        asked = scopes.where(F.col("scope") == scope).select("question_id", F.col(wanted).alias(column))
-        rank = F.row_number().over(Window.partitionBy(column).orderBy("doc_id"))
-        first = (
-            ids.join(F.broadcast(asked.select(column).distinct()), column, "left_semi")
-            .withColumn("place", rank)
-            .where(F.col("place") <= k)
-        )
-        return F.broadcast(asked).join(first, column).select("question_id", "doc_id")
+    def score(part: pa.RecordBatch) -> np.ndarray:
+        scores = _text_scores(part, postings, len(scopes))
+        return scores if everywhere else np.where(_visible(part, scopes), scores, _INVISIBLE)
 
-    # One array of k ids, held by each unrestricted question.
-    first_ids = ids.orderBy("doc_id").limit(k).agg(F.collect_list("doc_id"))
-    anywhere = scopes.where(F.col("scope") == "all").select(
-        "question_id", F.explode(first_ids.scalar()).alias("doc_id")
-    )
-    return (
-        anywhere.unionByName(first_of("run_id", "run", "scope_run"))
-        .unionByName(first_of("filename", "file", "scope_file"))
-        .withColumn("score", F.lit(0.0))
-    )
+    return score
 
 
 def text_topk(
     index: DataFrame, questions: DataFrame, k: int = RESULTS, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """RET2, RET3 on text: index (doc_id, run_id, filename, text), questions (question_id,
-    question, run_id, filename).
-
-    A bounded batch of questions is broadcast as weighted terms; every document meets the
-    terms it contains in the task that holds it.  Larger batches are split."""
+    question, run_id, filename).  Documents without a common word score zero."""
     asked = questions.select("question_id", F.col("question").alias("text"), "run_id", "filename")
-    size = asked.agg(F.sum(F.size(words(F.col("text"))))).first()[0] or 0
-    batches = max(1, math.ceil(size / limits.question_terms))
-    documents = index.count()
-    terms = document_terms(index)
-    if batches > 1:
-        terms = settle(terms, "document-terms")
-    found = None
-    for batch in range(batches):
-        part = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(batches)) == batch)
-        scopes = _scopes(index, part)
-        weights = (
-            question_terms(part, terms, documents)
-            .withColumnRenamed("weight", "question_weight")
-            .join(F.broadcast(scopes), "question_id")
-        )
-        visible = (
-            (F.col("scope") == "all")
-            | ((F.col("scope") == "run") & (F.col("run_id") == F.col("scope_run")))
-            | ((F.col("scope") == "file") & (F.col("filename") == F.col("scope_file")))
-        )
-        restricted = part.where(F.col("run_id").isNotNull()).isEmpty()
-        scored = terms.join(F.broadcast(weights), "term")
-        if not restricted:
-            # Scopes are checked on the matches, where the document's labels join by id.
-            labels = index.select("doc_id", "run_id", "filename")
-            scored = scored.join(labels, "doc_id").where(visible)
-        product = F.col("weight") * F.col("question_weight")
-        scored = scored.groupBy("doc_id", "question_id").agg(F.sum(product).alias("score"))
-        scored = scored.select(
-            "question_id", "doc_id", round_exact(F.col("score"), _SCORE_DIGITS).alias("score")
-        )
-        scored = _best(scored, k).drop("rank")
-        found_here = scored.unionByName(_fillers(index, scopes, k))
-        found = found_here if found is None else found.unionByName(found_here)
-    merged = found.groupBy("question_id", "doc_id").agg(F.max("score").alias("score"))
-    return _best(merged, k).select("question_id", "rank", "doc_id", "score")
+    size = asked.agg(F.sum(F.size(words(F.col("text"))) + F.lit(1))).first()[0] or 0
+    number = index.count()
+    documents = index.select("doc_id", "run_id", "filename", words(F.col("text")).alias("words"))
+    schema = _result_type(index, questions)
+    parts = []
+    for batch in _batches(asked, size, limits.question_terms):
+        scopes = question_scopes(index, batch).toPandas()
+        if not scopes.empty:
+            ids = scopes["question_id"].to_numpy()
+            weights = question_terms(batch, index, number).toPandas()
+            task = _task_topk(ids, _text_scorer(_Postings.of(weights, ids), scopes), k)
+            parts.append(documents.mapInArrow(task, schema))
+    return _ranked(_union(parts, schema, index), k)
 
 
 def assemble_context(questions: DataFrame, matches: DataFrame, index: DataFrame) -> DataFrame:
@@ -271,7 +312,8 @@ def assemble_context(questions: DataFrame, matches: DataFrame, index: DataFrame)
 
     ``matches`` has at most k rows per question, so the lists are bounded."""
     ids = matches.select("question_id", "rank", "doc_id")
-    texts = ids.join(index.select("doc_id", "run_id", "filename", "report_path", "text"), "doc_id")
+    documents = index.select("doc_id", "run_id", "filename", "report_path", "text")
+    texts = documents.join(ids, "doc_id")
     gathered = texts.groupBy("question_id").agg(
         F.array_sort(
             F.collect_list(F.struct("rank", "text", "run_id", "filename", "report_path"))
