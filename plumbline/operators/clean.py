@@ -275,7 +275,12 @@ class CleaningResult:
     missing_after: int
     imputations: list[Imputation]
     clippings: list[Clipping]
-    no_duplicate_rows: bool
+    # None where the final check was skipped.
+    distinct_rows: int | None
+
+    @property
+    def no_duplicate_rows(self) -> bool:
+        return self.distinct_rows in (None, self.rows)
 
     def report(self) -> DataFrame:
         """CLN6: the audit of all changes, one row."""
@@ -316,10 +321,9 @@ def clean_data(
     clippings, left = fit_clippings(filled, numeric, limits)
     cleaned = apply_clippings(filled, clippings)
     missing_after = sum(n for name, n in left.items() if name not in fillable and name != key)
-    no_duplicates = True
+    distinct = None
     if validate:
         distinct = count_distinct_rows(cleaned, rows, key, limits).first()[0]
-        no_duplicates = distinct == rows
     return CleaningResult(
         frame=cleaned,
         rows=rows,
@@ -328,5 +332,5 @@ def clean_data(
         missing_after=missing_after,
         imputations=plan,
         clippings=clippings,
-        no_duplicate_rows=no_duplicates,
+        distinct_rows=distinct,
     )

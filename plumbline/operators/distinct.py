@@ -42,23 +42,24 @@ class DuplicateSearch:
     df: DataFrame
     rows: int
     key: str | None
-    # Digests carried by more than one row, and their number; None where the table is small
-    # or has too many of them, and is grouped whole.
+    # Digests carried by more than one row; None where the table is small or has too many of
+    # them, and is grouped whole.
     shared: DataFrame | None = None
-    shared_number: int | None = None
+    # The result itself, where it is known already.
+    distinct: int | None = None
 
     @property
     def all_unique(self) -> bool:
-        return self.shared_number == 0
+        return self.distinct == self.rows
 
     def _tagged(self) -> DataFrame:
         return self.df.withColumn(_DIGEST, F.xxhash64(*_row_values(self.df, self.key)))
 
     def count_distinct(self) -> DataFrame:
         """One row: ``distinct_rows``; nulls equal each other."""
-        if self.all_unique:
+        if self.distinct is not None:
             return self.df.sparkSession.range(1).select(
-                F.lit(self.rows).cast("long").alias("distinct_rows")
+                F.lit(self.distinct).cast("long").alias("distinct_rows")
             )
         if self.shared is None:
             grouped = self.df.select(*_row_values(self.df, self.key)).distinct()
@@ -93,9 +94,9 @@ def find_duplicates(
     counted = df.select(digest).groupBy(_DIGEST).agg(F.count("*").alias("copies"))
     shared = settle(counted.where("copies > 1").select(_DIGEST), "digests")
     number = shared.count()
-    if number > limits.broadcast_rows:
-        return DuplicateSearch(df, rows, key)
-    return DuplicateSearch(df, rows, key, shared, number)
+    if number == 0:
+        return DuplicateSearch(df, rows, key, distinct=rows)
+    return DuplicateSearch(df, rows, key, shared if number <= limits.broadcast_rows else None)
 
 
 def count_distinct_rows(

@@ -212,13 +212,21 @@ def numeric_names(table: DataFrame, key: str | None = None) -> list[str]:
 
 
 def fit_profile(
-    table: DataFrame, key: str | None = None, limits: Limits = DEFAULT_LIMITS
+    table: DataFrame,
+    key: str | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+    distinct: int | None = None,
 ) -> TableProfile:
-    """Column statistics, fences and shared row digests of a normalized table."""
+    """Column statistics, fences and shared row digests of a normalized table, whose number
+    of ``distinct`` rows may be known already."""
     columns = sorted(column_statistics(table, key).collect(), key=lambda row: row.position)
     rows = columns[0].total_rows
     numeric = set(numeric_names(table, key))
     non_null = {c.column: rows - c.null_count for c in columns if c.column in numeric}
+    if distinct is None:
+        duplicates = find_duplicates(table, rows, key, limits)
+    else:
+        duplicates = DuplicateSearch(table, rows, key, distinct=distinct)
     return TableProfile(
         table,
         key,
@@ -226,7 +234,7 @@ def fit_profile(
         columns,
         fit_fences(table, non_null, limits),
         constant_columns(table, columns),
-        find_duplicates(table, rows, key, limits),
+        duplicates,
     )
 
 

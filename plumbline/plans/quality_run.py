@@ -82,7 +82,10 @@ def run_quality(
     if was_cleaned:
         cleaning = clean_data(df, key, limits, profile=profile)
         frame, report = cleaning.frame, cleaning.report()
-        after = _measured(fit_profile(normalize_missing(frame, key), key, limits), scorer)
+        # The only marker left in the table is the placeholder, so rows that differ still
+        # differ once it is read as missing, and the check's count of them holds.
+        cleaned = normalize_missing(frame, key)
+        after = _measured(fit_profile(cleaned, key, limits, cleaning.distinct_rows), scorer)
     else:
         frame, report, after = df, untouched_report(df, key, limits), before
 
