@@ -16,6 +16,12 @@ TABLES = (
 ).split()
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     for name in TABLES:
@@ -41,8 +47,10 @@ def difference(df, connection: duckdb.DuckDBPyConnection, sql: str) -> str | Non
     result = connection.execute(sql)
     names = [column[0] for column in result.description]
     wanted = _rows(names, result.fetchall())
-    if sorted(names) != sorted(df.columns):
-        return f"columns {sorted(df.columns)} instead of {sorted(names)}"
+    wanted_types = {column[0]: str(column[1]) for column in result.description}
+    types = {name: TYPES.get(kind, kind) for name, kind in df.dtypes}
+    if types != wanted_types:
+        return f"columns {sorted(types.items())} instead of {sorted(wanted_types.items())}"
     got = _rows(df.columns, df.collect())
     if got == wanted:
         return None

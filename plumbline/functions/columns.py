@@ -32,7 +32,16 @@ def is_categorical(field: T.StructField) -> bool:
 
 
 def is_ordered(field: T.StructField) -> bool:
-    return not isinstance(field.dataType, (T.MapType, T.VariantType))
+    """Whether Spark can compare and group the values: not if a map or variant is inside."""
+
+    def ordered(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return ordered(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(ordered(part.dataType) for part in kind.fields)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    return ordered(field.dataType)
 
 
 def numeric_value(field: T.StructField) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.columns import data_fields, quoted
+from plumbline.functions.columns import data_fields, is_ordered, quoted
 from plumbline.functions.rounding import percentage
 from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.storage import settle
@@ -23,16 +23,20 @@ from plumbline.storage import settle
 _DIGEST = "__row_digest"
 
 
-def _hashable(field: T.StructField) -> Column:
-    """Maps have no equality in Spark, so they are compared as sorted entry lists."""
+def _comparable(field: T.StructField) -> Column:
+    """Maps and variants have no order in Spark: a map is compared as its sorted entries,
+    anything that contains them as JSON text."""
     value = quoted(field.name)
-    if isinstance(field.dataType, T.MapType):
+    if is_ordered(field):
+        return value
+    kind = field.dataType
+    if isinstance(kind, T.MapType) and is_ordered(T.StructField("value", kind.valueType)):
         return F.array_sort(F.map_entries(value))
-    return value
+    return F.to_json(value)
 
 
 def _row_values(df: DataFrame, key: str | None) -> list[Column]:
-    return [_hashable(field).alias(field.name) for field in data_fields(df, key)]
+    return [_comparable(field).alias(field.name) for field in data_fields(df, key)]
 
 
 @dataclass(frozen=True)
@@ -126,15 +130,11 @@ def distinct_rows(
 
 def _group_copies(df: DataFrame, key: str | None) -> DataFrame:
     fields = data_fields(df, key)
-    if key is None and not any(isinstance(f.dataType, T.MapType) for f in fields):
+    unordered = {f.name: f"__value_{i}" for i, f in enumerate(fields) if not is_ordered(f)}
+    if key is None and not unordered:
         return df.distinct()
-    plain = [f.name for f in fields if not isinstance(f.dataType, T.MapType)]
-    maps = [f.name for f in fields if isinstance(f.dataType, T.MapType)]
-    entries = {name: f"__entries_{i}" for i, name in enumerate(maps)}
-    groups = [quoted(name) for name in plain] + [
-        F.array_sort(F.map_entries(quoted(name))).alias(entries[name]) for name in maps
-    ]
-    kept = [] if key is None else [F.min(quoted(key)).alias(key)]
-    grouped = df.groupBy(*groups).agg(*(kept or [F.count("*").alias("__copies")]))
-    restored = {name: F.map_from_entries(quoted(entries[name])).alias(name) for name in maps}
-    return grouped.select(*[restored.get(name, quoted(name)) for name in df.columns])
+    groups = [_comparable(f).alias(unordered.get(f.name, f.name)) for f in fields]
+    kept = [F.first(quoted(name)).alias(name) for name in unordered]
+    if key is not None:
+        kept.append(F.min(quoted(key)).alias(key))
+    return df.groupBy(*groups).agg(*kept).select(*[quoted(name) for name in df.columns])

@@ -248,12 +248,14 @@ def quantiles(
         return {}
     if sum(counts[name] for name in names) <= limits.small_cells:
         wanted = F.array(*[F.lit(share) for share in shares])
-        searched = [
-            df.agg(F.percentile(values[name], wanted).alias("found")).select(
-                F.lit(name).alias("column"), "found"
-            )
-            for name in names
-        ]
+        searched = []
+        for start in range(0, len(names), _COLUMNS_PER_SCAN):
+            group = list(enumerate(names[start : start + _COLUMNS_PER_SCAN]))
+            row = df.agg(*[F.percentile(values[n], wanted).alias(f"p{i}") for i, n in group])
+            entries = [
+                F.struct(F.lit(n).alias("column"), F.col(f"p{i}").alias("found")) for i, n in group
+            ]
+            searched.append(row.select(F.inline(F.array(*entries))))
         rows = reduce(DataFrame.unionAll, searched).collect()
         return {row["column"]: tuple(row["found"]) for row in rows}
 
