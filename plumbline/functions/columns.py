@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def identifier(name: str) -> str:
+    """The column in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(identifier(name))
 
 
 def data_fields(df: DataFrame, key: str | None = None) -> list[T.StructField]:

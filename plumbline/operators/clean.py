@@ -128,7 +128,7 @@ def fit_numeric_imputations(
         measures += [
             F.count(value).alias(f"n{place}"),
             F.avg(value).alias(f"mean{place}"),
-            sample_skewness(value).alias(f"skew{place}"),
+            sample_skewness(name).alias(f"skew{place}"),
         ]
     row = table.agg(*measures).first()
     for place, name in enumerate(columns):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import (
     data_fields,
+    identifier,
     is_numeric,
     is_ordered,
     is_text,
@@ -89,14 +90,20 @@ def total(columns: Iterable[Column]) -> Column:
     return level[0]
 
 
-def sample_skewness(value: Column) -> Column:
-    """Bias-corrected skewness; 0.0 for fewer than three values or no spread."""
-    n = F.count(value).cast("double")
-    squares = F.var_pop(value) * n
-    cubes = F.skewness(value) * F.pow(squares, F.lit(1.5)) / F.sqrt(n)
-    corrected = F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2)
-    measurable = (n >= 3) & (squares >= _NO_SPREAD) & (F.abs(cubes) >= _NO_SPREAD)
-    return F.coalesce(F.when(measurable & ~F.isnan(corrected), corrected), F.lit(0.0))
+def sample_skewness(name: str) -> Column:
+    """Bias-corrected skewness of a numeric column; 0.0 for fewer than three values or no
+    spread."""
+    value = f"cast({identifier(name)} AS double)"
+    n = f"cast(count({value}) AS double)"
+    squares = f"var_pop({value}) * {n}"
+    cubes = f"skewness({value}) * power({squares}, 1.5D) / sqrt({n})"
+    return F.expr(
+        f"""coalesce(
+          CASE WHEN {n} >= 3 AND {squares} >= {_NO_SPREAD} AND abs({cubes}) >= {_NO_SPREAD}
+                AND NOT isnan(skewness({value}))
+               THEN skewness({value}) * sqrt({n} * ({n} - 1)) / ({n} - 2) END,
+          0D)"""
+    )
 
 
 def column_statistics(table: DataFrame, key: str | None = None) -> DataFrame:
@@ -117,25 +124,22 @@ def _statistics_scan(table: DataFrame, fields: list[tuple[int, T.StructField]])
 
 
 def _measures(position: int, field: T.StructField) -> Column:
-    value = quoted(field.name)
-    rows = F.count("*")
-    nulls = rows - F.count(value)
-    constant = nulls == rows
+    value = identifier(field.name)
+    constant = f"count({value}) = 0"
     if is_ordered(field):
-        seen = F.xxhash64(value) if _has_variable_width(field) else value
-        constant = constant | ((nulls == 0) & (F.min(seen) == F.max(seen)))
+        seen = f"xxhash64({value})" if _has_variable_width(field) else value
+        constant += f" OR (count({value}) = count(*) AND min({seen}) = max({seen}))"
     nothing = F.lit(None).cast("double")
-    numeric_ratio = F.avg(is_number(value).cast("double")) if is_text(field) else nothing
-    skewness = sample_skewness(value.cast("double")) if is_numeric(field) else nothing
+    text_measure = F.avg(is_number(quoted(field.name)).cast("double"))
     return F.struct(
         F.lit(position).alias("position"),
         F.lit(field.name).alias("column"),
         F.lit(field.dataType.simpleString()).alias("data_type"),
-        rows.alias("total_rows"),
-        nulls.alias("null_count"),
-        F.coalesce(constant, F.lit(False)).alias("may_be_constant"),
-        numeric_ratio.alias("numeric_ratio"),
-        skewness.alias("skewness"),
+        F.expr("count(*)").alias("total_rows"),
+        F.expr(f"count(*) - count({value})").alias("null_count"),
+        F.expr(f"coalesce({constant}, false)").alias("may_be_constant"),
+        (text_measure if is_text(field) else nothing).alias("numeric_ratio"),
+        (sample_skewness(field.name) if is_numeric(field) else nothing).alias("skewness"),
     )
 
 
