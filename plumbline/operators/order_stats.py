@@ -172,15 +172,20 @@ def _even_proposals(
     proposed = {}
     for name, wanted in ranks.items():
         size = counts[name]
-        edges = {0.0, end}
-        for rank in wanted:
+        shares = [(rank + 0.5) / size for rank in wanted]
+        edges = {0.0, 1.0}
+        for share in shares:
             # Six standard deviations of a binomial count to each side.
-            share = (rank + 0.5) / size
             margin = 6.0 * math.sqrt(share * (1.0 - share) / size) + 1.0 / size
-            edges |= {max(share - margin, 0.0) * end, min(share + margin, 1.0) * end}
+            edges |= {max(share - margin, 0.0), min(share + margin, 1.0)}
         bounds = sorted(edges)
         proposed[name] = [
-            _Interval(low, high, buckets) for low, high in zip(bounds, bounds[1:])
+            _Interval(
+                low * end,
+                high * end,
+                buckets if any(low <= share <= high for share in shares) else 1,
+            )
+            for low, high in zip(bounds, bounds[1:])
         ]
     return proposed
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.formats import file_stem, fixed, flag_text, signed
+from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.operators.views import clipped_cells
 from plumbline.sources.readers import read_reports
 
@@ -163,12 +164,17 @@ def index_reports(spark: SparkSession, folder: str) -> DataFrame:
     return report_metadata(read_reports(spark, folder))
 
 
-def upsert_index(index: DataFrame, changes: DataFrame, version: str) -> DataFrame:
-    """REP4: newest row per document; ``version`` orders both sides."""
-    latest = Window.partitionBy("doc_id").orderBy(F.desc(version))
-    return (
-        index.unionByName(changes)
-        .withColumn("__age", F.row_number().over(latest))
-        .where("__age = 1")
-        .drop("__age")
-    )
+def upsert_index(
+    index: DataFrame, changes: DataFrame, version: str, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
+    """REP4: the changes replace the rows of their documents; of several changes to one
+    document, the one with the highest ``version`` does.
+
+    The index has one row per document.  A bounded set of changed ids is broadcast, so the
+    texts that stay are not shuffled."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc(version))
+    latest = changes.withColumn("__age", F.row_number().over(order)).where("__age = 1").drop("__age")
+    changed = changes.select("doc_id").distinct()
+    if changed.count() <= limits.broadcast_rows:
+        changed = F.broadcast(changed)
+    return index.join(changed, "doc_id", "left_anti").unionByName(latest)

@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from checks.tables import dirty
 from conftest import SMALLEST
-from plumbline import run_quality
-from plumbline.operators.reports import build_report, report_metadata, upsert_index
+from plumbline import Limits, run_quality
+from plumbline.operators.reports import (
+    build_report,
+    index_reports,
+    report_metadata,
+    upsert_index,
+)
 from plumbline.operators.views import (
     cleaning_actions,
     cleaning_summary,
@@ -143,8 +148,20 @@ def test_upsert_keeps_one_row_per_document(frame):
     schema = "doc_id string, version int, text string"
     index = frame(schema, ("a", 1, "old"), ("b", 1, "kept"))
     changes = frame(schema, ("a", 2, "new"), ("c", 2, "added"))
-    found = upsert_index(index, changes, "version").collect()
-    assert sorted(tuple(row) for row in found) == [("a", 2, "new"), ("b", 1, "kept"), ("c", 2, "added")]
+    again = frame(schema, ("a", 3, "newest"))
+    for limits in (Limits(), Limits(broadcast_rows=0)):
+        found = upsert_index(index, changes.union(again), "version", limits).collect()
+        assert sorted(tuple(row) for row in found) == [
+            ("a", 3, "newest"), ("b", 1, "kept"), ("c", 2, "added"),
+        ]
+
+
+def test_indexing_again_adds_nothing(spark, tmp_path):
+    (tmp_path / "run_1_x.txt").write_text("Run ID: 1\nDataset Name: x.csv")
+    index = index_reports(spark, str(tmp_path)).withColumn("version", F.lit(1))
+    again = index_reports(spark, str(tmp_path)).withColumn("version", F.lit(2))
+    found = upsert_index(index, again, "version").collect()
+    assert [(row.doc_id, row.run_id, row.filename) for row in found] == [("run_1_x", 1, "x.csv")]
 
 
 def test_metadata_forms(frame):
