@@ -264,7 +264,14 @@ def audit(kinds: dict[str, str], p: str) -> tuple[str, str]:
 
 
 def cell_hash(label: str, seed: int) -> str:
-    return f"substr(md5(concat(CAST(row_id AS STRING), '|', '{label}', '|{seed}')), 1, 13)"
+    digest = f"md5(concat(CAST(row_id AS STRING), '|{seed}'))"
+
+    def number(text: str) -> str:
+        return f"CAST(concat('0x', {text}) AS BIGINT)"
+
+    base, mix = number(f"substr({digest}, 1, 13)"), number(f"substr({digest}, 14, 6)")
+    factor = number(f"substr(md5('{label}|{seed}'), 1, 9)")
+    return f"(({mix} * {factor} + {base}) % {16**13})"
 
 
 def masked_cells(name: str, kinds: dict[str, str], fraction: float, seed: int) -> str:

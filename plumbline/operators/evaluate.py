@@ -21,7 +21,7 @@ from plumbline.operators.profile import (
     require_rows,
     total,
 )
-from plumbline.operators.sampling import Cut, fit_cuts
+from plumbline.operators.sampling import Cut, fit_cuts, with_row_hash
 from plumbline.storage import settle
 
 # Range of the corruption fractions, accepted error and weights of the score.
@@ -66,7 +66,8 @@ class Masking:
             keep = ~(_present(f) & self.masked(f.name))
             return F.when(keep, quoted(f.name)).alias(f.name)
 
-        return df.select(*[cell(f) for f in df.schema.fields])
+        hashed = with_row_hash(df, self.key, self.seed)
+        return hashed.select(*[cell(f) for f in df.schema.fields])
 
 
 def fit_masking(
@@ -99,7 +100,7 @@ def masked_cells(df: DataFrame, masking: Masking) -> DataFrame:
     flags = [
         F.when(_present(fields[name]) & masking.masked(name), F.lit(name)) for name in masking.cuts
     ]
-    return df.select(
+    return with_row_hash(df, masking.key, masking.seed).select(
         quoted(masking.key), F.explode(F.array_compact(F.array(*flags))).alias("column")
     )
 
@@ -122,7 +123,7 @@ def imputation_accuracy(
         quoted(key).alias("__key"),
         *[quoted(name).alias(f"__p{i}") for i, name in enumerate(masking.cuts)],
     )
-    joined = df.join(after, quoted(key) == F.col("__key"))
+    joined = with_row_hash(df, key, seed).join(after, quoted(key) == F.col("__key"))
     hits, errors, matches = [], [], []
     for place, name in enumerate(masking.cuts):
         tested = _present(fields[name]) & masking.masked(name)
@@ -185,7 +186,9 @@ def duplicate_fix_accuracy(
         seed,
         limits,
     )[_ROW_LABEL]
-    copies = unique.where(cut.chosen(key, _ROW_LABEL, seed))
+    hashed = with_row_hash(unique, key, seed)
+    copies = hashed.where(cut.chosen(key, _ROW_LABEL, seed))
+    copies = copies.select(*[quoted(name) for name in unique.columns])
     corrupted = normalize_missing(unique.unionByName(copies), key)
     left = count_distinct_rows(corrupted, expected + injected, key, limits)
     surplus = F.greatest(F.col("distinct_rows") - expected, F.lit(0).cast("long"))

@@ -3,10 +3,14 @@
 Cells are ordered by a hash of row key, column and seed; the sample is the first k.  The
 k-th hash is found by the bucket search of ``order_stats``, so no column is ever sorted in
 one task, and the sample is then a plain filter.
+
+A row is digested once.  Each column scrambles the two numbers taken from the digest with a
+factor of its own, so that columns are sampled independently at the price of a product.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,15 +20,39 @@ from plumbline.functions.columns import quoted
 from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.operators.order_stats import order_statistics
 
-# Hex digits of the hash that a double holds exactly.
-_HASH_DIGITS = 13
-_HASH_END = float(16**_HASH_DIGITS)
+# Hex digits taken from digests.  Hashes have 52 bits, which a double holds exactly.  The
+# product of a row's second number with a column's factor has 60, so that it runs many times
+# through all hashes and still fits a long.
+_BASE_DIGITS = 13
+_MIX_DIGITS = 6
+_FACTOR_DIGITS = 9
+_HASH_END = 16**_BASE_DIGITS
+
+_BASE, _MIX = "__hash_base", "__hash_mix"
+
+
+def with_row_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds the numbers that `cell_hash` reads."""
+    digest = F.md5(F.concat(quoted(key).cast("string"), F.lit(f"|{seed}")))
+    digested = df.withColumn(_BASE, digest)
+
+    def number(start: int, digits: int) -> Column:
+        return F.conv(F.substring(F.col(_BASE), start, digits), 16, 10).cast("bigint")
+
+    return digested.withColumns(
+        {_MIX: number(_BASE_DIGITS + 1, _MIX_DIGITS), _BASE: number(1, _BASE_DIGITS)}
+    )
+
+
+def column_factor(label: str, seed: int) -> int:
+    digest = hashlib.md5(f"{label}|{seed}".encode()).hexdigest()
+    return int(digest[:_FACTOR_DIGITS], 16)
 
 
-def cell_hash(key: str, label: str, seed: int) -> Column:
+def cell_hash(label: str, seed: int) -> Column:
     """Evenly spread number for one row's cell, the same in every run and engine."""
-    text = F.concat_ws("|", quoted(key).cast("string"), F.lit(label), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, _HASH_DIGITS), 16, 10).cast("double")
+    mixed = F.col(_MIX) * F.lit(column_factor(label, seed)) + F.col(_BASE)
+    return F.pmod(mixed, F.lit(_HASH_END)).cast("double")
 
 
 @dataclass(frozen=True)
@@ -35,7 +63,8 @@ class Cut:
     last_key: object | None
 
     def chosen(self, key: str, label: str, seed: int) -> Column:
-        hashed = cell_hash(key, label, seed)
+        """Filter for a table with row hashes."""
+        hashed = cell_hash(label, seed)
         at = hashed == self.threshold
         if self.last_key is not None:
             at = at & (quoted(key) <= F.lit(self.last_key))
@@ -56,9 +85,10 @@ def fit_cuts(
     labels = [label for label in eligible if sizes[label] > 0]
     if not labels:
         return {}
-    hashed = {label: F.when(eligible[label], cell_hash(key, label, seed)) for label in labels}
+    df = with_row_hash(df, key, seed)
+    hashed = {label: F.when(eligible[label], cell_hash(label, seed)) for label in labels}
     ranks = {label: {sizes[label] - 1} for label in labels}
-    found = order_statistics(df, hashed, ranks, counts, even_up_to=_HASH_END, limits=limits)
+    found = order_statistics(df, hashed, ranks, counts, even_up_to=float(_HASH_END), limits=limits)
     cuts = {}
     for label in labels:
         threshold, reached = found[label, sizes[label] - 1]

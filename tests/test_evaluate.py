@@ -11,7 +11,7 @@ from plumbline.operators.evaluate import (
     masked_cells,
     outlier_fix_effectiveness,
 )
-from plumbline.operators.sampling import Cut, cell_hash, fit_cuts
+from plumbline.operators.sampling import Cut, cell_hash, fit_cuts, with_row_hash
 
 
 def test_exact_sample_sizes(spark, limits):
@@ -27,18 +27,27 @@ def test_exact_sample_sizes(spark, limits):
 def test_tied_hashes_go_by_key(spark, monkeypatch, limits):
     import plumbline.operators.sampling as sampling
 
-    monkeypatch.setattr(sampling, "cell_hash", lambda key, label, seed: F.lit(5.0))
+    monkeypatch.setattr(sampling, "cell_hash", lambda label, seed: F.lit(5.0))
     df = spark.range(20).withColumnRenamed("id", "k")
     cuts = fit_cuts(df, "k", {"x": F.lit(True)}, {"x": 20}, {"x": 7}, 1, limits)
     assert cuts["x"] == Cut(5.0, 6)
-    kept = df.where(cuts["x"].chosen("k", "x", 1))
+    kept = with_row_hash(df, "k", 1).where(cuts["x"].chosen("k", "x", 1))
     assert sorted(row.k for row in kept.collect()) == list(range(7))
 
 
 def test_hash_is_spread_and_stable(spark):
-    df = spark.range(1000).select(cell_hash("id", "c", 1).alias("h"))
-    low, high, number = df.agg(F.min("h"), F.max("h"), F.countDistinct("h")).first()
-    assert 0 <= low < high < 16**13 and number == 1000
+    hashed = with_row_hash(spark.range(4000), "id", 1)
+    df = hashed.select(cell_hash("c", 1).alias("c"), cell_hash("d", 1).alias("d"))
+    low, high, number = df.agg(F.min("c"), F.max("c"), F.countDistinct("c")).first()
+    assert 0 <= low < high < 16**13 and number == 4000
+    # Evenly spread, and one column's order says nothing about another's.
+    half = F.lit(16**13 / 2)
+    left, both = df.agg(
+        F.avg((F.col("c") < half).cast("int")),
+        F.avg(((F.col("c") < half) & (F.col("d") < half)).cast("int")),
+    ).first()
+    assert abs(left - 0.5) < 0.04 and abs(both - 0.25) < 0.04
+    assert abs(df.agg(F.corr("c", "d")).first()[0]) < 0.08
 
 
 def test_perfect_and_hopeless_imputation(frame, limits):
