@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import decontaminate
+from plumbline.llm.decontaminate import op10_benchmark_decontamination
 from plumbline.llm.ngram_join import op1_ngram_jaccard_join
+from plumbline.llm.quality import op5_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_quality_rules": op5_quality_rules,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_benchmark_decontamination": decontaminate.SQL}
