@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import decontaminate
 from plumbline.llm.decontaminate import op10_benchmark_decontamination
 from plumbline.llm.ngram_join import op1_ngram_jaccard_join
+from plumbline.llm.pieces import op9_sentencepiece
 from plumbline.llm.pii import op7_personal_data
 from plumbline.llm.quality import op5_quality_rules
 from plumbline.llm.sharding import op3_histogram_sort
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_histogram_sort": op3_histogram_sort,
     "op5_quality_rules": op5_quality_rules,
     "op7_personal_data": op7_personal_data,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL: dict[str, str] = {"op10_benchmark_decontamination": decontaminate.SQL}
