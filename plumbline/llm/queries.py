@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate
 from plumbline.llm.decontaminate import op10_benchmark_decontamination
+from plumbline.llm.language_model import op4_language_model
 from plumbline.llm.ngram_join import op1_ngram_jaccard_join
 from plumbline.llm.pieces import op9_sentencepiece
 from plumbline.llm.pii import op7_personal_data
@@ -17,6 +18,7 @@ from plumbline.llm.sharding import op3_histogram_sort
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_histogram_sort": op3_histogram_sort,
+    "op4_language_model": op4_language_model,
     "op5_quality_rules": op5_quality_rules,
     "op7_personal_data": op7_personal_data,
     "op9_sentencepiece": op9_sentencepiece,
