@@ -14,12 +14,14 @@ from plumbline.llm.pieces import op9_sentencepiece
 from plumbline.llm.pii import op7_personal_data
 from plumbline.llm.quality import op5_quality_rules
 from plumbline.llm.sharding import op3_histogram_sort
+from plumbline.llm.suffix_dedup import op6_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_histogram_sort": op3_histogram_sort,
     "op4_language_model": op4_language_model,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_personal_data": op7_personal_data,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
