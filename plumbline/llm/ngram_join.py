@@ -6,8 +6,9 @@ tokens that are frequent in the corpus last, by one table; the others go by thre
 hashes.  A pair is verified only if it shares prefix tokens under all three.
 
 Equal sets are one class from the start.  Groups of thousands of near copies would still make
-all pairs of their members: first every member of a large bucket is compared with the bucket's
-smallest id alone, and pairs that this connects already are not made again.  The components are
+all pairs of their members: first every member of a large bucket is compared with one pivot, the
+member in which the bucket's token comes first, and pairs that this connects already are not made
+again.  The components are
 those of all links; a link inside a component that is connected without it is not listed.
 
 Nothing is approximate but for 64-bit hashes of tokens.  The table of frequent tokens is of
@@ -30,11 +31,11 @@ from plumbline.llm.words import blocks, find_words, mix, shingles
 from plumbline.storage import settle
 
 ORDERS = 3
-# Tokens in the table of frequent ones: 12 bytes each in every task.
-FREQUENT_TOKENS = 1 << 19
+# Most tokens in the table of frequent ones: 16 bytes each in every task.
+FREQUENT_TOKENS = 1 << 18
 # Tokens counted in one go by a task, which then forgets those it saw once.
 _COUNTED_AT_ONCE = 1 << 22
-# Buckets beyond this size are compared with their smallest id first.
+# Buckets beyond this size are compared with their pivot first.
 _LARGE_BUCKET = 12
 # Bits of the filter that says which documents' sets are needed: 2 MB in every task.
 _FILTER_BITS = 1 << 24
@@ -55,6 +56,14 @@ def _prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def _enough(n: str, at: str, other_n: str, other_at: str, percent: int) -> str:
+    """Whether two sets can share enough if their first common token stands at these places: all
+    they share is at or after it.  It bounds the sizes' ratio, too."""
+    return (
+        f"{100 + percent} * least({n} - {at}, {other_n} - {other_at}) >= {percent} * ({n} + {other_n})"
+    )
+
+
 def _sets(block, n: int) -> Iterator[np.ndarray]:
     hashes, offsets = shingles(find_words(block), n)
     for start, stop in zip(offsets[:-1], offsets[1:]):
@@ -158,6 +167,7 @@ def _prefixes(n: int, percent: int, frequent, orders: int) -> Callable:
                     if len(often):
                         keys[often] = top + ranks[place[often]]
                     chosen = np.argpartition(keys, size - 1)[:size]
+                    chosen = chosen[np.argsort(keys[chosen])]
                     firsts.append(tokens[chosen].view(np.int64))
                 rows.append((i, len(tokens), *_digest(tokens), firsts))
             if not rows:
@@ -255,12 +265,19 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
 
 
 def _frequent_table(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens counted at least 2**k times, for the least k that keeps the table in bounds."""
     counted = described.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toPandas()
+    counted = settle(counted.withColumn("power", F.floor(F.log2("n")).cast("int")), "frequent")
+    held, cut = 0, 64
+    for row in counted.groupBy("power").count().orderBy(F.desc("power")).collect():
+        held += row["count"]
+        if held > FREQUENT_TOKENS:
+            break
+        cut = row["power"]
+    rows = counted.where(F.col("power") >= cut).select("token", "n").toPandas()
     tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
-    ranks = rows["n"].to_numpy(np.int64)
     by_count = np.empty(len(tokens), np.uint64)
-    by_count[np.lexsort((tokens, ranks))] = np.arange(len(tokens), dtype=np.uint64)
+    by_count[np.lexsort((tokens, rows["n"].to_numpy(np.int64)))] = np.arange(len(tokens), dtype=np.uint64)
     order = np.argsort(tokens)
     return tokens[order], by_count[order]
 
@@ -295,21 +312,26 @@ def jaccard_join(
         F.min("id").alias("id"), *[F.first(c).alias(c) for c in arrays]
     )
     numbered = [
-        F.expr(f"transform({c}, t -> named_struct('k', {k}, 'token', t))") for k, c in enumerate(arrays)
+        F.expr(f"transform({c}, (t, i) -> named_struct('k', {k}, 'token', t, 'at', i))")
+        for k, c in enumerate(arrays)
     ]
     tokens = classes.select("id", "n", F.inline(F.flatten(F.array(*numbered))))
+    # Only sets of nearly equal size can be similar: a row stays if its neighbour by size is near.
     bucket = Window.partitionBy("token", "k")
+    by_size = bucket.orderBy("n", "at", "id")
     shared = settle(
-        tokens.withColumn("size", F.count("*").over(bucket))
-        .withColumn("pivot", F.min(F.struct("id", "n")).over(bucket))
-        .where("size > 1")
-        .select("id", "n", "k", "token", "size", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")),
+        tokens.withColumn("under", F.lag("n").over(by_size))
+        .withColumn("over", F.lead("n").over(by_size))
+        .withColumn("size", F.count("*").over(bucket))
+        .withColumn("pivot", F.min(F.struct("at", "id", "n")).over(bucket))
+        .where(f"100 * under >= {percent} * n or 100 * n >= {percent} * over")
+        .select("id", "n", "k", "token", "at", "size", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")),
         "buckets",
     )
-    close = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"
     near_pivot = (
-        shared.where(f"size > {_LARGE_BUCKET} and k = 0 and id <> pivot and {close}")
-        .select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        shared.where(f"size > {_LARGE_BUCKET} and k = 0 and id <> p")
+        .where(_enough("n", "at", "pn", "pat", percent))
+        .select(F.col("p").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
     first = _verified(texts, near_pivot, n, percent)
@@ -317,21 +339,21 @@ def jaccard_join(
 
     joined = (
         shared.join(found, "id", "left")
-        .select("id", "n", "k", "token", "size", "pivot", F.coalesce("component", "id").alias("component"))
+        .select("id", "n", "k", "token", "at", F.coalesce("component", "id").alias("component"))
         .withColumn("low", F.min("component").over(bucket))
         .withColumn("high", F.max("component").over(bucket))
         .where("low <> high")
     )
-    left = joined.select("token", "k", "size", "pivot", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = joined.select("token", "k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    # A large bucket's pivot has been compared with all its members.
-    met = left.join(right, ["token", "k"]).where(
-        f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"
-        f" and not (k = 0 and a = pivot and size > {_LARGE_BUCKET})"
+    sides = [
+        joined.select("token", "k", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "at", "component")])
+        for side in ("a", "b")
+    ]
+    met = sides[0].join(sides[1], ["token", "k"]).where(
+        f"id_a < id_b and component_a <> component_b and {_enough('n_a', 'at_a', 'n_b', 'at_b', percent)}"
     )
     everywhere = (1 << orders) - 1
     candidates = (
-        met.groupBy("a", "b")
+        met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
         .agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("under"))
         .where(f"under = {everywhere}")
     )
