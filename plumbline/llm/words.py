@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Text bytes handled at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
