@@ -15,6 +15,7 @@ from plumbline.llm.pii import op7_personal_data
 from plumbline.llm.quality import op5_quality_rules
 from plumbline.llm.sharding import op3_histogram_sort
 from plumbline.llm.suffix_dedup import op6_suffix_array_dedup
+from plumbline.llm.toxicity import op8_string_kernel_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_personal_data": op7_personal_data,
+    "op8_string_kernel_toxicity": op8_string_kernel_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
