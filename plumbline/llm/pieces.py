@@ -245,11 +245,10 @@ class Encoder:
         return ids[places], np.concatenate([[0], ends])[per_text]
 
 
-def decode_ids(automaton: Automaton, ids: list[int]) -> str:
+def decode_ids(spelled: list[bytes], ids: list[int]) -> str:
     """The text of a list of ids; ids outside the model are left out."""
-    size = len(automaton.spelled)
-    spelled = b"".join([automaton.spelled[i] for i in ids if 0 <= i < size])
-    return spelled.decode("utf-8", "replace").removeprefix(" ")
+    size = len(spelled)
+    return b"".join([spelled[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace").removeprefix(" ")
 
 
 def encode(
@@ -259,10 +258,10 @@ def encode(
 
     Null and empty texts have no pieces.  Rows are encoded each, null ids stay null, and other
     columns of ``docs`` are not used."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Automaton(**shared.value))
         for block in blocks(batches, "text"):
             texts = pc.fill_null(block.batch.column(1), "").to_pylist()
             ids, starts = encoder.encode(texts)
@@ -278,11 +277,11 @@ def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
     """``encoded`` with the column ``text`` (replaced where there) decoded from ``pieces``.
 
     A null list gives a null text, an empty one an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(automaton)
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(automaton))
 
     @F.pandas_udf("string")
     def spell(lists):
-        return lists.map(lambda ids: None if ids is None else decode_ids(shared.value, ids))
+        return lists.map(lambda ids: None if ids is None else decode_ids(shared.value["spelled"], ids))
 
     return encoded.withColumn("text", spell("pieces"))
 
