@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate
+from plumbline.llm import chat, decontaminate
+from plumbline.llm.chat import op2_chat_formatting
 from plumbline.llm.decontaminate import op10_benchmark_decontamination
 from plumbline.llm.language_model import op4_language_model
 from plumbline.llm.ngram_join import op1_ngram_jaccard_join
@@ -19,6 +20,7 @@ from plumbline.llm.toxicity import op8_string_kernel_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_histogram_sort": op3_histogram_sort,
     "op4_language_model": op4_language_model,
     "op5_quality_rules": op5_quality_rules,
@@ -28,4 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-SQL: dict[str, str] = {"op10_benchmark_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op2_chat_formatting": chat.SQL,
+    "op10_benchmark_decontamination": decontaminate.SQL,
+}
