@@ -334,18 +334,21 @@ def train(samples: list[tuple[str, list[tuple[int, int, int]]]]) -> np.ndarray |
     return weights
 
 
-def _looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def _looked_at(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of batches with their texts; None where a text holds nothing to find."""
     for batch in batches:
         start = 0
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         reached = np.cumsum(sizes)
         while start < batch.num_rows:
             done = reached[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(reached, done + BLOCK_BYTES, "right")))
             part = batch.slice(start, min(stop, batch.num_rows) - start)
-            worth = pc.match_substring_regex(part.column(1), _WORTH_A_LOOK)
-            yield part, pc.if_else(worth, part.column(1), None).to_pylist()
+            worth = pc.fill_null(pc.match_substring_regex(part.column(at), _WORTH_A_LOOK), False)
+            texts: list[str | None] = [None] * part.num_rows
+            for i, text in zip(np.flatnonzero(worth.to_numpy(zero_copy_only=False)), part.column(at).filter(worth).to_pylist()):
+                texts[i] = text
+            yield part, texts
             start = min(stop, batch.num_rows)
 
 
@@ -353,7 +356,7 @@ def fit_field(docs: DataFrame, text_column: str = "text", sample: int = TRAINING
     """Trains the field on at most ``sample`` distinct stretches, those with the smallest hashes."""
 
     def run(batches):
-        for part, texts in _looked_at(batches):
+        for part, texts in _looked_at(batches, 1):
             stretch, gold = [], []
             for text in texts:
                 if text is None:
@@ -413,35 +416,44 @@ def find_personal_data(
     docs: DataFrame, weights: np.ndarray | None, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``base`` and ``spans`` as lists of
-    ``kind:start:end`` (code points, end exclusive), and ``redacted``, the text with every span
-    replaced by its kind in brackets.
+    ``kind:start:end`` (code points, end exclusive).
 
-    A null text has no spans and stays null; a null id stays null; rows are reported each.  Only
-    the listed two columns of ``docs`` are used."""
+    A null text has no spans; a null id stays null; rows are reported each.  Only the listed two
+    columns of ``docs`` are used."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for part, texts in _looked_at(batches):
-            base, spans, redacted = [], [], part.column(1).to_pylist()
-            for i, text in enumerate(texts):
-                certain, every = all_spans(text, shared.value) if text is not None else ([], [])
-                base.append(_listed(certain))
-                spans.append(_listed(every))
-                if every:
-                    pieces, reached = [], 0
-                    for start, kind, end in every:
-                        if start >= reached:
-                            pieces += [text[reached:start], f"[{KINDS[kind].upper()}]"]
-                        reached = max(reached, end)
-                    redacted[i] = "".join([*pieces, text[reached:]])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(redacted, pa.string())],
-                ["doc_id", "base", "spans", "redacted"],
-            )
+        for part, texts in _looked_at(batches, 1):
+            found = [([], []) if text is None else all_spans(text, shared.value) for text in texts]
+            lists = [pa.array([_listed(pair[k]) for pair in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "base", "spans"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, base string, spans string, redacted string")
+    return texts.mapInArrow(run, f"doc_id {kind}, base string, spans string")
+
+
+def redact(docs: DataFrame, weights: np.ndarray | None, text_column: str = "text") -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind in brackets; of overlapping
+    spans, one mark for each.  Null texts stay null, other columns stay as they are."""
+    at = docs.columns.index(text_column)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for part, texts in _looked_at(batches, at):
+            changed = part.column(at).to_pylist()
+            for i, text in enumerate(texts):
+                if text is None:
+                    continue
+                pieces, reached = [], 0
+                for start, kind, end in all_spans(text, shared.value)[1]:
+                    pieces += [text[reached:start], f"[{KINDS[kind].upper()}]"]
+                    reached = max(reached, end)
+                changed[i] = "".join([*pieces, text[reached:]])
+            columns = [pa.array(changed, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
