@@ -170,7 +170,10 @@ def judge(
         F.col("__score").alias("score"),
         (~F.col("__failed") & (F.col("__score") >= threshold)).alias("kept"),
     )
-    return sixth.select(*kept, verdict.alias(name))
+    # A condition that is always true but not constant: a filter on the verdict stays above it.
+    # Pushed below, it would put whole array expressions into the lambdas over them.
+    settled = F.when(F.spark_partition_id() >= 0, verdict)
+    return sixth.select(*kept, settled.alias(name))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
