@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from checks.tables import DIRTY, GAPS, KINDS, REPORT_TEXT
-from plumbline.functions.tokens import MISSING_TOKENS, NUMBER_PATTERN
-from plumbline.operators.trust import PENALTIES, SKEWNESS_PENALTY_CAP
+
+# Fixed values, written out so that a wrong one in the engine shows.
+MISSING_TOKENS = ("", "na", "n/a", "nan", "null", "none", "missing", "unknown", "-", "--")
+NUMBER_PATTERN = (
+    r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+)
+PENALTIES = {
+    "missing_pct": 0.30, "duplicate_pct": 0.25, "outlier_pct": 0.15, "type_inconsistency_pct": 0.12,
+    "null_col_ratio": 0.08, "constant_col_ratio": 0.05, "avg_skewness": 0.50,
+}
+SKEWNESS_PENALTY_CAP = 10.0
 
 SOURCES = {
     "dirty": DIRTY.format(orders="orders"),

@@ -243,6 +243,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outlier_query(spark, sf_dir, "events")
 
 
+_TAILS = """SELECT l_orderkey, CASE l_orderkey % 10 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE
+  ELSE CAST(l_extendedprice AS DOUBLE) END AS price FROM lineitem"""
+
+
+@query(
+    "outliers_infinite",
+    E.with_ctes(
+        [("tails", _TAILS), ("f", E.fence_rows("tails", ["price"]))],
+        # A column that is mostly infinite has no fences, so nothing in it is outside.
+        _OUTLIER_SQL + " UNION ALL SELECT 'mostly', count(*), 0, 0 FROM lineitem",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, price = F.col("l_orderkey"), F.col("l_extendedprice").cast("double")
+    infinity = F.lit(float("inf"))
+    df = table(spark, sf_dir, "lineitem").select(
+        F.when(key % 10 == 0, infinity).when(key % 10 == 1, -infinity).otherwise(price).alias("price"),
+        F.when(key % 10 < 8, infinity).otherwise(price).alias("mostly"),
+    )
+    rows, _ = null_counts(df)
+    found = outlier_counts(df, [f for f in fit_fences(df, {"price": rows, "mostly": rows}) if f.usable])
+    return found.select(F.col("column").alias("column_name"), "non_null", "low_count", "high_count")
+
+
 @query(
     "skewness",
     "\nUNION ALL ".join(
@@ -1100,6 +1124,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk(vectors, group_centroids(vectors, "label"))
 
 
+@query(
+    "vector_topk_nonfinite",
+    _VECTOR_SQL.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 7 <> 0)"),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every seventh vector holds an infinity: these score 0 and hide no other."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label"
+    )
+    whole = vectors.where("doc_id % 7 <> 0")
+    broken = F.expr(
+        "if(doc_id % 7 = 0, transform(vector, (v, i) -> if(i = 3, cast('Infinity' as float), v)), vector)"
+    )
+    return vector_topk(vectors.withColumn("vector", broken), group_centroids(whole, "label"))
+
+
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",

@@ -1,8 +1,4 @@
-"""Size bounds that decide between a single-pass plan and its distributed form.
-
-Both forms give the same result.  The single-pass form keeps state that grows with the
-data (a value map per column, a cached table), so it is only taken under a checked bound.
-"""
+"""Size bounds of what is broadcast or held by a task.  They do not change results."""
 
 from __future__ import annotations
 
@@ -11,10 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Limits:
-    # Cells (rows x columns) whose values may sit in one aggregation buffer.
-    small_cells: int = 1_000_000
-    # Rows of a table that may be shuffled whole without a digest pass first.
-    small_rows: int = 5_000_000
     # Rows of a keyed helper table that may be broadcast.
     broadcast_rows: int = 4_000_000
     # Vector components, and words, of a question batch held by every task.

@@ -7,6 +7,7 @@ computed once; later passes read its result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ from plumbline.operators.order_stats import quantiles
 from plumbline.operators.profile import (
     Fences,
     TableProfile,
+    above,
+    below,
     fit_fences,
     numeric_names,
     require_rows,
@@ -146,7 +149,9 @@ def fit_numeric_imputations(
             strategy, fill = MEDIAN, medians[name][0]
         else:
             strategy, fill = MEAN, mean
-        plan.append(Imputation(name, strategy, row["rows"] - n, float(fill)))
+        # Infinities of both signs have no mean; such a column is filled like an empty one.
+        fill = 0.0 if math.isnan(fill) else float(fill)
+        plan.append(Imputation(name, strategy, row["rows"] - n, fill))
     return plan
 
 
@@ -161,15 +166,13 @@ def fit_text_imputations(
         return non_null >= CARDINALITY_MIN_VALUES and distinct / non_null > CARDINALITY_LIMIT
 
     plan = {}
-    undecided = list(columns)
-    if rows > limits.small_rows:
-        # Digests never count more values than there are, so what is nearly unique by digest
-        # is so by value, and its text need not be shuffled.
-        for row in distinct_counts(table, columns, digest=True).collect():
-            if nearly_unique(row.non_null, row.distinct_values):
-                missing = rows - row.non_null
-                plan[row.column] = Imputation(row.column, HIGH_CARDINALITY, missing, PLACEHOLDER)
-        undecided = [name for name in columns if name not in plan]
+    # Digests never count more values than there are, so what is nearly unique by digest is so
+    # by value, and its text need not be shuffled.
+    for row in distinct_counts(table, columns, digest=True).collect():
+        if nearly_unique(row.non_null, row.distinct_values):
+            missing = rows - row.non_null
+            plan[row.column] = Imputation(row.column, HIGH_CARDINALITY, missing, PLACEHOLDER)
+    undecided = [name for name in columns if name not in plan]
     if undecided:
         for row in modes(table, undecided).collect():
             missing = rows - row.non_null
@@ -231,10 +234,9 @@ def fit_clippings(
     rest = [name for name in filled.columns if name not in {f.column for f in fences}]
     counts = []
     for place, fence in enumerate(fences):
-        value = quoted(fence.column).cast("double")
         counts += [
-            F.count_if(value < fence.lower).alias(f"low{place}"),
-            F.count_if(value > fence.upper).alias(f"high{place}"),
+            F.count_if(below(fence)).alias(f"low{place}"),
+            F.count_if(above(fence)).alias(f"high{place}"),
         ]
     nulls = [F.count_if(quoted(name).isNull()).alias(f"null{i}") for i, name in enumerate(rest)]
     row = filled.agg(F.count("*").alias("rows"), *counts, *nulls).first()

@@ -1,7 +1,6 @@
 """Duplicate rows: counting them and keeping one copy of each.
 
-A small table is grouped on all its columns.  A large one first shuffles only a 64-bit
-digest per row: a digest seen once proves its row unique, so only rows that share a digest
+A first pass shuffles only a 64-bit digest per row: a digest seen once proves its row unique, so only rows that share a digest
 need the exact grouping on all columns, and none at all if no digest is shared.  If too many
 are shared to broadcast them, the exact grouping of the whole table is the plan.  Map-side
 grouping turns a row repeated any number of times into one row per task before the shuffle.
@@ -46,8 +45,8 @@ class DuplicateSearch:
     df: DataFrame
     rows: int
     key: str | None
-    # Digests carried by more than one row; None where the table is small or has too many of
-    # them, and is grouped whole.
+    # Digests carried by more than one row; None where there are too many of them to broadcast,
+    # and the table is grouped whole.
     shared: DataFrame | None = None
     # The result itself, where it is known already.
     distinct: int | None = None
@@ -91,9 +90,7 @@ class DuplicateSearch:
 def find_duplicates(
     df: DataFrame, rows: int, key: str | None = None, limits: Limits = DEFAULT_LIMITS
 ) -> DuplicateSearch:
-    """The digest pass, for a table too large to be grouped whole without a look first."""
-    if rows <= limits.small_rows:
-        return DuplicateSearch(df, rows, key)
+    """The digest pass."""
     digest = F.xxhash64(*_row_values(df, key)).alias(_DIGEST)
     counted = df.select(digest).groupBy(_DIGEST).agg(F.count("*").alias("copies"))
     shared = settle(counted.where("copies > 1").select(_DIGEST), "digests")

@@ -1,8 +1,7 @@
 """Exact quantiles and order statistics of many columns at once.
 
-Small inputs use the built-in ``percentile``, whose buffer holds every distinct value.
-Beyond the bound the search runs in passes that shuffle only bucket counts: a mergeable
-sketch proposes a narrow interval around each wanted rank, a counting pass splits that
+The built-in ``percentile`` holds every distinct value in one buffer, so the search runs in
+passes that shuffle only bucket counts, at every size: a mergeable sketch proposes a narrow interval around each wanted rank, a counting pass splits that
 interval into buckets with their exact count, minimum and maximum, and the bucket holding
 the rank becomes the next interval.  A wrong proposal costs one more pass, never a wrong
 answer, because ranks are always taken from exact counts.
@@ -45,6 +44,11 @@ def _finite(value: Column) -> Column:
     return F.greatest(F.least(value, F.lit(_LARGEST)), F.lit(-_LARGEST))
 
 
+def _whole(value: float) -> float:
+    """Back from the largest finite numbers, which stand for the infinities in the search."""
+    return value if abs(value) < _LARGEST else math.copysign(math.inf, value)
+
+
 def _bucket(value: Column, intervals: list[_Interval]) -> Column:
     """Monotone bucket number, NULL outside all intervals."""
     branches = []
@@ -251,19 +255,6 @@ def quantiles(
     names = [name for name in values if counts[name] > 0]
     if not names:
         return {}
-    if sum(counts[name] for name in names) <= limits.small_cells:
-        wanted = F.array(*[F.lit(share) for share in shares])
-        searched = []
-        for start in range(0, len(names), _COLUMNS_PER_SCAN):
-            group = list(enumerate(names[start : start + _COLUMNS_PER_SCAN]))
-            row = df.agg(*[F.percentile(values[n], wanted).alias(f"p{i}") for i, n in group])
-            entries = [
-                F.struct(F.lit(n).alias("column"), F.col(f"p{i}").alias("found")) for i, n in group
-            ]
-            searched.append(row.select(F.inline(F.array(*entries))))
-        rows = reduce(DataFrame.unionAll, searched).collect()
-        return {row["column"]: tuple(row["found"]) for row in rows}
-
     ranks = {}
     for name in names:
         places = [(counts[name] - 1) * share for share in shares]
@@ -276,10 +267,11 @@ def quantiles(
             place = (counts[name] - 1) * share
             low, high = math.floor(place), math.ceil(place)
             if low == high:
-                interpolated.append(found[name, low][0])
+                interpolated.append(_whole(found[name, low][0]))
             else:
                 interpolated.append(
-                    (high - place) * found[name, low][0] + (place - low) * found[name, high][0]
+                    (high - place) * _whole(found[name, low][0])
+                    + (place - low) * _whole(found[name, high][0])
                 )
         result[name] = tuple(interpolated)
     return result

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -189,9 +190,22 @@ def fit_fences(
     return [Fences(name, non_null[name], *found[name]) for name in enough]
 
 
+def below(fences: Fences) -> Column:
+    """Under the lower fence.  Where infinite quartiles leave no fence nothing is outside: Spark
+    orders NaN above all numbers, but no number is compared with it here."""
+    if math.isnan(fences.lower):
+        return F.lit(False)
+    return quoted(fences.column).cast("double") < fences.lower
+
+
+def above(fences: Fences) -> Column:
+    if math.isnan(fences.upper):
+        return F.lit(False)
+    return quoted(fences.column).cast("double") > fences.upper
+
+
 def outside(fences: Fences) -> Column:
-    value = quoted(fences.column).cast("double")
-    return (value < fences.lower) | (value > fences.upper)
+    return below(fences) | above(fences)
 
 
 @dataclass(frozen=True)
@@ -283,8 +297,8 @@ def outlier_counts(table: DataFrame, fences: list[Fences]) -> DataFrame:
                 F.lit(fence.q3).alias("q3"),
                 F.lit(fence.lower).alias("lower_bound"),
                 F.lit(fence.upper).alias("upper_bound"),
-                F.count_if(value < fence.lower).alias("low_count"),
-                F.count_if(value > fence.upper).alias("high_count"),
+                F.count_if(below(fence)).alias("low_count"),
+                F.count_if(above(fence)).alias("high_count"),
             ).alias(f"f{place}")
         )
     if not entries:

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from plumbline.limits import DEFAULT_LIMITS, Limits
 
+# Fixed value: the text without a match.
 NO_MATCH = "No matching reports were found."
 RESULTS = 5
 _WORD = r"[\p{L}\p{N}]+"
@@ -110,7 +111,12 @@ def _union(parts: list[DataFrame], schema: T.StructType, index: DataFrame) -> Da
 
 
 def _unit_rows(vectors: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; a zero vector stays and is similar to nothing."""
+    """Rows scaled to length one; a zero vector stays and is similar to nothing, and so is one
+    with a component that is not finite."""
+    vectors = np.where(np.isfinite(vectors).all(axis=1, keepdims=True), vectors, 0.0)
+    # By the largest component first, or squares of large numbers would overflow.
+    peaks = np.abs(vectors).max(axis=1, initial=0.0, keepdims=True)
+    vectors = np.divide(vectors, peaks, out=np.zeros_like(vectors), where=peaks > 0)
     sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
     return np.divide(vectors, sizes, out=np.zeros_like(vectors), where=sizes > 0)
 
@@ -119,8 +125,11 @@ def _cosines(asked: np.ndarray) -> Scorer:
     units = _unit_rows(asked)
 
     def score(part: pa.RecordBatch) -> np.ndarray:
-        flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
-        vectors = flat.astype("float64").reshape(part.num_rows, -1)
+        column = part.column("vector")
+        fits = pc.equal(pc.list_value_length(column), asked.shape[1])
+        flat = column.filter(fits).flatten().to_numpy(zero_copy_only=False)
+        vectors = np.zeros((part.num_rows, asked.shape[1]))
+        vectors[fits.to_numpy(zero_copy_only=False)] = flat.astype("float64").reshape(-1, asked.shape[1])
         return units @ _unit_rows(vectors).T
 
     return score
@@ -129,7 +138,15 @@ def _cosines(asked: np.ndarray) -> Scorer:
 def vector_topk(
     index: DataFrame, questions: DataFrame, k: int = RESULTS, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
-    """RET2 on ready vectors: index (doc_id, vector), questions (question_id, vector)."""
+    """RET2 on ready vectors: index (doc_id, vector), questions (question_id, vector).
+
+    A document whose vector has another length than the question's or a component that is not
+    finite scores 0, as a zero vector does.  Null vectors are no documents and no questions.
+    Questions must all have one length."""
+    questions = questions.where(F.col("vector").isNotNull())
+    lengths = [row[0] for row in questions.select(F.size("vector")).distinct().take(2)]
+    if len(lengths) > 1:
+        raise ValueError(f"question vectors of different lengths: {sorted(lengths)}")
     size = questions.agg(F.sum(F.size("vector"))).first()[0] or 0
     documents = index.select("doc_id", "vector").where(F.col("vector").isNotNull())
     schema = _result_type(index, questions)

@@ -10,8 +10,8 @@ from plumbline.session import local_session  # noqa: E402
 
 SMALLEST = "/root/testdata/sf0.001"
 
-# Every bound at zero: all operators take the form they have on large tables.
-DISTRIBUTED = Limits(small_cells=0, small_rows=0, buckets=16)
+# Few buckets, so that a search on a small table takes several passes.
+DISTRIBUTED = Limits(buckets=16)
 
 
 @pytest.fixture(scope="session")
@@ -21,9 +21,9 @@ def spark():
     return session
 
 
-@pytest.fixture(params=["single-pass", "distributed"])
-def limits(request):
-    return Limits() if request.param == "single-pass" else DISTRIBUTED
+@pytest.fixture
+def limits():
+    return DISTRIBUTED
 
 
 @pytest.fixture

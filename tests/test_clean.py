@@ -123,3 +123,19 @@ def test_modes_of_several_columns(frame):
     df = frame("a string, b string", ("x", "q"), ("x", "p"), ("y", "p"), (None, "q"))
     found = {row["column"]: tuple(row)[1:] for row in modes(df, ["a", "b"]).collect()}
     assert found == {"a": (3, 2, "x", 2), "b": (4, 2, "p", 2)}
+
+
+def test_infinite_values_survive(frame, limits):
+    inf = float("inf")
+    df = frame("k int, v double", *[(i, inf) for i in range(8)], (8, 1.0), (9, 2.0))
+    result, report = _clean(df, limits)
+    assert sorted(row.v for row in result.frame.collect()) == [1.0, 2.0] + [inf] * 8
+    assert report.outlier_clipping == []
+    row = analyze_quality(df, limits=limits).first()
+    assert row.outlier_count == 0
+
+
+def test_no_mean_of_both_infinities(frame, limits):
+    inf = float("inf")
+    filled = _fill(frame("k int, v double", (1, inf), (2, -inf), (3, 1.0), (4, 2.0), (5, None)), limits)
+    assert filled.fill_value in ("0.0", "0", "1.5")

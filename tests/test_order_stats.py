@@ -52,6 +52,8 @@ def test_infinite_values(spark):
     values = [float("-inf")] * 2 + [1.0, 2.0, 3.0] + [float("inf")] * 2
     found = _quantiles(spark, {"v": values}, DISTRIBUTED)
     assert found["v"][1] == 2.0
+    mostly = _quantiles(spark, {"v": [float("inf")] * 8 + [1.0, 2.0]}, DISTRIBUTED)
+    assert mostly["v"][-1] == float("inf")
 
 
 def test_sparse_column_beyond_the_sample(spark):

@@ -100,7 +100,7 @@ def test_odd_column_names_and_nested_types(spark, limits):
     assert row.constant_col_ratio == 25.0
 
 
-def test_distinct_rows_equal_in_both_forms(spark, frame, limits):
+def test_distinct_rows(spark, frame, limits):
     rows = [(i % 7, None if i % 3 else "x", float(i % 2)) for i in range(60)]
     df = frame("a int, b string, c double", *rows)
     assert count_distinct_rows(df, 60, limits=limits).first()[0] == len(set(rows))
@@ -120,7 +120,7 @@ def test_most_rows_equal(spark, limits):
 def test_too_many_repeated_digests_to_broadcast(frame):
     from plumbline.limits import Limits
 
-    limits = Limits(small_rows=0, broadcast_rows=1)
+    limits = Limits(broadcast_rows=1)
     df = frame("v int", *[i % 5 for i in range(20)])
     assert count_distinct_rows(df, 20, limits=limits).first()[0] == 5
     assert distinct_rows(df, 20, limits=limits).count() == 5

@@ -1,3 +1,4 @@
+import pytest
 import math
 import random
 from collections import Counter
@@ -124,3 +125,18 @@ def test_equal_vectors_are_ranked_by_id(frame):
         ("q", 1, "d000", 1.0), ("q", 2, "d001", 1.0),
         ("r", 1, "d000", 0.707107), ("r", 2, "d001", 0.707107),
     ]
+
+
+def test_odd_vectors_score_nothing_and_hide_nothing(spark):
+    inf = float("inf")
+    rows = [(i, [1.0, float(i)]) for i in range(1, 7)]
+    rows += [(7, [inf, 1.0]), (8, [float("nan"), 1.0]), (9, [1.0]), (10, [1.0, 2.0, 3.0]), (11, None), (12, [0.0, 0.0])]
+    index = spark.createDataFrame(rows, "doc_id int, vector array<double>")
+    questions = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "question_id int, vector array<double>")
+    found = vector_topk(index, questions, 11).orderBy("rank").collect()
+    assert {row.question_id for row in found} == {1}
+    assert [row.doc_id for row in found] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12]
+    assert all(row.score == 0 for row in found[6:])
+    mixed = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], questions.schema)
+    with pytest.raises(ValueError, match="different lengths"):
+        vector_topk(index, mixed, 2)
