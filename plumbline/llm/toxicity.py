@@ -314,7 +314,7 @@ def fit_machine(
     )
     for row in suspects.orderBy("id", "rank").collect():
         bags.setdefault(row["id"], []).append((row["word"], row["odds"], row["up"]))
-    clean = stats.where("up = 0")
+    clean = stats.withColumn("odds", odds).where("down > 0 and odds < 2").drop("odds")
     often = clean.orderBy(F.desc("down"), "word").limit(_NEGATIVES // 4)
     spread = clean.orderBy(F.xxhash64("word"), "word").limit(_NEGATIVES)
     negative = [row["word"] for row in spread.union(often).select("word").distinct().orderBy(F.xxhash64("word")).collect()]
