@@ -147,13 +147,14 @@ def deep_shallow_order(strings: list[bytes], shallow: int = _SHALLOW) -> list[in
     return order
 
 
-def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each different ``(reversed left, right)`` context of a gram: the runs around the anchor,
-    as bytes to the left and to the right, that recur at another anchor."""
-    found: list[list[tuple[int, int]]] = [[] for _ in members]
+def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int) -> list[tuple[int, int]]:
+    """For each different ``(reversed left, right)`` context of a gram: how far to the left and to
+    the right of the anchor bytes recur at another anchor.  All repeated strings found there
+    hold the anchor, so what they cover is one run."""
+    found = [(0, 0)] * len(members)
     for i, (left, right) in enumerate(members):
         if counts[i] > 1 and len(left) + len(right) >= length:
-            found[i].append((len(left), len(right)))
+            found[i] = len(left), len(right)
     if len(members) == 1:
         return found
     rights = sorted({right for _, right in members})
@@ -174,7 +175,7 @@ def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int)
             following = _common(members[i][0], members[group[place + 1]][0]) if place + 1 < len(group) else -1
             left = max(previous, following)
             if left >= 0 and left + depth >= length:
-                found[i].append((left, depth))
+                found[i] = max(found[i][0], left), max(found[i][1], depth)
             previous = following
 
     # Groups of suffixes by depth of agreement, from the common prefixes of neighbours.
@@ -254,8 +255,8 @@ def _repeated(length: int):
             return []
         members = list(contexts)
         out = []
-        for context, spans in zip(members, repeats(members, [len(contexts[m]) for m in members], length)):
-            for left, right in spans:
+        for context, (left, right) in zip(members, repeats(members, [len(contexts[m]) for m in members], length)):
+            if right:
                 out += [(i, d, place - left, place + right) for i, d, place in contexts[context]]
         return out
 
@@ -314,7 +315,7 @@ def remove_repeats(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_repeated(length), _RUNS)
     runs = settle(
-        found.distinct().groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs")),
+        found.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs")),
         "runs",
     )
     joined = texts.alias("t").join(
