@@ -455,6 +455,34 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "trust_forest_rules",
+    "SELECT table_name, true AS score_in_range, true AS spread_in_range, true AS confidence_follows,"
+    " true AS importances_sum, true AS near_formula FROM (VALUES "
+    + ", ".join(f"('{name}')" for name in SCORED_TABLES)
+    + ") t(table_name)",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any forest of this kind, though learner and random numbers are Spark's own."""
+    metrics = _all_metrics(spark, sf_dir)
+    forest = predict_trust_score(metrics, "forest")
+    formula = predict_trust_score(metrics, "formula").select(
+        "table_name", F.col("trust_score").alias("formula_score")
+    )
+    # The limits of the confidence levels; at the rounded limit either may stand.
+    level = F.when(F.col("std_dev") < 3.5, "High").when(F.col("std_dev") < 7.0, "Medium").otherwise("Low")
+    at_limit = F.col("std_dev").isin(3.5, 7.0)
+    weights = F.aggregate(F.map_values("importances"), F.lit(0.0), lambda total, weight: total + weight)
+    return forest.join(formula, "table_name").select(
+        "table_name",
+        F.col("trust_score").between(0, 100).alias("score_in_range"),
+        F.col("std_dev").between(0, 50).alias("spread_in_range"),
+        ((F.col("confidence_level") == level) | at_limit).alias("confidence_follows"),
+        ((F.size("importances") == 7) & weights.between(99.9, 100.1)).alias("importances_sum"),
+        (F.abs(F.col("trust_score") - F.col("formula_score")) <= 15).alias("near_formula"),
+    )
+
+
 @query("forest_importances")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's weights next to the metrics they weigh, for one table."""
