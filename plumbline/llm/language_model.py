@@ -7,7 +7,7 @@ the root, whose arcs are the unigrams.  A text is read once from left to right;
 carried and the weights are added.
 
 Counts cover the whole training part of the corpus and never meet in one place.  The corpus is
-cut into blocks of about two million tokens.  A block asks for the counts of its distinct
+cut into blocks of about a million tokens.  A block asks for the counts of its distinct
 n-grams; parts of the key space add up what all blocks have counted and answer each block with
 totals; so each block gets the states and arcs that its texts can reach, and no others.  What is
 moved is one number per distinct n-gram and block, however frequent the n-gram is.
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import blocks, find_words, mix
 from plumbline.storage import new_path
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 # Shares of the probability that a context may keep for words not seen after it.
 KEPT_MASS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 1.0)
 _BANDS = 64
@@ -38,9 +39,9 @@ _ADDED = 0.1
 _U = np.uint64
 _END, _START = _U(0xA5A5A5A500000001), _U(0xA5A5A5A500000002)
 
-_PAYLOAD = "block long, ids array<long>, held array<boolean>, lengths binary, words binary, tokens binary"
+_PAYLOAD = "block long, ids array<long>, held array<boolean>, lengths binary, words binary, homes binary, tokens binary"
 _ASKED = "block long, part int, words binary, seen binary, pairs binary, met binary"
-_COUNTED = "ids array<long>, held array<boolean>, lengths binary, tokens binary, seen binary, met binary"
+_COUNTED = "ids array<long>, held array<boolean>, lengths binary, tokens binary, seen binary, met binary, types long"
 _ANSWERED = "block long, part int, words binary, pairs binary, types long"
 _SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -55,17 +56,27 @@ def _unpacked(value: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind)
 
 
+def _tight(values: np.ndarray) -> pa.Array:
+    """Small numbers in wide fields, and numbers of words, pack to a fraction."""
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(values.tobytes())], pa.binary())
+
+
+def _loose(value: pa.Scalar, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_buffer()), kind)
+
+
 def _write(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole texts: ids, held-out flags, token counts, distinct words, word numbers."""
+def _cut(parts: int):
+    """Blocks of whole texts: ids, held-out flags, token counts, distinct words and the parts of
+    the key space they belong to, word numbers."""
 
-    def made(parts):
-        ids, held, lengths, hashes = zip(*parts)
+    def made(texts):
+        ids, held, lengths, hashes = zip(*texts)
         words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         ids, held = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(held).combine_chunks()
         bounds = pa.array([0, len(ids)], pa.int32())
@@ -78,24 +89,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.ListArray.from_arrays(bounds, held),
                 _packed(np.concatenate(lengths).astype(np.int32)),
                 _packed(words),
-                _packed(tokens.astype(np.uint32)),
+                _tight((mix(words, 5) % _U(parts)).astype(np.uint32)),
+                _tight(tokens.astype(np.uint32)),
             ],
-            ["block", "ids", "held", "lengths", "words", "tokens"],
+            ["block", "ids", "held", "lengths", "words", "homes", "tokens"],
         )
 
-    parts, size = [], 0
-    for block in blocks(batches, "text"):
-        found = find_words(block)
-        # Every text ends with the end token.
-        lengths = np.diff(found.offsets) + 1
-        hashes = np.insert(found.hashes, found.offsets[1:], _END)
-        parts.append((block.batch.column(0), block.batch.column(1), lengths, hashes))
-        size += len(hashes)
-        if size >= BLOCK_TOKENS:
-            yield made(parts)
-            parts, size = [], 0
-    if parts:
-        yield made(parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, size = [], 0
+        for block in blocks(batches, "text"):
+            found = find_words(block)
+            # Every text ends with the end token.
+            lengths = np.diff(found.offsets) + 1
+            hashes = np.insert(found.hashes, found.offsets[1:], _END)
+            texts.append((block.batch.column(0), block.batch.column(1), lengths, hashes))
+            size += len(hashes)
+            if size >= BLOCK_TOKENS:
+                yield made(texts)
+                texts, size = [], 0
+        if texts:
+            yield made(texts)
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -115,19 +130,26 @@ class _Tokens:
 
 def _read(held, lengths, words: int, tokens) -> _Tokens:
     lengths = _unpacked(lengths, np.int32).astype(np.int64)
-    tokens = _unpacked(tokens, np.uint32).astype(np.int64)
+    tokens = _loose(tokens, np.uint32).astype(np.int64)
     previous = np.empty_like(tokens)
     previous[1:] = tokens[:-1]
     previous[np.cumsum(lengths) - lengths] = words
     return _Tokens(held.values.to_numpy(zero_copy_only=False), lengths, words, tokens, previous)
 
 
-def _parted(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _parted(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by part of the key space, and where each part begins."""
-    part = (mix(hashes, 5) % _U(parts)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
 
 
+def _pair_homes(homes: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part a pair belongs to follows from those of its words; a frequent word's pairs are
+    spread by the other word."""
+    known = np.append(homes, parts).astype(np.uint64)
+    width = len(known)
+    return (mix(known[keys // width] * _U(parts + 1) + known[keys % width], 8) % _U(parts)).astype(np.int64)
+
+
 def _pair_hashes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """48 bits of a hash per pair of words."""
     known = np.append(words, _START)
@@ -150,7 +172,7 @@ def _ask(parts: int):
 
     def run(batches):
         for batch in batches:
-            for number, _, held, lengths, words, tokens in zip(*batch.columns):
+            for number, held, lengths, words, homes, tokens in zip(*batch.columns):
                 words = _unpacked(words, _U)
                 read = _read(held, lengths, len(words), tokens)
                 trained = np.repeat(~read.held, read.lengths)
@@ -158,8 +180,9 @@ def _ask(parts: int):
                 keys, at = np.unique(read.pair_keys, return_inverse=True)
                 met = np.bincount(at[trained], minlength=len(keys)).astype(np.uint32)
                 pairs = _pair_hashes(words, keys)
-                word_order, word_starts = _parted(words, parts)
-                pair_order, pair_starts = _parted(pairs, parts)
+                homes = _loose(homes, np.uint32)
+                word_order, word_starts = _parted(homes, parts)
+                pair_order, pair_starts = _parted(_pair_homes(homes, keys, parts), parts)
                 for part in range(parts):
                     w = word_order[word_starts[part] : word_starts[part + 1]]
                     p = pair_order[pair_starts[part] : pair_starts[part + 1]]
@@ -168,9 +191,9 @@ def _ask(parts: int):
                             pa.array([number.as_py()], pa.int64()),
                             pa.array([part], pa.int32()),
                             _packed(words[w]),
-                            _packed(seen[w]),
+                            _tight(seen[w]),
                             pa.array([_six_bytes(pairs[p])], pa.binary()),
-                            _packed(met[p]),
+                            _tight(met[p]),
                         ],
                         ["block", "part", "words", "seen", "pairs", "met"],
                     )
@@ -178,21 +201,21 @@ def _ask(parts: int):
     return run
 
 
-def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[bytes], int]:
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[pa.Scalar], int]:
     """Each block's keys with the counts of all blocks, and how many keys were counted at all."""
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
-    return [x.tobytes() for x in np.split(sums[at], ends[:-1])], int((sums > 0).sum())
+    return [_tight(x)[0] for x in np.split(sums[at], ends[:-1])], int((sums > 0).sum())
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """Adds up one part of the key space."""
     words, types = _totals(
-        [_unpacked(x, _U) for x in table["words"]], [_unpacked(x, np.uint32) for x in table["seen"]]
+        [_unpacked(x, _U) for x in table["words"]], [_loose(x, np.uint32) for x in table["seen"]]
     )
     pairs, _ = _totals(
-        [_from_six_bytes(x) for x in table["pairs"]], [_unpacked(x, np.uint32) for x in table["met"]]
+        [_from_six_bytes(x) for x in table["pairs"]], [_loose(x, np.uint32) for x in table["met"]]
     )
     return pa.table(
         {
@@ -211,15 +234,15 @@ def _align(parts: int):
 
     def run(batches):
         for batch in batches:
-            for ids, held, lengths, words, tokens, answers in zip(*batch.columns):
-                words = _unpacked(words, _U)
-                keys = np.unique(_read(held, lengths, len(words), tokens).pair_keys)
+            for ids, held, lengths, homes, tokens, answers, types in zip(*batch.columns):
+                homes = _loose(homes, np.uint32)
+                keys = np.unique(_read(held, lengths, len(homes), tokens).pair_keys)
                 counts = []
-                for name, hashes in (("words", words), ("pairs", _pair_hashes(words, keys))):
-                    order, _ = _parted(hashes, parts)
-                    totals = np.empty(len(hashes), np.int64)
-                    totals[order] = np.concatenate([_unpacked(x, np.int64) for x in answers.values.field(name)])
-                    counts.append(_packed(totals))
+                for name, part in (("words", homes), ("pairs", _pair_homes(homes, keys, parts))):
+                    order, _ = _parted(part, parts)
+                    totals = np.empty(len(part), np.int64)
+                    totals[order] = np.concatenate([_loose(x, np.int64) for x in answers.values.field(name)])
+                    counts.append(_tight(totals))
                 bounds = pa.array([0, len(ids.values)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -227,8 +250,9 @@ def _align(parts: int):
                         pa.ListArray.from_arrays(bounds, held.values),
                         *[pa.array([x.as_py()], pa.binary()) for x in (lengths, tokens)],
                         *counts,
+                        pa.array([types.as_py()], pa.int64()),
                     ],
-                    ["ids", "held", "lengths", "tokens", "seen", "met"],
+                    ["ids", "held", "lengths", "tokens", "seen", "met", "types"],
                 )
 
     return run
@@ -237,10 +261,10 @@ def _align(parts: int):
 def _counted(batches: Iterator[pa.RecordBatch]):
     """Per block: ids, tokens, the counts of its words, its distinct pairs and their counts."""
     for batch in batches:
-        for ids, held, lengths, tokens, seen, met in zip(*batch.columns):
-            seen = _unpacked(seen, np.int64)
+        for ids, held, lengths, tokens, seen, met, _ in zip(*batch.columns):
+            seen = _loose(seen, np.int64)
             read = _read(held, lengths, len(seen), tokens)
-            yield ids.values, read, seen, np.unique(read.pair_keys), _unpacked(met, np.int64)
+            yield ids.values, read, seen, np.unique(read.pair_keys), _loose(met, np.int64)
 
 
 def _band(count: np.ndarray) -> np.ndarray:
@@ -364,18 +388,19 @@ def score_documents(
         F.coalesce(held_out, F.lit(True)).alias("held"),
         F.col(text_column).cast("string").alias("text"),
     )
-    payload = _write(texts.mapInArrow(_cut, _PAYLOAD), "tokens")
+    payload = _write(texts.mapInArrow(_cut(parts), _PAYLOAD), "tokens")
     total, starts = payload.select("held", "lengths").mapInArrow(_sizes, "n long, texts long").agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0))
     ).first()
-    answers = payload.mapInArrow(_ask(parts), _ASKED).groupBy("part").applyInArrow(_answer, _ANSWERED)
-    answers = _write(answers, "answers")
-    types = answers.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
+    asked = payload.select("block", "held", "lengths", "words", "homes", "tokens")
+    answers = asked.mapInArrow(_ask(parts), _ASKED).groupBy("part").applyInArrow(_answer, _ANSWERED)
     gathered = answers.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("part", "words", "pairs"))).alias("answers")
+        F.sort_array(F.collect_list(F.struct("part", "words", "pairs"))).alias("answers"),
+        F.sum("types").alias("types"),
     )
-    joined = payload.join(gathered, "block").select("ids", "held", "lengths", "words", "tokens", "answers")
+    joined = payload.join(gathered, "block").select("ids", "held", "lengths", "homes", "tokens", "answers", "types")
     counted = _write(joined.mapInArrow(_align(parts), _COUNTED), "counted")
+    types = counted.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     rows = (
         counted.mapInArrow(_likelihoods(total, types, starts), "band long, mass long, likelihood double")
         .groupBy("band", "mass")
