@@ -1,9 +1,12 @@
-"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi.
+"""SentencePiece encoding and decoding by an Aho-Corasick automaton in a single pass.
 
 The automaton holds all pieces of a given model.  Reading a text once, every position follows
-the output links from the current state, longest piece first, and relaxes the best score of a
-segmentation that ends there.  Characters without a piece become byte pieces, so that decoding
-gives the text back exactly.
+the output links from the current state, longest piece first.  For a model of piece probabilities
+this relaxes the best score of a segmentation that ends there (Viterbi).  For a BPE model scores
+are merge ranks, whose sums mean nothing: there the piece that ends the encoding of the text so far
+is the only one that merging leaves apart from the last piece before it, and that is asked of the
+two pieces' merges.  Characters without a piece become byte pieces, so that decoding gives the text
+back exactly.
 
 No piece goes beyond a word's end, which is checked when a model is loaded, so the best
 segmentation of a text is that of its words.  A task runs the automaton over many different words
@@ -15,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,73 @@ _WORDS = re.compile(r" *[^ \n]+| +|\n")
 _WHOLE = re.compile(r"(?s).+")
 
 
+@dataclass(frozen=True)
+class Merges:
+    """Arrays over pieces: rank of the merge that makes one (-1 for characters, -2 for pieces that
+    no text is merged to) and the parts it merges; and the sorted pairs that merge, with ranks."""
+
+    ranks: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    pairs: np.ndarray
+    pair_ranks: np.ndarray
+
+    def apart(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether merging the two pieces' text gives just these: their merges are taken back,
+        the latest first, and no earlier one may be possible across the place between them."""
+        found = np.ones(len(first), bool)
+        waiting, limit = np.arange(len(first)), np.full(len(first), np.iinfo(np.int64).max)
+        while len(waiting):
+            keys = first * len(self.ranks) + second
+            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            across = (self.pairs[place] == keys) & (self.pair_ranks[place] < limit)
+            found[waiting[across]] = False
+            going = ~across & ((self.ranks[first] >= 0) | (self.ranks[second] >= 0))
+            waiting, first, second = waiting[going], first[going], second[going]
+            a, b = self.ranks[first], self.ranks[second]
+            # Of equal ranks the one further left is merged first.
+            later = a > b
+            limit = np.where(later, a, b + 1)
+            first, second = np.where(later, self.right[first], first), np.where(later, second, self.left[second])
+        return found
+
+
+def find_merges(pieces: list[str], scores: list[float], matched: list[bool]) -> Merges:
+    """The merges of a BPE model: best score first, leftmost among equal ones."""
+    numbers = {p: i for i, p in enumerate(pieces) if matched[i]}
+    if missing := {c for p in numbers for c in p if c not in numbers}:
+        raise ValueError(f"characters of pieces are no pieces: {sorted(missing)[:5]}")
+    long = {p: i for p, i in numbers.items() if len(p) > 1}
+    order = {score: rank for rank, score in enumerate(sorted({scores[i] for i in long.values()}, reverse=True))}
+    ranks = np.full(len(pieces), -2, np.int64)
+    left, right = np.arange(len(pieces)), np.arange(len(pieces))
+    for piece, i in numbers.items():
+        if len(piece) == 1:
+            ranks[i] = -1
+            continue
+        parts = list(piece)
+        while len(parts) > 1:
+            steps = [
+                (order[scores[long[a + b]]], k)
+                for k, (a, b) in enumerate(zip(parts, parts[1:]))
+                if a + b in long
+            ]
+            if not steps:
+                break
+            _, k = min(steps)
+            last = parts[k : k + 2]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        if len(parts) == 1:
+            ranks[i] = order[scores[i]]
+            left[i], right[i] = numbers[last[0]], numbers[last[1]]
+    made = np.flatnonzero(ranks >= 0)
+    if (np.maximum(ranks[left[made]], ranks[right[made]]) > ranks[made]).any():
+        raise ValueError("a piece is ranked before its parts")
+    keys = left[made] * len(pieces) + right[made]
+    sort = np.argsort(keys)
+    return Merges(ranks, left, right, keys[sort], ranks[made][sort])
+
+
 @dataclass(frozen=True)
 class Automaton:
     """Arrays over states: edges sorted by ``state * alphabet + character``, failure links, the
@@ -53,6 +123,7 @@ class Automaton:
     byte_ids: np.ndarray
     spelled: list[bytes]
     by_words: bool
+    merges: Merges | None = None
 
     def step(self, states: np.ndarray, characters: np.ndarray) -> np.ndarray:
         """The states after reading one character each."""
@@ -125,6 +196,34 @@ def build_automaton(
     )
 
 
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if raw[at - 1] < 128:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of a protobuf message's fields."""
+    at = 0
+    while at < len(raw):
+        key, at = _varint(raw, at)
+        if key & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def _model_type(raw: bytes) -> int:
+    """``trainer_spec.model_type`` of a model: 1 for piece probabilities, 2 for BPE."""
+    trainer = dict(_fields(dict(_fields(raw)).get(2, b"")))
+    return trainer.get(3, 1)
+
+
 def load_model(path: str = MODEL) -> Automaton:
     """Reads a SentencePiece model with byte pieces and no normalization, on the driver."""
     import sentencepiece
@@ -136,16 +235,20 @@ def load_model(path: str = MODEL) -> Automaton:
     byte_ids = [model.piece_to_id(f"<0x{byte:02X}>") for byte in range(256)]
     if not all(model.is_byte(i) for i in byte_ids):
         raise ValueError("the model has no byte pieces")
-    return build_automaton(
-        pieces,
-        [model.get_score(i) for i in ids],
-        [not special[i] and not model.is_byte(i) for i in ids],
-        byte_ids,
-    )
-
-
-def segment(automaton: Automaton, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all words end to end, and where each word's begin."""
+    scores = [model.get_score(i) for i in ids]
+    matched = [not special[i] and not model.is_byte(i) for i in ids]
+    automaton = build_automaton(pieces, scores, matched, byte_ids)
+    kind = _model_type(model.serialized_model_proto())
+    if kind not in (1, 2):
+        raise ValueError("the model is neither of piece probabilities nor of merges")
+    return replace(automaton, merges=find_merges(pieces, scores, matched)) if kind == 2 else automaton
+
+
+def segment(
+    automaton: Automaton, words: list[str], merges: Merges | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all words end to end, and where each word's begin: by ``merges`` or, without
+    them, by the best sum of scores."""
     lengths = np.array([len(word) for word in words], np.int64)
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
@@ -167,6 +270,14 @@ def segment(automaton: Automaton, words: list[str]) -> tuple[np.ndarray, np.ndar
         while len(ending := ending[keep := ending > 0]):
             place = place[keep]
             piece = automaton.piece[ending]
+            if merges is not None:
+                last = back[place - automaton.lengths[piece]]
+                fits = merges.ranks[piece] >= -1
+                asked = np.flatnonzero(fits & (last >= 0))
+                fits[asked] = merges.apart(last[asked], piece[asked])
+                back[place[fits]] = piece[fits]
+                ending = np.where(fits, 0, automaton.output[ending])
+                continue
             score = best[place - automaton.lengths[piece]] + automaton.scores[piece]
             better = score > best[place]
             best[place[better]] = score[better]
@@ -200,7 +311,9 @@ def segment(automaton: Automaton, words: list[str]) -> tuple[np.ndarray, np.ndar
 
 
 class Encoder:
-    """Encodes texts and remembers the pieces of recent words."""
+    """Encodes texts by the best sum of scores and remembers the pieces of recent words."""
+
+    merges: Merges | None = None
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
@@ -226,7 +339,7 @@ class Encoder:
                     numbers[word] = len(numbers)
                     new[word] = None
         if new:
-            ids, starts = segment(self.automaton, list(new))
+            ids, starts = segment(self.automaton, list(new), self.merges)
             self.ids.append(ids)
             self.starts.append(starts[:-1] + self.held)
             self.held += len(ids)
@@ -245,6 +358,14 @@ class Encoder:
         return ids[places], np.concatenate([[0], ends])[per_text]
 
 
+class MergeEncoder(Encoder):
+    """Encodes texts by the merges of a BPE model."""
+
+    def __init__(self, automaton: Automaton):
+        super().__init__(automaton)
+        self.merges = automaton.merges
+
+
 def decode_ids(spelled: list[bytes], ids: list[int]) -> str:
     """The text of a list of ids; ids outside the model are left out."""
     size = len(spelled)
@@ -254,14 +375,20 @@ def decode_ids(spelled: list[bytes], ids: list[int]) -> str:
 def encode(
     docs: DataFrame, automaton: Automaton, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``doc_id`` and ``pieces`` (list of ids) per row of ``docs``.
+    """``doc_id`` and ``pieces`` (list of ids) per row of ``docs``: the model's own encoding, but for
+    the mark of a space itself in a text, which is spelled in bytes.
 
     Null and empty texts have no pieces.  Rows are encoded each, null ids stay null, and other
     columns of ``docs`` are not used."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton))
+    # Plain arrays, so that tasks need no import of the package.
+    merges = automaton.merges and vars(automaton.merges)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(automaton) | {"merges": merges})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Automaton(**shared.value))
+        held = shared.value
+        merges = held["merges"] and Merges(**held["merges"])
+        net = Automaton(**held | {"merges": merges})
+        encoder = MergeEncoder(net) if merges else Encoder(net)
         for block in blocks(batches, "text"):
             texts = pc.fill_null(block.batch.column(1), "").to_pylist()
             ids, starts = encoder.encode(texts)
@@ -277,17 +404,23 @@ def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
     """``encoded`` with the column ``text`` (replaced where there) decoded from ``pieces``.
 
     A null list gives a null text, an empty one an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vars(automaton))
+    shared = encoded.sparkSession.sparkContext.broadcast(automaton.spelled)
 
     @F.pandas_udf("string")
     def spell(lists):
-        return lists.map(lambda ids: None if ids is None else decode_ids(shared.value["spelled"], ids))
+        return lists.map(lambda ids: None if ids is None else decode_ids(shared.value, ids.tolist()))
 
     return encoded.withColumn("text", spell("pieces"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """All documents encoded."""
+    """All documents encoded, with a digest of the text that their pieces decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    encoded = encode(docs, load_model(model))
-    return encoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
+    automaton = load_model(model)
+    decoded = decode(encode(docs, automaton), automaton)
+    return decoded.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        "pieces",
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )

@@ -116,3 +116,52 @@ def test_long_word(model):
     ids, _ = pc.Encoder(model).encode(["ab" * 20_000])
     assert pc.decode_ids(model.spelled, ids.tolist()) == "ab" * 20_000
     assert isinstance(ids, np.ndarray)
+
+
+def merged_by_hand(scores, text):
+    """Best score first, the leftmost of equal ones."""
+    parts = list("▁" + text.replace(" ", "▁")) if text else []
+    while steps := [(-scores[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]:
+        _, k = min(steps)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return parts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merges_of_small_models(seed):
+    turn = random.Random(seed)
+    scores = {c: -1000.0 for c in "▁abc"}
+    for rank in range(25):
+        # Equal scores, pieces no text is merged to, and pieces that go beyond a word's end.
+        made = "".join(turn.choices(list(scores), k=2))
+        if made not in scores and (seed % 2 or "▁" not in made.lstrip("▁")):
+            scores[made] = -float(rank // 2)
+    pieces = list(scores)
+    net, table = small(pieces, [scores[p] for p in pieces])
+    net = pc.replace(net, merges=pc.find_merges(pieces, [scores[p] for p in pieces], [True] * len(pieces)))
+    texts = ["".join(turn.choices("abc ", k=turn.randrange(30))) for _ in range(200)]
+    ids, starts = pc.MergeEncoder(net).encode(texts)
+    found = [[pieces[i] for i in ids[a:b]] for a, b in zip(starts[:-1], starts[1:])]
+    assert found == [merged_by_hand(scores, t) for t in texts]
+
+
+def test_the_models_own_encoding_of_whole_documents(model, spark):
+    import sentencepiece
+
+    reader = sentencepiece.SentencePieceProcessor(model_file=pc.MODEL)
+    docs = from_files(spark, "documents")
+    found = {r.doc_id: r.pieces for r in pc.encode(docs, model).collect()}
+    assert found == {r.doc_id: reader.encode(r.text) for r in docs.collect()}
+    texts = [t for t in HARD if "▁" not in t] + ["understanding", "the", " " * 37 + "x", "e\0f"]
+    ids, starts = pc.MergeEncoder(model).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [reader.encode(t) for t in texts]
+
+
+def test_query_returns_a_digest_of_the_round_trip(spark):
+    from hashlib import sha256
+
+    rows = pc.op9_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text for r in from_files(spark, "documents").collect()}
+    assert {r.doc_id: r.decoded_sha256 for r in rows} == {
+        i: sha256(t.encode()).hexdigest() for i, t in texts.items()
+    }
