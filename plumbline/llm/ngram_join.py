@@ -5,11 +5,14 @@ among the first few of each under *any* order of all tokens.  Three orders are u
 tokens that are frequent in the corpus last, by one table; the others go by three different
 hashes.  A pair is verified only if it shares prefix tokens under all three.
 
-Equal sets are one class from the start.  Groups of thousands of near copies would still make
-all pairs of their members: first every member of a large bucket is compared with one pivot, the
-member in which the bucket's token comes first, and pairs that this connects already are not made
-again.  The components are
-those of all links; a link inside a component that is connected without it is not listed.
+Equal sets are one class from the start.  For the components alone, groups of thousands of near
+copies need not make all pairs of their members: first every member of a large bucket is compared
+with one pivot, the member in which the bucket's token comes first, and pairs that this connects
+already are not made again.
+
+All links lie inside components.  They are listed and counted there: a component is dealt into
+blocks of bounded size, and every two blocks meet in one group, whose sets are compared all at
+once.  Counting makes no row per pair.
 
 Nothing is approximate but for 64-bit hashes of tokens.  The table of frequent tokens is of
 bounded size and only steers the order; any table gives the same result.
@@ -37,6 +40,10 @@ FREQUENT_TOKENS = 1 << 18
 _COUNTED_AT_ONCE = 1 << 22
 # Buckets beyond this size are compared with their pivot first.
 _LARGE_BUCKET = 12
+# Documents and tokens in a block of a component, about.
+_BLOCK, _BLOCK_TOKENS = 256, 1 << 19
+# Columns of the matrices whose product counts shared tokens.
+_COLUMNS = 1 << 12
 # Bits of the filter that says which documents' sets are needed: 2 MB in every task.
 _FILTER_BITS = 1 << 24
 _BITMAP_BITS = 32768
@@ -44,10 +51,22 @@ _BITMAP_BITS = 32768
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """``members``: id, n_shingles, component; ``links``: a, b between class representatives."""
+    """``members``: id, n_shingles, component."""
 
     members: DataFrame
-    links: DataFrame
+    blocks: Callable[[], DataFrame]
+    percent: int
+
+    @property
+    def links(self) -> DataFrame:
+        """All links ``a``, ``b`` between representatives (smallest ids) of equal sets, a < b."""
+        return self.blocks().mapInArrow(_links(self.percent, False), "a long, b long")
+
+    @property
+    def counts(self) -> DataFrame:
+        """``component`` and ``n_links``, the number of its links; only of those that have some."""
+        counted = self.blocks().mapInArrow(_links(self.percent, True), "component long, n long")
+        return counted.groupBy("component").agg(F.sum("n").alias("n_links"))
 
 
 def _prefix_size(size: int, percent: int) -> int:
@@ -264,6 +283,96 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     return settle(joined.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of tokens that each of ``left`` shares with each of ``right``."""
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(tokens) for tokens in left + right])
+    _, column, counts = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    # Tokens of one set alone are shared by none.
+    often = counts > 1
+    kept = often[column]
+    rows, column = rows[kept], (np.cumsum(often) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    found = np.zeros((len(left), len(right)))
+    for first in range(0, int(often.sum()), _COLUMNS):
+        start, stop = np.searchsorted(column, [first, first + _COLUMNS])
+        held = np.zeros((len(left) + len(right), _COLUMNS), np.float32)
+        held[rows[start:stop], column[start:stop] - first] = 1
+        found += held[: len(left)] @ held[len(left) :].T
+    return found.astype(np.int64)
+
+
+def _links(percent: int, count: bool) -> Callable:
+    """The links between two blocks of a component, or their number.  Rows come sorted by
+    component and blocks; two blocks are held at a time."""
+
+    def compare(rows: list[tuple]) -> np.ndarray:
+        _, x, y, *_ = rows[0]
+        sides = [[row for row in rows if row[3] == block] for block in (x, y)]
+        if not all(sides):
+            return np.empty((0, 2), np.int64)
+        ids = [np.array([row[4] for row in side], np.int64) for side in sides]
+        sets = [[np.frombuffer(row[5], np.uint64) for row in side] for side in sides]
+        sizes = [np.array([len(tokens) for tokens in side], np.int64) for side in sets]
+        shared = _shared(*sets)
+        alike = 100 * shared >= percent * (sizes[0][:, None] + sizes[1] - shared)
+        # A block with itself has every pair twice.
+        alike &= ids[0][:, None] < ids[1] if x == y else ids[0][:, None] != ids[1]
+        a, b = np.nonzero(alike)
+        a, b = ids[0][a], ids[1][b]
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+    def result(rows: list[tuple]) -> pa.RecordBatch:
+        pairs = compare(rows)
+        if count:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([rows[0][0]], pa.int64()), pa.array([len(pairs)], pa.int64())], ["component", "n"]
+            )
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if rows and rows[-1][:3] != row[:3]:
+                    yield result(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield result(rows)
+
+    return run
+
+
+def _block_pairs(texts: DataFrame, sizes: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """Sets of all documents in components, once for each pair of blocks (x, y) theirs is in."""
+    spark = texts.sparkSession
+    tokens = sizes.where("n > 0").distinct().groupBy("id").agg(F.sum("n").alias("n"))
+    parts = (
+        found.join(tokens, "id")
+        .groupBy("component")
+        .agg(F.expr(f"cast(greatest(ceil(count(*) / {_BLOCK}), ceil(sum(n) / {_BLOCK_TOKENS})) as int) as parts"))
+    )
+    dealt = found.join(parts, "component").select(
+        "id", "component", "parts", F.expr("cast(pmod(xxhash64(id), parts) as int) as block")
+    )
+    bits = _filter_of(spark, found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    sets = texts.where("id is not null").mapInArrow(_wanted_sets(n, bits), "id long, tokens binary")
+    placed = sets.where("octet_length(tokens) > 0").join(dealt, "id").dropDuplicates(["id", "tokens"])
+    paired = placed.select(
+        "component", "block", "id", "tokens", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
+    ).select(
+        "component",
+        F.least("block", "other").alias("x"),
+        F.greatest("block", "other").alias("y"),
+        "block",
+        "id",
+        "tokens",
+    )
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return paired.repartition(count, "component", "x", "y").sortWithinPartitions("component", "x", "y")
+
+
 def _frequent_table(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The tokens counted at least 2**k times, for the least k that keeps the table in bounds."""
     counted = described.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n"))
@@ -358,8 +467,7 @@ def jaccard_join(
         .where(f"under = {everywhere}")
     )
     second = _verified(texts, candidates, n, percent)
-    links = first.unionAll(second)
-    found = settle(components(links), "components")
+    found = settle(components(first.unionAll(second)), "components")
 
     owners = sizes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("owner"))
     placed = (
@@ -367,12 +475,17 @@ def jaccard_join(
         .join(found.select(F.col("id").alias("owner"), "component"), "owner", "left")
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "owner", "id").alias("component"))
     )
-    return JaccardJoin(placed, links)
+    return JaccardJoin(placed, lambda: _block_pairs(texts, sizes, found, n), percent)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents by 3-word shingles at 90 percent."""
+    """All documents by 3-word shingles at 90 percent, with the number of links between different
+    sets in their component."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_join(docs).members.select(
-        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id")
+    found = jaccard_join(docs)
+    return found.members.join(found.counts, "component", "left").select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )

@@ -86,3 +86,54 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(7, 7), (None, 3)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 120)}
+
+
+def links_by_hand(rows, n, percent):
+    """Pairs of the smallest ids of equal sets."""
+    owners = {}
+    for i, sets in sets_of(rows, n).items():
+        for tokens in sets:
+            if tokens:
+                owners[tokens] = min(i, owners.get(tokens, i))
+    pairs = itertools.combinations(owners, 2)
+    return {
+        (min(owners[x], owners[y]), max(owners[x], owners[y]))
+        for x, y in pairs
+        if owners[x] != owners[y] and 100 * len(x & y) >= percent * len(x | y)
+    }
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_links_are_whole(spark, monkeypatch, block):
+    """All pairs of near copies, and not only those that connect them, in few or many blocks."""
+    monkeypatch.setattr(ngram_join, "_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "_COLUMNS", 50)
+    turn = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(200, " ".join(base[:40])), (201, " ".join(base[:39])), (202, ""), (203, None)]
+    for i in range(90):
+        copy = list(base)
+        for _ in range(turn.randrange(4)):
+            copy[turn.randrange(200)] = turn.choice(["x", "y", f"z{i}"])
+        rows += [(i, " ".join(copy))] * turn.choice([1, 1, 2])
+    found = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    links = [(r.a, r.b) for r in found.links.collect()]
+    wanted = links_by_hand(rows, 3, 90)
+    assert len(links) == len(set(links)) and set(links) == wanted and len(links) > 200
+    component = brute(rows, 3, 90)
+    counts = {}
+    for a, _ in wanted:
+        counts[component[a]] = counts.get(component[a], 0) + 1
+    assert {r.component: r.n_links for r in found.counts.collect()} == counts
+
+
+def test_query_counts_the_links_of_each_component(spark):
+    rows = [(r.doc_id, r.text) for r in from_files(spark, "documents").collect()]
+    component, counts = brute(rows, 3, 90), {}
+    for a, _ in links_by_hand(rows, 3, 90):
+        counts[component[a]] = counts.get(component[a], 0) + 1
+    found = ngram_join.op1_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.component_id, r.n_links) for r in found} == {
+        i: (c, counts.get(c, 0)) for i, c in component.items()
+    }
