@@ -315,7 +315,7 @@ def remove_repeats(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_repeated(length), _RUNS)
     runs = settle(
-        found.groupBy("id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs")),
+        found.groupBy("id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")),
         "runs",
     )
     joined = texts.alias("t").join(

@@ -91,3 +91,14 @@ def test_full_map_lets_everything_through(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert sd.remove_repeats(empty(spark)).count() == 0
+
+
+def test_copies_of_a_row_hold_their_runs_once(spark, monkeypatch):
+    settled, settle = [], sd.settle
+    monkeypatch.setattr(sd, "settle", lambda df, label: settled.append(settle(df, label)) or settled[-1])
+    text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(900))
+    docs = spark.createDataFrame([(1, text)] * 40, "doc_id long, text string")
+    rows = sd.remove_repeats(docs).collect()
+    assert len(rows) == 40 and {bytes(r.kept) for r in rows} == {b""}
+    (held,) = settled[0].collect()
+    assert len(held.runs) == len(set(held.runs))
