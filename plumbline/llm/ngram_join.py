@@ -3,12 +3,13 @@
 A document is the set of its word n-grams.  If two sets are similar enough, they share a token
 among the first few of each under *any* order of all tokens.  Three orders are used.  All put
 tokens that are frequent in the corpus last, by one table; the others go by three different
-hashes.  A pair is verified only if it shares prefix tokens under all three.
+hashes.  A pair, but for those with a pivot, is verified only if it shares prefix tokens under all
+three.
 
 Equal sets are one class from the start.  For the components alone, groups of thousands of near
 copies need not make all pairs of their members: first every member of a large bucket is compared
 with one pivot, the member in which the bucket's token comes first, and pairs that this connects
-already are not made again.
+already are not made again.  Pairs with a pivot are taken from the first order alone.
 
 All links lie inside components.  They are listed and counted there: a component is dealt into
 blocks of bounded size, and every two blocks meet in one group, whose sets are compared all at
