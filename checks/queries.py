@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import expected as E
-from checks.tables import KINDS, dirty, gaps, report_texts, table
+from checks.tables import KINDS, dirty, gaps, land, report_texts, table
 from plumbline.functions.formats import delta_text, percent_text
 from plumbline.operators.clean import (
     apply_imputations,
@@ -63,9 +63,11 @@ from plumbline.operators.views import (
     score_band,
     severity,
 )
+from plumbline.plans.batch_run import FILE, run_quality_batch
 from plumbline.plans.quality_run import QualityRun, run_quality
-from plumbline.sources.history import latest_runs, read_history, run_by_id, shown
+from plumbline.sources.history import find_run, latest_runs, read_history, shown
 from plumbline.sources.readers import read_csv, read_reports, read_table
+from plumbline.sources.report_index import read_index, upsert_reports
 from plumbline.sources.writers import export_json, export_table
 from plumbline.storage import new_path
 from plumbline.streaming.ingest import ingest, landing_stream
@@ -834,7 +836,7 @@ def _history_sql() -> list[tuple[str, str]]:
 HISTORY = _history_sql()
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history_path(spark: SparkSession, sf_dir: str) -> str:
     path = new_path(spark, "history")
     for place, name in enumerate(("dirty", *_CLEAN_TABLES), 1):
         df, key = _source(spark, sf_dir, name)
@@ -847,7 +849,11 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
             run_key=name,
             created_at=MOMENT + dt.timedelta(minutes=place),
         )
-    return read_history(spark, path)
+    return path
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_history(spark, _history_path(spark, sf_dir))
 
 
 @query("run_history", E.with_ctes(HISTORY, "SELECT * FROM history ORDER BY upload_time DESC, id DESC LIMIT 50"))
@@ -857,7 +863,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("run_by_id", E.with_ctes(HISTORY, "SELECT * FROM history WHERE id = 2"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(run_by_id(_history(spark, sf_dir), 2))
+    return shown(find_run(spark, _history_path(spark, sf_dir), 2))
 
 
 @query(
@@ -1324,22 +1330,145 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _file_sql() -> list[tuple[str, str]]:
+    """The dirty table in three files, each measured, cleaned and measured again."""
+    ctes, rows = list(E.source("dirty")), []
+    for part in range(FILES):
+        name = f"d{part}"
+        ctes += [(name, f"SELECT * FROM dirty WHERE o_orderkey % {FILES} = {part}")]
+        ctes += E.cleaning(name, DIRTY_KINDS, f"k{part}") + [E.audit(DIRTY_KINDS, f"k{part}")]
+        for side, relation in (("before", name), ("after", f"k{part}_c")):
+            ctes += E.metrics(relation, DIRTY_KINDS, True, f"{side}{part}") + [E.scored(f"{side}{part}")]
+        columns = [f"{s}.{c} AS {t}_{c}" for s, t in (("b", "before"), ("a", "after")) for c in _RECORDED]
+        rows.append(
+            f"""SELECT {part + 1} AS id, 'dirty_{part}.parquet' AS filename, b.trust_score < 95 AS was_cleaned,
+              {", ".join(columns)}, duplicates_removed, missing_before, missing_after, true AS reported,
+              a.total_rows AS exported_rows FROM before{part}_s b, after{part}_s a, k{part}_r"""
+        )
+    return ctes + [("runs", " UNION ALL ".join(rows))]
+
+
+FILES = 3
+
+
+@query("stream_ingest", E.with_ctes(_file_sql(), "SELECT * FROM runs"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty files that arrive in a folder, all in one micro-batch; what was recorded of each run."""
+    whole = dirty(spark, sf_dir)
+    places = {name: new_path(spark, f"stream-{name}") for name in ("files", "history", "state", "reports", "out", "index")}
+    land(whole.withColumn("part", F.col("o_orderkey") % FILES), "part", places["files"], "dirty")
+    ingest(
+        landing_stream(spark, places["files"], whole.schema), "orders", places["history"], places["state"],
+        scorer="formula", key=KEY, created_at=MOMENT, exports=places["out"], reports=places["reports"],
+        index=places["index"],
+    ).awaitTermination()
+    runs = read_history(spark, places["history"]).drop("upload_time", "confidence_level")
+    # What the report texts and exported tables say of the same runs.
+    text = F.col("text")
+
+    def told(label: str) -> Column:
+        return F.regexp_extract(text, rf"(?m)^{label}: (\d+)$", 1).cast("bigint")
+
+    reports = read_reports(spark, places["reports"]).select(
+        F.regexp_extract("doc_id", r"^run_(\d+)_dirty_", 1).cast("int").alias("id"),
+        told("Duplicates Removed").alias("duplicates_removed"),
+        told("Missing Before").alias("missing_before"),
+        told("Missing After").alias("missing_after"),
+        text.alias("report"),
+    )
+    index = read_index(spark, places["index"]).select(F.col("run_id").alias("id"), F.col("text").alias("indexed"))
+    exported = spark.read.parquet(places["out"]).groupBy("export").agg(F.count("*").alias("exported_rows"))
+    exported = exported.withColumn("id", F.regexp_extract("export", r"cleaned_(\d+)", 1).cast("int")).drop("export")
+    joined = runs.join(reports, "id").join(index, "id").join(exported, "id")
+    return joined.withColumn("reported", F.col("report") == F.col("indexed")).drop("report", "indexed")
+
+
+PARTS = 55
+_PAGED = "o_orderkey, o_totalprice, o_orderpriority"
+HISTORY_PAGE = [
+    ("f", f"SELECT o_orderkey % {PARTS} AS part, {_PAGED} FROM orders"),
+    (
+        "n",
+        "SELECT part, 1 AS place, CAST(o_orderkey AS DOUBLE) AS v FROM f "
+        "UNION ALL SELECT part, 2, CAST(o_totalprice AS DOUBLE) FROM f",
+    ),
+    (
+        "q",
+        f"""SELECT part, place, n, q1 - 1.5::DOUBLE * (q3 - q1) AS lower_bound, q3 + 1.5::DOUBLE * (q3 - q1) AS upper_bound,
+          skew FROM (SELECT part, place, count(v) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3,
+            {E.skew("v")} AS skew FROM n GROUP BY part, place) s WHERE n >= 4 AND q3 - q1 <> 0""",
+    ),
+    (
+        "o",
+        """SELECT part, count(*) FILTER (WHERE v < lower_bound OR v > upper_bound) AS outliers, count(v) AS cells
+          FROM n JOIN q USING (part, place) GROUP BY part""",
+    ),
+    ("s", "SELECT part, avg(abs(skew)) AS mean_skew FROM q GROUP BY part"),
+    (
+        "a",
+        f"""SELECT part, count(*) AS total_rows, count(*) - count(DISTINCT o_orderkey) AS copies,
+          CASE WHEN min(o_orderpriority) = max(o_orderpriority) THEN 1 ELSE 0 END
+            + CASE WHEN min(o_orderkey) = max(o_orderkey) THEN 1 ELSE 0 END
+            + CASE WHEN min(o_totalprice) = max(o_totalprice) THEN 1 ELSE 0 END AS constants FROM f GROUP BY part""",
+    ),
+    (
+        "m",
+        f"""SELECT part, total_rows, 0::DOUBLE AS missing_pct, {E.pct("copies", "total_rows")} AS duplicate_pct,
+          {E.pct("coalesce(outliers, 0)", "coalesce(cells, 0)")} AS outlier_pct, 0::DOUBLE AS type_inconsistency_pct,
+          0::DOUBLE AS null_col_ratio, {E.pct("constants", "3")} AS constant_col_ratio,
+          {E.rounded("coalesce(mean_skew, 0)", 3)} AS avg_skewness
+          FROM a LEFT JOIN o USING (part) LEFT JOIN s USING (part)""",
+    ),
+    E.scored("m"),
+    (
+        "numbered",
+        "SELECT *, CAST(row_number() OVER (ORDER BY part) AS INTEGER) AS id FROM m_s",
+    ),
+]
+
+
 @query(
-    "stream_ingest",
+    "history_page",
     E.with_ctes(
-        E.table_metrics("events") + [E.scored("events_m")],
-        """SELECT 1 AS id, 'events_0' AS filename, total_rows AS before_total_rows, missing_pct AS before_missing_pct,
-          duplicate_pct AS before_duplicate_pct, outlier_pct AS before_outlier_pct,
-          trust_score AS before_trust_score, trust_score < 95 AS was_cleaned FROM events_m_s""",
+        HISTORY_PAGE,
+        "SELECT id, 'orders_' || lpad(CAST(part AS VARCHAR), 2, '0') || '.csv' AS filename, false AS was_cleaned, "
+        + ", ".join(f"{c} AS {side}_{c}" for side in ("before", "after") for c in _RECORDED)
+        + " FROM numbered ORDER BY id DESC LIMIT 50",
     ),
 )
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file arrives in a folder and is measured as one micro-batch."""
-    schema = table(spark, sf_dir, "events").schema
-    history = new_path(spark, "stream-history")
-    stream = landing_stream(spark, sf_dir, schema, glob="events.parquet")
-    ingest(
-        stream, "events", history, new_path(spark, "stream-state"), scorer="formula", created_at=MOMENT
-    ).awaitTermination()
-    names = ["id", "filename", *[f"before_{name}" for name in _RECORDED], "was_cleaned"]
-    return read_history(spark, history).select(*names)
+    """The newest page of a history of 55 runs, measured and recorded as one batch."""
+    part = F.lpad((F.col("o_orderkey") % PARTS).cast("string"), 2, "0")
+    named = F.concat(F.lit("landing/orders_"), part, F.lit(".csv")).alias(FILE)
+    orders = table(spark, sf_dir, "orders").select(*_PAGED.split(", "), named)
+    path = new_path(spark, "paged-history")
+    run_quality_batch(orders, scorer="formula", threshold=0.0, history=path, created_at=MOMENT)
+    return latest_runs(read_history(spark, path)).drop("upload_time", "confidence_level")
+
+
+@query(
+    "index_stored",
+    E.with_ctes(
+        METADATA,
+        """SELECT doc_id, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN 4 ELSE 1 END::BIGINT AS version,
+          CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN filename || ' 4' ELSE filename END AS filename, run_id
+          FROM index_rows
+        UNION ALL SELECT concat(doc_id, '-new'), 2, filename, run_id FROM index_rows
+          WHERE CAST(doc_id AS BIGINT) % 5 = 0""",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index after an upsert with three changes to some documents, read anew."""
+    index = report_metadata(report_texts(spark, sf_dir))
+    number, path = F.col("doc_id").cast("bigint"), new_path(spark, "index")
+
+    def change(df: DataFrame, version: int) -> DataFrame:
+        name = F.concat("filename", F.lit(f" {version}")) if version > 2 else F.col("filename")
+        return df.withColumn("version", F.lit(version).cast("long")).withColumn("filename", name)
+
+    upsert_reports(change(index, 1), path)
+    again = index.where(number % 3 == 0)
+    fresh = index.where(number % 5 == 0).withColumn("doc_id", F.concat("doc_id", F.lit("-new")))
+    changes = [change(again, 3), change(again, 4), change(again, 2), change(fresh, 2)]
+    upsert_reports(reduce(DataFrame.unionByName, changes), path)
+    return read_index(spark.newSession(), path).select("doc_id", "version", "filename", "run_id")

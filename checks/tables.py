@@ -85,6 +85,22 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DIRTY, orders=table(spark, sf_dir, "orders"))
 
 
+def land(df: DataFrame, column: str, folder: str, name: str) -> None:
+    """One Parquet file ``<name>_<value>.parquet`` for each value of a column, as if others had put
+    it there."""
+    spark = df.sparkSession
+    df.repartition(column).write.partitionBy(column).parquet(f"{folder}-parts")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    for part in system.listStatus(path(f"{folder}-parts")):
+        if not part.isDirectory():
+            continue
+        value = part.getPath().getName().partition("=")[2]
+        (source,) = [f.getPath() for f in system.listStatus(part.getPath()) if f.getPath().getName().endswith(".parquet")]
+        system.rename(source, path(f"{folder}/{name}_{value}.parquet"))
+
+
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(GAPS, labels=table(spark, sf_dir, "labels"))
 

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Limits:
-    # Rows of a keyed helper table that may be broadcast.
-    broadcast_rows: int = 4_000_000
     # Vector components, and words, of a question batch held by every task.
     question_values: int = 2_000_000
     question_terms: int = 20_000

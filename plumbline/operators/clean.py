@@ -39,7 +39,7 @@ from plumbline.operators.profile import (
     require_rows,
     sample_skewness,
 )
-from plumbline.operators.value_counts import distinct_counts, modes
+from plumbline.operators.value_counts import count_values
 from plumbline.storage import settle
 
 # Fill of text columns without a usable mode, and the rule names in reports.
@@ -155,31 +155,24 @@ def fit_numeric_imputations(
     return plan
 
 
+def nearly_unique(non_null: int, distinct: int) -> bool:
+    return non_null >= CARDINALITY_MIN_VALUES and distinct / non_null > CARDINALITY_LIMIT
+
+
 def fit_text_imputations(
     table: DataFrame, rows: int, columns: list[str], limits: Limits = DEFAULT_LIMITS
 ) -> list[Imputation]:
     """CLN3: a placeholder for empty or nearly unique columns, the mode otherwise."""
     if not columns:
         return []
-
-    def nearly_unique(non_null: int, distinct: int) -> bool:
-        return non_null >= CARDINALITY_MIN_VALUES and distinct / non_null > CARDINALITY_LIMIT
-
+    counts = count_values(table, columns)
     plan = {}
-    # Digests never count more values than there are, so what is nearly unique by digest is so
-    # by value, and its text need not be shuffled.
-    for row in distinct_counts(table, columns, digest=True).collect():
-        if nearly_unique(row.non_null, row.distinct_values):
-            missing = rows - row.non_null
-            plan[row.column] = Imputation(row.column, HIGH_CARDINALITY, missing, PLACEHOLDER)
-    undecided = [name for name in columns if name not in plan]
-    if undecided:
-        for row in modes(table, undecided).collect():
-            missing = rows - row.non_null
-            if nearly_unique(row.non_null, row.distinct_values):
-                plan[row.column] = Imputation(row.column, HIGH_CARDINALITY, missing, PLACEHOLDER)
-            else:
-                plan[row.column] = Imputation(row.column, MODE, missing, row["mode"])
+    for (_, name), (non_null, distinct, _) in counts.summary.items():
+        if nearly_unique(non_null, distinct):
+            plan[name] = Imputation(name, HIGH_CARDINALITY, rows - non_null, PLACEHOLDER)
+    undecided = {place for place in counts.summary if place[1] not in plan}
+    for (_, name), mode in counts.modes(undecided).items():
+        plan[name] = Imputation(name, MODE, rows - counts.summary[0, name][0], mode)
     for name in columns:
         plan.setdefault(name, Imputation(name, ALL_MISSING_TEXT, rows, PLACEHOLDER))
     return [entry for entry in plan.values() if entry.filled_count > 0]

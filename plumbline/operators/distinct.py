@@ -1,9 +1,11 @@
 """Duplicate rows: counting them and keeping one copy of each.
 
-A first pass shuffles only a 64-bit digest per row: a digest seen once proves its row unique, so only rows that share a digest
-need the exact grouping on all columns, and none at all if no digest is shared.  If too many
-are shared to broadcast them, the exact grouping of the whole table is the plan.  Map-side
-grouping turns a row repeated any number of times into one row per task before the shuffle.
+A first pass shuffles only a 64-bit digest per row: a digest seen once proves its row unique, so
+only rows that share one need the exact grouping on all columns, and none at all if no digest is
+shared.  The shared digests go to the tasks as a bitmap of fixed size, which lets all their rows
+through and few others; what passes is compared in full, so neither collisions nor a crowded
+bitmap change the result.  Map-side grouping turns a row repeated any number of times into one row
+per task before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.bitmap import bitmap_of, mark_members
 from plumbline.functions.columns import data_fields, is_ordered, quoted
 from plumbline.functions.rounding import percentage
 from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.storage import settle
 
-_DIGEST = "__row_digest"
+_DIGEST, _DOUBTFUL = "__row_digest", "__doubtful"
 
 
 def _comparable(field: T.StructField) -> Column:
@@ -45,8 +48,7 @@ class DuplicateSearch:
     df: DataFrame
     rows: int
     key: str | None
-    # Digests carried by more than one row; None where there are too many of them to broadcast,
-    # and the table is grouped whole.
+    # Bitmap of the digests carried by more than one row.
     shared: DataFrame | None = None
     # The result itself, where it is known already.
     distinct: int | None = None
@@ -55,8 +57,22 @@ class DuplicateSearch:
     def all_unique(self) -> bool:
         return self.distinct == self.rows
 
-    def _tagged(self) -> DataFrame:
-        return self.df.withColumn(_DIGEST, F.xxhash64(*_row_values(self.df, self.key)))
+    def _marked(self) -> DataFrame:
+        """The rows, and whether each may have a copy."""
+        tagged = self.df.withColumn(_DIGEST, F.xxhash64(*_row_values(self.df, self.key)))
+        return mark_members(tagged, _DIGEST, self.shared, _DOUBTFUL).drop(_DIGEST)
+
+    def _copies(self, *by: str) -> DataFrame:
+        """How many rows of each group are copies beyond the first; groups without any may lack."""
+        doubtful = self._marked().where(_DOUBTFUL)
+        values = _row_values(self.df, self.key)
+        names = [f"__value_{i}" for i in range(len(values))]
+        groups = [value.alias(name) for value, name in zip(values, names)]
+        counted = doubtful.select(*groups, *[quoted(b).alias(f"__by_{b}") for b in by]).groupBy(
+            *names, *[f"`__by_{b}`" for b in by]
+        )
+        extra = counted.agg((F.count("*") - 1).alias("extra")).groupBy(*[f"`__by_{b}`" for b in by])
+        return extra.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("extra"))
 
     def count_distinct(self) -> DataFrame:
         """One row: ``distinct_rows``; nulls equal each other."""
@@ -64,26 +80,22 @@ class DuplicateSearch:
             return self.df.sparkSession.range(1).select(
                 F.lit(self.distinct).cast("long").alias("distinct_rows")
             )
-        if self.shared is None:
-            grouped = self.df.select(*_row_values(self.df, self.key)).distinct()
-            return grouped.agg(F.count("*").alias("distinct_rows"))
-        repeated = self._tagged().join(F.broadcast(self.shared), _DIGEST, "left_semi")
-        groups = repeated.groupBy(*_row_values(self.df, self.key)).agg(
-            F.count("*").alias("__copies")
-        )
-        extra = F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0))
-        return groups.agg((F.lit(self.rows) - extra).alias("distinct_rows"))
+        return self._copies().select((F.lit(self.rows) - F.col("extra")).alias("distinct_rows"))
+
+    def copies_by(self, group: str) -> dict:
+        """Copies beyond the first per value of a column, which is part of the rows; values
+        without any are left out."""
+        if self.all_unique:
+            return {}
+        return {row[0]: row.extra for row in self._copies(group).collect() if row.extra}
 
     def keep_one(self) -> DataFrame:
         """One copy of each row; with a row key the smallest key survives."""
         if self.all_unique:
             return self.df
-        if self.shared is None:
-            return _group_copies(self.df, self.key)
-        tagged, shared = self._tagged(), F.broadcast(self.shared)
-        unique = tagged.join(shared, _DIGEST, "left_anti").drop(_DIGEST)
-        repeated = tagged.join(shared, _DIGEST, "left_semi").drop(_DIGEST)
-        kept = unique.unionByName(_group_copies(repeated, self.key))
+        marked = self._marked()
+        unique = marked.where(~F.col(_DOUBTFUL)).drop(_DOUBTFUL)
+        kept = unique.unionByName(_group_copies(marked.where(_DOUBTFUL).drop(_DOUBTFUL), self.key))
         return kept.select(*[quoted(name) for name in self.df.columns])
 
 
@@ -93,11 +105,10 @@ def find_duplicates(
     """The digest pass."""
     digest = F.xxhash64(*_row_values(df, key)).alias(_DIGEST)
     counted = df.select(digest).groupBy(_DIGEST).agg(F.count("*").alias("copies"))
-    shared = settle(counted.where("copies > 1").select(_DIGEST), "digests")
-    number = shared.count()
-    if number == 0:
+    shared = settle(bitmap_of(counted.where("copies > 1"), _DIGEST), "digests")
+    if shared.isEmpty():
         return DuplicateSearch(df, rows, key, distinct=rows)
-    return DuplicateSearch(df, rows, key, shared if number <= limits.broadcast_rows else None)
+    return DuplicateSearch(df, rows, key, shared)
 
 
 def count_distinct_rows(

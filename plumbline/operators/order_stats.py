@@ -10,6 +10,7 @@ answer, because ranks are always taken from exact counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -40,11 +41,11 @@ class _Interval:
     ranks: set[int] = field(default_factory=set)
 
 
-def _finite(value: Column) -> Column:
+def finite(value: Column) -> Column:
     return F.greatest(F.least(value, F.lit(_LARGEST)), F.lit(-_LARGEST))
 
 
-def _whole(value: float) -> float:
+def whole(value: float) -> float:
     """Back from the largest finite numbers, which stand for the infinities in the search."""
     return value if abs(value) < _LARGEST else math.copysign(math.inf, value)
 
@@ -75,7 +76,7 @@ def _count_pass(
     slots = {name: slot for slot, name in enumerate(names)}
 
     def scan(group: list[str]) -> DataFrame:
-        plain = df.select(*[_finite(values[name]).alias(f"v{slots[name]}") for name in group])
+        plain = df.select(*[finite(values[name]).alias(f"v{slots[name]}") for name in group])
         numbered = plain.select(
             "*",
             *[_bucket(F.col(f"v{slots[n]}"), intervals[n]).alias(f"b{slots[n]}") for n in group],
@@ -121,7 +122,7 @@ def _proposals(
     the counting passes read every row."""
     names = list(ranks)
     fraction = min(1.0, _SKETCHED_ROWS / max(counts[name] for name in names))
-    sample = df.select(*[_finite(values[name]).alias(f"v{i}") for i, name in enumerate(names)])
+    sample = df.select(*[finite(values[name]).alias(f"v{i}") for i, name in enumerate(names)])
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=0)
     partial = sample.groupBy((F.spark_partition_id() % _MERGE_FANOUT).alias("part")).agg(
@@ -262,16 +263,16 @@ def quantiles(
     found = order_statistics(df, values, ranks, counts, limits=limits)
     result = {}
     for name in names:
-        interpolated = []
-        for share in shares:
-            place = (counts[name] - 1) * share
-            low, high = math.floor(place), math.ceil(place)
-            if low == high:
-                interpolated.append(_whole(found[name, low][0]))
-            else:
-                interpolated.append(
-                    (high - place) * _whole(found[name, low][0])
-                    + (place - low) * _whole(found[name, high][0])
-                )
-        result[name] = tuple(interpolated)
+        result[name] = tuple(
+            interpolated(counts[name], share, lambda rank: whole(found[name, rank][0])) for share in shares
+        )
     return result
+
+
+def interpolated(count: int, share: float, value_at: Callable[[int], float]) -> float:
+    """The quantile between the values of the two ranks next to it."""
+    place = (count - 1) * share
+    low, high = math.floor(place), math.ceil(place)
+    if low == high:
+        return value_at(low)
+    return (high - place) * value_at(low) + (place - low) * value_at(high)

@@ -107,28 +107,34 @@ def sample_skewness(name: str) -> Column:
     )
 
 
-def column_statistics(table: DataFrame, key: str | None = None) -> DataFrame:
-    """One row per column, without a data shuffle.
+def column_statistics(
+    table: DataFrame, key: str | None = None, group: str | None = None
+) -> DataFrame:
+    """One row per column, without a data shuffle; per value of the column ``group``, if one is
+    named, which then takes no part itself.
 
     ``table`` is already normalized.  A column may be constant if it is all null, or has no
     nulls and equal extremes, which needs no distinct count.  Text is compared by digest so
     that the aggregation buffer has a fixed width; `constant_columns` settles those."""
-    fields = list(enumerate(data_fields(table, key)))
-    groups = [fields[i : i + COLUMNS_PER_SCAN] for i in range(0, len(fields), COLUMNS_PER_SCAN)]
-    return reduce(DataFrame.unionAll, [_statistics_scan(table, group) for group in groups])
+    fields = list(enumerate(f for f in data_fields(table, key) if f.name != group))
+    scans = [fields[i : i + COLUMNS_PER_SCAN] for i in range(0, len(fields), COLUMNS_PER_SCAN)]
+    return reduce(DataFrame.unionAll, [_statistics_scan(table, scan, group) for scan in scans])
 
 
-def _statistics_scan(table: DataFrame, fields: list[tuple[int, T.StructField]]) -> DataFrame:
+def _statistics_scan(
+    table: DataFrame, fields: list[tuple[int, T.StructField]], group: str | None
+) -> DataFrame:
     measures = [_measures(position, field).alias(f"m{position}") for position, field in fields]
-    gathered = table.agg(*measures)
-    return gathered.select(F.inline(F.array(*[f"m{position}" for position, _ in fields])))
+    by = [quoted(group)] if group else []
+    gathered = table.groupBy(*by).agg(*measures)
+    return gathered.select(*by, F.inline(F.array(*[f"m{position}" for position, _ in fields])))
 
 
 def _measures(position: int, field: T.StructField) -> Column:
     value = identifier(field.name)
     constant = f"count({value}) = 0"
     if is_ordered(field):
-        seen = f"xxhash64({value})" if _has_variable_width(field) else value
+        seen = f"xxhash64({value})" if has_variable_width(field) else value
         constant += f" OR (count({value}) = count(*) AND min({seen}) = max({seen}))"
     nothing = F.lit(None).cast("double")
     text_measure = F.avg(is_number(quoted(field.name)).cast("double"))
@@ -144,7 +150,7 @@ def _measures(position: int, field: T.StructField) -> Column:
     )
 
 
-def _has_variable_width(field: T.StructField) -> bool:
+def has_variable_width(field: T.StructField) -> bool:
     return isinstance(
         field.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.DecimalType)
     )
@@ -160,7 +166,7 @@ def constant_columns(table: DataFrame, statistics: list) -> set[str]:
     doubtful = [
         row.column
         for row in statistics
-        if row.may_be_constant and row.null_count == 0 and _has_variable_width(types[row.column])
+        if row.may_be_constant and row.null_count == 0 and has_variable_width(types[row.column])
     ]
     if not doubtful:
         return set(likely)
@@ -180,6 +186,16 @@ def is_mixed(numeric_ratio: Column, non_null: Column) -> Column:
     )
 
 
+def is_mixed_column(statistics) -> bool:
+    """AGG6 on a row of ``column_statistics``."""
+    low, high = _MIXED_RANGE
+    return (
+        statistics.numeric_ratio is not None
+        and statistics.total_rows - statistics.null_count >= _MIXED_MIN_VALUES
+        and low < statistics.numeric_ratio < high
+    )
+
+
 def fit_fences(
     table: DataFrame, non_null: dict[str, int], limits: Limits = DEFAULT_LIMITS
 ) -> list[Fences]:
@@ -314,17 +330,10 @@ def outlier_counts(table: DataFrame, fences: list[Fences]) -> DataFrame:
 def quality_metrics(profile: TableProfile) -> DataFrame:
     """The eleven metrics of a profiled table; left to do are counting outliers, one scan,
     and copies among the rows that share a digest."""
-    width = F.lit(len(profile.columns))
     used = [fence for fence in profile.fences if fence.usable]
     skews = {column.column: abs(column.skewness or 0.0) for column in profile.columns}
     mean_skew = sum(skews[fence.column] for fence in used) / len(used) if used else 0.0
-    low, high = _MIXED_RANGE
-    mixed = sum(
-        column.numeric_ratio is not None
-        and profile.rows - column.null_count >= _MIXED_MIN_VALUES
-        and low < column.numeric_ratio < high
-        for column in profile.columns
-    )
+    mixed = sum(is_mixed_column(column) for column in profile.columns)
     missing = sum(profile.nulls.values())
     with_nulls = sum(count > 0 for count in profile.nulls.values())
     counted = profile.table.agg(
@@ -332,20 +341,44 @@ def quality_metrics(profile: TableProfile) -> DataFrame:
         total(F.count_if(outside(fence)) for fence in used).alias("outlier_count"),
         total(F.count(quoted(fence.column)) for fence in used).alias("fenced_cells"),
     ).select("*", profile.duplicates.count_distinct().scalar().alias("distinct_rows"))
-    rows, copies = F.col("total_rows"), F.col("total_rows") - F.col("distinct_rows")
     return counted.select(
-        "total_rows",
-        F.lit(missing).cast("long").alias("missing_count"),
-        percentage(F.lit(missing), rows * width).alias("missing_pct"),
+        *metric_columns(
+            len(profile.columns),
+            missing=F.lit(missing),
+            copies=F.col("total_rows") - F.col("distinct_rows"),
+            mixed=F.lit(mixed),
+            with_nulls=F.lit(with_nulls),
+            constant=F.lit(len(profile.constant)),
+            mean_skew=F.lit(float(mean_skew)),
+        )
+    )
+
+
+def metric_columns(
+    columns: int,
+    missing: Column,
+    copies: Column,
+    mixed: Column,
+    with_nulls: Column,
+    constant: Column,
+    mean_skew: Column,
+) -> list[Column]:
+    """AGG9's metrics from counts; ``total_rows``, ``outlier_count`` and ``fenced_cells`` are
+    columns of the row."""
+    width, rows = F.lit(columns), F.col("total_rows")
+    return [
+        rows,
+        missing.cast("long").alias("missing_count"),
+        percentage(missing, rows * width).alias("missing_pct"),
         copies.alias("duplicate_count"),
         percentage(copies, rows).alias("duplicate_pct"),
-        "outlier_count",
+        F.col("outlier_count"),
         percentage(F.col("outlier_count"), F.col("fenced_cells")).alias("outlier_pct"),
-        percentage(F.lit(mixed), width).alias("type_inconsistency_pct"),
-        percentage(F.lit(with_nulls), width).alias("null_col_ratio"),
-        percentage(F.lit(len(profile.constant)), width).alias("constant_col_ratio"),
-        round_exact(F.lit(float(mean_skew)), 3).alias("avg_skewness"),
-    )
+        percentage(mixed, width).alias("type_inconsistency_pct"),
+        percentage(with_nulls, width).alias("null_col_ratio"),
+        percentage(constant, width).alias("constant_col_ratio"),
+        round_exact(mean_skew, 3).alias("avg_skewness"),
+    ]
 
 
 def analyze_quality(

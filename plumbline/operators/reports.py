@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.bitmap import bitmap_of, mark_members
 from plumbline.functions.formats import file_stem, fixed, flag_text, signed
-from plumbline.limits import DEFAULT_LIMITS, Limits
 from plumbline.operators.views import clipped_cells
 from plumbline.sources.readers import read_reports
 
@@ -164,17 +164,17 @@ def index_reports(spark: SparkSession, folder: str) -> DataFrame:
     return report_metadata(read_reports(spark, folder))
 
 
-def upsert_index(
-    index: DataFrame, changes: DataFrame, version: str, limits: Limits = DEFAULT_LIMITS
-) -> DataFrame:
+def upsert_index(index: DataFrame, changes: DataFrame, version: str) -> DataFrame:
     """REP4: the changes replace the rows of their documents; of several changes to one
     document, the one with the highest ``version`` does.
 
-    The index has one row per document.  A bounded set of changed ids is broadcast, so the
-    texts that stay are not shuffled."""
+    The index has one row per document.  The changed ids go to the tasks as a bitmap of fixed size:
+    rows it does not know stay where they are, and only the few it may know are compared by id."""
     order = Window.partitionBy("doc_id").orderBy(F.desc(version))
     latest = changes.withColumn("__age", F.row_number().over(order)).where("__age = 1").drop("__age")
-    changed = changes.select("doc_id").distinct()
-    if changed.count() <= limits.broadcast_rows:
-        changed = F.broadcast(changed)
-    return index.join(changed, "doc_id", "left_anti").unionByName(latest)
+    digest = F.xxhash64("doc_id")
+    known = bitmap_of(changes.select(digest.alias("__digest")), "__digest")
+    marked = mark_members(index.withColumn("__digest", digest), "__digest", known, "__maybe").drop("__digest")
+    stay = marked.where("NOT __maybe").drop("__maybe")
+    rest = marked.where("__maybe").drop("__maybe").join(changes.select("doc_id").distinct(), "doc_id", "left_anti")
+    return stay.unionByName(rest).unionByName(latest)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,14 @@ from plumbline.operators.clean import REPORT_SCHEMA, clean_data, null_counts
 from plumbline.operators.distinct import count_distinct_rows
 from plumbline.operators.normalize import normalize_missing
 from plumbline.operators.profile import TableProfile, fit_profile, quality_metrics, require_rows
-from plumbline.operators.reports import build_report, report_name
+from plumbline.operators.reports import build_report, report_metadata, report_name
 from plumbline.operators.trust import predict_trust_score
 from plumbline.sources.history import save_run
+from plumbline.sources.report_index import upsert_reports
 from plumbline.sources.writers import download_name, export_table, save_report
 
+_log = logging.getLogger(__name__)
+
 # Fixed value: tables scored below this are cleaned.
 TRUST_THRESHOLD = 95.0
 
@@ -33,6 +38,30 @@ class QualityRun:
     run_id: int | None
     report_path: str | None
     export_path: str | None
+    # Steps of recording that failed, with their errors.
+    failures: dict[str, str] = field(default_factory=dict)
+
+
+class Recording:
+    """Recording must not lose a run: a step that fails leaves a note and no result."""
+
+    def __init__(self):
+        self.failures: dict[str, str] = {}
+
+    def attempt(self, step: str, action: Callable):
+        try:
+            return action()
+        except Exception as error:  # noqa: BLE001
+            _log.warning("%s was not written", step, exc_info=True)
+            self.failures[step] = f"{type(error).__name__}: {str(error)[:500]}"
+            return None
+
+
+def indexed(reports: DataFrame) -> DataFrame:
+    """Index rows of reports (doc_id, report_path, text, created_at), as REP4 keeps them: the later
+    of two reports of one name is the one that counts."""
+    version = F.unix_micros(F.col("created_at").cast("timestamp")).alias("version")
+    return report_metadata(reports).join(reports.select("doc_id", version), "doc_id")
 
 
 def needs_cleaning(score: float, threshold: float = TRUST_THRESHOLD) -> bool:
@@ -70,10 +99,13 @@ def run_quality(
     run_key: str | None = None,
     created_at: dt.datetime | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    index: str | None = None,
 ) -> QualityRun:
-    """Runs all steps; history, report and export are written where a folder is given.
+    """Runs all steps; history, report, index and export are written where a folder is given.
 
-    The driver sees metrics rows and the cleaning report, never rows of the table."""
+    Where the history, the report or the index cannot be written, the run goes on without: its id
+    or path stays null and ``failures`` says why.  The driver sees metrics rows and the cleaning
+    report, never rows of the table."""
     require_rows(df)
     spark = df.sparkSession
     profile = fit_profile(normalize_missing(df, key), key, limits)
@@ -105,16 +137,25 @@ def run_quality(
         packed(after).alias("after"),
     )
     result = result.withColumn("confidence_level", F.col("after.confidence_level"))
-    run_id = save_run(result, history, run_key or uuid.uuid4().hex) if history else None
+    recording = Recording()
+    run_id = None
+    if history:
+        run_id = recording.attempt("history", lambda: save_run(result, history, run_key or uuid.uuid4().hex))
     result = result.withColumn("run_id", F.lit(run_id).cast("int"))
     with_report = build_report(result)
     report_path = None
+    named = with_report.select(
+        report_name(F.col("run_id"), F.col("filename")).alias("doc_id"),
+        F.col("report").alias("text"),
+        "created_at",
+    )
     if reports:
-        named = with_report.select(
-            report_name(F.col("run_id"), F.col("filename")).alias("doc_id"),
-            F.col("report").alias("text"),
+        report_path = recording.attempt(
+            "report", lambda: save_report(named, reports, named.first().doc_id)
         )
-        report_path = save_report(named, reports, named.first().doc_id)
+    if index:
+        located = named.withColumn("report_path", F.lit(report_path).cast("string"))
+        recording.attempt("index", lambda: upsert_reports(indexed(located), index))
     export_path = None
     if exports and was_cleaned:
         export_path = export_table(
@@ -129,4 +170,6 @@ def run_quality(
             ).cast("string"),
         }
     )
-    return QualityRun(result, frame, was_cleaned, run_id, report_path, export_path)
+    return QualityRun(
+        result, frame, was_cleaned, run_id, report_path, export_path, recording.failures
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.versions import BUCKET, Version, VersionedTable
+
 RUN_COLUMNS = (
     "id int, filename string, upload_time timestamp, before_total_rows bigint, "
     "before_missing_pct double, before_duplicate_pct double, before_outlier_pct double, "
@@ -14,18 +15,22 @@ RUN_COLUMNS = (
     "after_trust_score double, confidence_level string"
 )
 _STORED = RUN_COLUMNS + ", run_key string"
+_NAMES = [column.split()[0] for column in _STORED.split(", ")]
 _RECORDED = ("total_rows", "missing_pct", "duplicate_pct", "outlier_pct", "trust_score")
 PAGE = 50
+# Runs in one file; the unit that a save rewrites and that a look-up opens.
+RUNS_PER_BUCKET = 1000
+
 
+def _table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, _STORED)
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(_STORED).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], _STORED)
 
+def _bucket(run_id: int) -> int:
+    return (run_id - 1) // RUNS_PER_BUCKET
 
-def run_rows(result: DataFrame) -> DataFrame:
+
+def run_rows(result: DataFrame, *also: str) -> DataFrame:
     """History columns, but for the id, of result rows with ``before`` and ``after``."""
     sides = [
         F.col(f"{side}.{name}").alias(f"{side}_{name}")
@@ -39,36 +44,62 @@ def run_rows(result: DataFrame) -> DataFrame:
         "was_cleaned",
         *sides[len(_RECORDED) :],
         "confidence_level",
+        *also,
     )
 
 
+def save_runs(results: DataFrame, path: str) -> dict[str, int]:
+    """SNK3: stores runs, named by their column ``run_key``, and returns the id of each key.
+
+    ``results`` has one row per run of a batch.  A key that is stored already, as when a
+    micro-batch is repeated, replaces its row and keeps its id; others get the next ids, by time
+    and key.  Writers may save at the same time: ids are claimed with the version that holds
+    them, and who comes second claims others."""
+    spark = results.sparkSession
+    table = _table(spark, path)
+    rows = run_rows(results, "run_key")
+    # The rows of one batch, computed once however often the claim is tried.
+    taken = rows.orderBy("upload_time", "run_key").collect()
+    new = spark.createDataFrame(taken, rows.schema)
+    keys = [row.run_key for row in taken]
+    if len(set(keys)) < len(keys) or None in keys:
+        raise ValueError("every run of a batch needs a key of its own")
+
+    def attempt(version: Version):
+        known = table.rows(version).where(F.col("run_key").isin(keys)).select("run_key", "id")
+        ids = {row.run_key: row.id for row in known.collect()} if version.parts else {}
+        last = version.facts.get("last_id", 0)
+        for key in keys:
+            if key not in ids:
+                last += 1
+                ids[key] = last
+        numbers = spark.createDataFrame([(key, ids[key]) for key in keys], "run_key string, id int")
+        mine = new.join(F.broadcast(numbers), "run_key").select(*_NAMES)
+        touched = {_bucket(ids[key]) for key in keys}
+        others = table.rows(version, touched).where(~F.col("id").isin([ids[key] for key in keys]))
+        whole = others.unionByName(mine)
+        number = F.floor((F.col("id") - 1) / RUNS_PER_BUCKET).cast("int")
+        written = table.write(whole.withColumn(BUCKET, number).repartition(BUCKET))
+        return written, {"last_id": last}, ids
+
+    return table.change(attempt) if keys else {}
+
+
 def save_run(result: DataFrame, path: str, run_key: str) -> int:
-    """SNK3: store one run under its key and return its id; a single writer is assumed.
-
-    Saving a key again, as a repeated micro-batch does, replaces its row and keeps its id."""
-    spark = result.sparkSession
-    stored = _stored(spark, path)
-    seen = stored.agg(
-        F.max("id").alias("last"),
-        F.max(F.when(F.col("run_key") == run_key, F.col("id"))).alias("same"),
-    ).first()
-    run_id = seen.same if seen.same is not None else (seen.last or 0) + 1
-    names = [column.split()[0] for column in RUN_COLUMNS.split(", ")]
-    row = run_rows(result).withColumn("id", F.lit(run_id).cast("int")).select(*names)
-    (
-        row.withColumn("run_key", F.lit(run_key))
-        .coalesce(1)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_key")
-        .parquet(path)
-    )
-    return run_id
+    """SNK3: stores one run under its key and returns its id."""
+    return save_runs(result.withColumn("run_key", F.lit(run_key)), path)[run_key]
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: all runs; none before the first is saved."""
-    return _stored(spark, path).drop("run_key")
+    table = _table(spark, path)
+    return table.rows(table.latest()).drop("run_key")
+
+
+def find_run(spark: SparkSession, path: str, run_id: int) -> DataFrame:
+    """HIS2: one row or none; only the file that may hold the run is opened."""
+    table = _table(spark, path)
+    return run_by_id(table.rows(table.latest(), {_bucket(run_id)}).drop("run_key"), run_id)
 
 
 def latest_runs(history: DataFrame, limit: int = PAGE) -> DataFrame:

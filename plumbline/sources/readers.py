@@ -94,9 +94,14 @@ def read_table(spark: SparkSession, path: str, stage: bool = False) -> DataFrame
     return settle(df, "staged") if stage else df
 
 
+def report_names(reports: DataFrame) -> DataFrame:
+    """SRT2: (doc_id, report_path) in the order of names; the texts are not read for it."""
+    return reports.select("doc_id", "report_path").orderBy("doc_id")
+
+
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC4, SRT2: (doc_id, report_path, text) of all ``.txt`` files, ordered by name; none
-    if the folder is missing."""
+    """SRC4: (doc_id, report_path, text) of all ``.txt`` files, in no order; none if the folder
+    is missing."""
     try:
         files = (
             spark.read.option("pathGlobFilter", "*.txt")
@@ -111,6 +116,9 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     part = r"\.txt/part-[^/]*$"
     report = F.regexp_replace(path, part, ".txt")
     text = F.when(path.rlike(part), F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
+    # Reports of a batch are partitions of one write, whose names are escaped.
+    stem = file_stem(report)
+    doc_id = F.when(stem.startswith("report="), F.try_url_decode(F.substring_index(stem, "report=", -1))).otherwise(stem)
     return files.select(
-        file_stem(report).alias("doc_id"), report.alias("report_path"), text.alias("text")
-    ).orderBy("doc_id")
+        doc_id.alias("doc_id"), report.alias("report_path"), text.alias("text")
+    )

@@ -5,11 +5,16 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.limits import DEFAULT_LIMITS, Limits
-from plumbline.plans.quality_run import TRUST_THRESHOLD, run_quality
+from plumbline.plans.batch_run import FILE, run_quality_batch
+from plumbline.plans.quality_run import TRUST_THRESHOLD
+
+# Files of a batch; what the driver holds grows with it, and so does what one batch shares.
+FILES_PER_BATCH = 100
 
 
 def landing_stream(
@@ -18,9 +23,9 @@ def landing_stream(
     schema: T.StructType,
     kind: str = "parquet",
     glob: str | None = None,
-    files_per_batch: int = 1,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
-    """Files landing in a folder, one per micro-batch, so that a run covers one file."""
+    """Files landing in a folder, many per micro-batch, each row with its file in ``__file``."""
     reader = (
         spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_batch)
     )
@@ -28,7 +33,9 @@ def landing_stream(
         reader = reader.option("header", True).option("escape", '"')
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder)
+    # A path is escaped like a web address.
+    path = F.col("_metadata.file_path")
+    return reader.load(folder).withColumn(FILE, F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
 
 
 def ingest(
@@ -43,18 +50,18 @@ def ingest(
     key: str | None = None,
     created_at: dt.datetime | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    index: str | None = None,
 ) -> StreamingQuery:
-    """Measures, scores, cleans and records each micro-batch, then stops when none is left.
+    """Measures, scores, cleans and records each file of each micro-batch, then stops when none is
+    left.  All files of a batch share its passes.
 
-    A batch may be repeated after a failure.  Its run is keyed by the batch number, so the
-    repetition replaces the history row and the export instead of adding to them."""
+    A batch may be repeated after a failure.  Its runs are keyed by the batch number and the file,
+    so the repetition replaces history rows, reports and exports instead of adding to them.  A
+    batch whose runs could not be recorded fails, so that it is repeated."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        run_quality(
+        done = run_quality_batch(
             batch,
-            f"{source_name}_{batch_id}",
             key=key,
             scorer=scorer,
             threshold=threshold,
@@ -65,7 +72,10 @@ def ingest(
             run_key=f"{source_name}-{batch_id}",
             created_at=created_at,
             limits=limits,
+            index=index,
         )
+        if done.failures:
+            raise RuntimeError(f"batch {batch_id} of {source_name} was not recorded: {done.failures}")
 
     return (
         stream.writeStream.foreachBatch(handle)

@@ -139,3 +139,39 @@ def test_no_mean_of_both_infinities(frame, limits):
     inf = float("inf")
     filled = _fill(frame("k int, v double", (1, inf), (2, -inf), (3, 1.0), (4, 2.0), (5, None)), limits)
     assert filled.fill_value in ("0.0", "0", "1.5")
+
+
+def test_modes_equal_counting_texts(frame, monkeypatch):
+    from collections import Counter
+    import random
+
+    from plumbline.functions import bitmap
+
+    turn = random.Random(5)
+    texts = [None, "", "a", "ab", "common prefix 1", "common prefix 2", "common prefix 10", "ü", "漢字", "zz"]
+    rows = [
+        (turn.choice(texts), f"common prefix {turn.randrange(40)}", f"unique {i:05d}", None if i % 3 else turn.choice("xy"), i % 2 == 0)
+        for i in range(400)
+    ]
+    names = ["a", "b", "c", "d", "e"]
+    df = frame("a string, b string, c string, d string, e boolean", *rows)
+
+    def wanted(place):
+        counted = Counter(str(r[place]).lower() if place == 4 else r[place] for r in rows if r[place] is not None)
+        most = max(counted.values())
+        mode = min((v for v, n in counted.items() if n == most), key=lambda v: v.encode())
+        return names[place], sum(counted.values()), len(counted), mode, most
+
+    expected = sorted(wanted(i) for i in range(5))
+    assert sorted(map(tuple, modes(df, names).collect())) == expected
+    # A crowded bitmap lets texts pass that are no candidates; the counts tell.
+    monkeypatch.setattr(bitmap, "BITS", 2)
+    assert sorted(map(tuple, modes(df, names).collect())) == expected
+
+
+def test_modes_shuffle_no_text(frame):
+    from plumbline.operators.value_counts import count_values
+
+    counts = count_values(frame("t string", *["x" * 100 + str(i % 7) for i in range(50)]), ["t"])
+    assert counts.counted.columns == ["part", "slot", "prefix", "h1", "h2", "cells"]
+    assert max(len(r.prefix) for r in counts.counted.collect()) == 8

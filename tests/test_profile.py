@@ -117,13 +117,26 @@ def test_most_rows_equal(spark, limits):
     assert count_distinct_rows(df, 3000, limits=limits).first()[0] == 2001
 
 
-def test_too_many_repeated_digests_to_broadcast(frame):
-    from plumbline.limits import Limits
-
-    limits = Limits(broadcast_rows=1)
-    df = frame("v int", *[i % 5 for i in range(20)])
-    assert count_distinct_rows(df, 20, limits=limits).first()[0] == 5
-    assert distinct_rows(df, 20, limits=limits).count() == 5
+def test_crowded_bitmap_changes_nothing(frame, monkeypatch):
+    from plumbline.functions import bitmap
+
+    # Eight places: nearly all rows pass and are compared in full.
+    monkeypatch.setattr(bitmap, "BITS", 3)
+    df = frame("v int, t string", *[(i % 5, "x") for i in range(20)], *[(100 + i, "y") for i in range(50)])
+    assert count_distinct_rows(df, 70).first()[0] == 55
+    assert distinct_rows(df, 70).count() == 55
+
+
+def test_bitmap_holds_what_was_put_in(spark):
+    from plumbline.functions.bitmap import bitmap_of, mark_members
+
+    digests = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    words = bitmap_of(digests, "h")
+    assert words.count() <= 1 << 18
+    everything = spark.range(100_000).select("id", F.xxhash64("id").alias("h"))
+    marked = mark_members(everything, "h", words, "there")
+    assert marked.where("there AND id < 5000").count() == 5000
+    assert marked.where("there AND id >= 5000").count() < 100
 
 
 def test_normalization_keeps_types(frame):

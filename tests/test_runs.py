@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.tables import dirty
 from conftest import SMALLEST
-from plumbline import Limits, run_quality
+from plumbline import run_quality
 from plumbline.operators.reports import (
     build_report,
     index_reports,
@@ -24,7 +24,7 @@ from plumbline.operators.views import (
 )
 from plumbline.plans.quality_run import needs_cleaning
 from plumbline.sources.history import latest_runs, read_history, run_by_id, save_run, shown
-from plumbline.sources.readers import read_csv, read_reports, read_table, table_format
+from plumbline.sources.readers import read_csv, read_reports, read_table, report_names, table_format
 from plumbline.sources.writers import download_name, export_name, export_table, result_json
 from plumbline.streaming.ingest import ingest, landing_stream
 
@@ -149,11 +149,10 @@ def test_upsert_keeps_one_row_per_document(frame):
     index = frame(schema, ("a", 1, "old"), ("b", 1, "kept"))
     changes = frame(schema, ("a", 2, "new"), ("c", 2, "added"))
     again = frame(schema, ("a", 3, "newest"))
-    for limits in (Limits(), Limits(broadcast_rows=0)):
-        found = upsert_index(index, changes.union(again), "version", limits).collect()
-        assert sorted(tuple(row) for row in found) == [
-            ("a", 3, "newest"), ("b", 1, "kept"), ("c", 2, "added"),
-        ]
+    found = upsert_index(index, changes.union(again), "version").collect()
+    assert sorted(tuple(row) for row in found) == [
+        ("a", 3, "newest"), ("b", 1, "kept"), ("c", 2, "added"),
+    ]
 
 
 def test_indexing_again_adds_nothing(spark, tmp_path):
@@ -183,8 +182,11 @@ def test_reports_written_by_others(spark, tmp_path):
     (tmp_path / "b.txt").write_text("two\nlines\n")
     (tmp_path / "a.txt").write_text("one")
     (tmp_path / "c.csv").write_text("no")
-    found = read_reports(spark, str(tmp_path)).collect()
-    assert [(row.doc_id, row.text) for row in found] == [("a", "one"), ("b", "two\nlines\n")]
+    found = read_reports(spark, str(tmp_path))
+    assert sorted((row.doc_id, row.text) for row in found.collect()) == [("a", "one"), ("b", "two\nlines\n")]
+    names = report_names(found)
+    assert [row.doc_id for row in names.collect()] == ["a", "b"]
+    assert "text" not in names.columns
 
 
 def test_csv_types(spark, tmp_path):
