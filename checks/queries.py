@@ -30,7 +30,9 @@ from plumbline.operators.evaluate import (
     masked_cells,
     outlier_fix_effectiveness,
 )
+from plumbline.operators.forest import scaled_training_table, tree_agreement
 from plumbline.operators.normalize import normalize_missing
+from plumbline.operators.postings import build_postings, postings_topk
 from plumbline.operators.profile import (
     analyze_quality,
     column_statistics,
@@ -450,6 +452,72 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values, written out: the training table's size, ranges and noise.
+TRAINING = {
+    "missing_pct": 70.0, "duplicate_pct": 60.0, "outlier_pct": 40.0, "type_inconsistency_pct": 50.0,
+    "null_col_ratio": 80.0, "constant_col_ratio": 30.0, "avg_skewness": 12.0,
+}
+
+
+def _training_sql() -> list[tuple[str, str]]:
+    def uniform(place: int) -> str:
+        digest = f"md5(concat('42|{place}|', CAST(row AS VARCHAR)))"
+        return f"(CAST(CAST(concat('0x', substr({digest}, 1, 13)) AS BIGINT) AS DOUBLE) / {16**13}::DOUBLE)"
+
+    names = list(TRAINING)
+    columns = [f"{uniform(i)} * {high}::DOUBLE AS {name}" for i, (name, high) in enumerate(TRAINING.items())]
+    normal = f"sqrt(-2::DOUBLE * ln(1::DOUBLE - {uniform(7)})) * cos(2::DOUBLE * pi() * {uniform(8)}) * 1.5::DOUBLE"
+    score = E.score().replace("greatest(0::DOUBLE, least(100::DOUBLE, ", "greatest(0::DOUBLE, least(100::DOUBLE, noise + ")
+    scaled = [
+        f"round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 9) AS scaled_{c}" for c in names
+    ]
+    return [
+        ("numbers", "SELECT unnest(range(1500)) AS row"),
+        ("drawn", f"SELECT row, {', '.join(columns)}, {normal} AS noise FROM numbers"),
+        ("labelled", f"SELECT *, {score} AS trust_score FROM drawn"),
+        (
+            "training",
+            f"""SELECT row, {', '.join(f"round({c}, 9) AS {c}" for c in names)}, round(trust_score, 9) AS trust_score,
+              {', '.join(scaled)} FROM labelled""",
+        ),
+    ]
+
+
+@query(
+    "forest_training",
+    E.with_ctes(
+        sum([E.table_metrics(name) for name in ("customer",)], []) + _training_sql(),
+        """SELECT t.*, missing_pct_seen < missing_pct AS misses_more FROM training t,
+          (SELECT missing_pct AS missing_pct_seen FROM customer_m) c""",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest's training rows and their scaled metrics, and which miss more than a table does."""
+    found = scaled_training_table(spark)
+    scaled = [F.round(F.col("scaled")[i], 9).alias(f"scaled_{name}") for i, name in enumerate(TRAINING)]
+    plain = [F.round(name, 9).alias(name) for name in (*TRAINING, "trust_score")]
+    seen = analyze_quality(table(spark, sf_dir, "customer")).first().missing_pct
+    return found.select("row", *plain, *scaled, (F.lit(seen) < F.round("missing_pct", 9)).alias("misses_more"))
+
+
+@query(
+    "forest_agreement",
+    E.with_ctes(
+        sum([E.table_metrics(name) for name in SCORED_TABLES], []),
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS table_name, missing_pct, duplicate_pct, outlier_pct, CAST(200 AS BIGINT) AS trees,
+              0::DOUBLE AS difference FROM {name}_m"""
+            for name in SCORED_TABLES
+        ),
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the looked-up leaf values are from the model's own prediction, to nine digits."""
+    found = tree_agreement(_all_metrics(spark, sf_dir))
+    apart = F.abs(F.round(F.col("prediction") - F.col("mean"), 9))
+    return found.select("table_name", "missing_pct", "duplicate_pct", "outlier_pct", "trees", apart.alias("difference"))
+
+
 @query("trust_forest")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_trust_score(_all_metrics(spark, sf_dir), "forest").select(
@@ -1257,6 +1325,14 @@ def _topk_ctes(restricted: bool) -> list[tuple[str, str]]:
     ]
 
 
+@query("text_topk_postings", E.with_ctes(_topk_ctes(False), "SELECT * FROM best"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches from stored postings, of which only the promising blocks are read."""
+    path = new_path(spark, "postings")
+    build_postings(_index(spark, sf_dir), path)
+    return postings_topk(spark, path, _questions(spark, sf_dir, False)).matches
+
+
 @query("text_topk", E.with_ctes(_topk_ctes(False), "SELECT * FROM best"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_topk(_index(spark, sf_dir), _questions(spark, sf_dir, False))

@@ -7,6 +7,7 @@ between trees comes from one transform instead of one per tree.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import round_exact
@@ -63,18 +64,28 @@ class Forest:
         }
 
 
+def _uniform(seed: int, place: int) -> Column:
+    """A number in [0, 1) from the digest of seed, column and row, the same in any engine and
+    however rows are split."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(place)), F.col("row").cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(16**13)
+
+
 def training_table(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int = SEED) -> DataFrame:
-    """TRU1: uniform metrics with the noisy penalty score.  One partition, because the
-    random columns depend on how rows are split."""
+    """TRU1: ``row``, uniform metrics and the noisy penalty score."""
     features = [
-        (F.rand(seed + place) * TRAINING_RANGES[name]).alias(name)
+        (_uniform(seed, place) * TRAINING_RANGES[name]).alias(name)
         for place, name in enumerate(QUALITY_FEATURES)
     ]
-    noise = F.randn(seed + len(features)) * NOISE_STD
+    # Two uniform numbers make a normal one.
+    first, second = (_uniform(seed, len(features) + i) for i in (0, 1))
+    normal = F.sqrt(-2.0 * F.log(1.0 - first)) * F.cos(2.0 * math.pi * second)
     return (
         spark.range(0, rows, 1, 1)
-        .select(*features)
-        .withColumn("trust_score", penalty_score(noise))
+        .withColumnRenamed("id", "row")
+        .select("row", *features, (normal * NOISE_STD).alias("noise"))
+        .withColumn("trust_score", penalty_score(F.col("noise")))
+        .drop("noise")
     )
 
 
@@ -115,9 +126,34 @@ def fit_forest(spark: SparkSession, path: str) -> None:
     leaves.coalesce(1).write.mode("overwrite").parquet(f"{path}/leaves")
 
 
+def scaled_training_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """TRU3: the training table with ``scaled``, its metrics as the stored forest sees them."""
+    model = load_forest(spark, path).model
+    raw = model.stages[0].transform(training_table(spark))
+    return model.stages[1].transform(raw).withColumn("scaled", vector_to_array("__features")).drop("__raw", "__features")
+
+
+def tree_agreement(metrics: DataFrame, path: str | None = None) -> DataFrame:
+    """TRU4, TRU5, AGG15: per row of metrics the model's own ``prediction`` next to the number, mean
+    and spread of the leaf values that scoring looks up."""
+    forest = load_forest(metrics.sparkSession, path)
+    columns = metrics.columns
+    reached = forest.model.transform(metrics.withColumn(_ROW, F.monotonically_increasing_id())).select(
+        _ROW, F.struct(*columns).alias("row"), F.col("__prediction").alias("prediction"),
+        F.posexplode(vector_to_array("__leaves")).alias("tree", "leaf"),
+    )
+    leaves = forest.leaves.withColumnRenamed("prediction", "value")
+    found = reached.withColumn("leaf", F.col("leaf").cast("int")).join(F.broadcast(leaves), ["tree", "leaf"])
+    told = found.groupBy(_ROW).agg(
+        F.first("row").alias("row"), F.first("prediction").alias("prediction"), F.count("*").alias("trees"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"),
+    )
+    return told.select("row.*", "prediction", "trees", "mean", "spread")
+
+
 def load_forest(spark: SparkSession, path: str | None = None) -> Forest:
     """The stored forest; fitted on first use when ``path`` holds none yet."""
-    path = path or f"{shared_folder(spark)}/plumbline/forest-{TREES}-{DEPTH}-{SEED}"
+    path = path or f"{shared_folder(spark)}/plumbline/forest-md5-{TREES}-{DEPTH}-{SEED}"
     known = (spark.sparkContext.applicationId, path)
     if known not in _loaded:
         try:

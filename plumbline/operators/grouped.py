@@ -51,11 +51,11 @@ from plumbline.operators.profile import (
     total,
 )
 from plumbline.operators.value_counts import count_values
-from plumbline.storage import settle
+from plumbline.storage import settle, small_table
 
 GROUP = "__table"
 # Buckets that a searched interval is split into by one pass.
-_BUCKETS = 256
+_BUCKETS = 2048
 _COLUMNS_PER_SCAN = 8
 
 
@@ -73,7 +73,7 @@ def grouped_quantiles(
 ) -> dict[tuple[int, str], tuple[float, ...]]:
     """Exact interpolated quantiles per table and column; ``counts`` are the non-null values.
 
-    A pass counts the values below the interval of each wanted rank and in 256 buckets of it, with
+    A pass counts the values below the interval of each wanted rank and in 2,048 buckets of it, with
     their extremes, and the bucket that holds the rank is the next interval.  Only bucket counts
     are shuffled, and the driver sees one bucket per rank."""
     counts = {place: n for place, n in counts.items() if n > 0}
@@ -94,9 +94,10 @@ def grouped_quantiles(
     found: dict[tuple[int, int, int], float] = {}
     order = Window.partitionBy(GROUP, "slot", "rank").orderBy("bucket")
     while pending:
-        state = spark.createDataFrame(
+        state = small_table(
+            spark,
             [(*place, *ends) for place, ends in pending.items()],
-            f"{GROUP} int, slot int, rank long, low double, high double",
+            f"{GROUP} int; slot int; rank long; low double; high double",
         )
         value, low, high = F.col("value"), F.col("low"), F.col("high")
         # Halved operands: the width of the whole double range would overflow.
@@ -227,7 +228,7 @@ def _fence_rows(fences: dict[int, list[Fences]], names: list[str], table: DataFr
         for f in found
         if f.usable
     ]
-    return table.sparkSession.createDataFrame(rows, f"{GROUP} int, slot int, lower double, upper double")
+    return small_table(table.sparkSession, rows, f"{GROUP} int; slot int; lower double; upper double")
 
 
 def _outside(table: DataFrame, fences: dict[int, list[Fences]]) -> dict[tuple[int, str], tuple[int, int, int]]:
@@ -260,10 +261,11 @@ def grouped_metrics(profile: GroupedProfile) -> DataFrame:
                 profile.constant[part], sum(skews[f.column] for f in used) / len(used) if used else 0.0,
             )
         )
-    counts = profile.table.sparkSession.createDataFrame(
+    counts = small_table(
+        profile.table.sparkSession,
         rows,
-        f"{GROUP} int, total_rows long, missing long, copies long, outlier_count long, fenced_cells long, "
-        "mixed int, with_nulls int, constants int, mean_skew double",
+        f"{GROUP} int; total_rows long; missing long; copies long; outlier_count long; fenced_cells long; "
+        "mixed int; with_nulls int; constants int; mean_skew double",
     )
     width = len(_fields(profile.table, profile.key))
     told = metric_columns(
@@ -340,7 +342,7 @@ def _text_fills(unique: DataFrame, names: list[str], rows: dict[int, int]) -> di
 
 def _with_literals(frame: DataFrame, rows: list[tuple[int, dict]], name: str, kind: str) -> DataFrame:
     """``frame`` with a map of literals per table in the column ``name``."""
-    literals = frame.sparkSession.createDataFrame(rows, f"{GROUP} int, {name} map<string, {kind}>")
+    literals = small_table(frame.sparkSession, rows, f"{GROUP} int; {name} map<string, {kind}>")
     return frame.join(F.broadcast(literals), GROUP, "left")
 
 
@@ -406,7 +408,8 @@ def clean_groups(
     with_nulls = {name for part in parts for name, n in profile.nulls(part).items() if n}
     plan = _numeric_fills(unique, [f.name for f in fields if is_numeric(f) and f.name in with_nulls], rows)
     plan |= _text_fills(unique, [f.name for f in fields if is_categorical(f) and f.name in with_nulls], rows)
-    filled = _fill(unique, plan)
+    # Read by each pass of the search for fences and of what follows.
+    filled = settle(_fill(unique, plan), "filled")
     numeric = [f.name for f in _fields(filled, key) if is_numeric(f)]
     fences = grouped_fences(filled, {(part, name): rows[part] for part in parts for name in numeric})
     by_part = {part: [fences[part, n] for n in numeric if (part, n) in fences] for part in parts}

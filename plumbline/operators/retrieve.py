@@ -29,7 +29,7 @@ from plumbline.limits import DEFAULT_LIMITS, Limits
 NO_MATCH = "No matching reports were found."
 RESULTS = 5
 _WORD = r"[\p{L}\p{N}]+"
-_SCORE_DIGITS = 6
+SCORE_DIGITS = 6
 # Scores held at once by a task.
 _SCORES_HELD = 2_000_000
 _INVISIBLE = -np.inf
@@ -66,7 +66,7 @@ def _task_topk(asked: np.ndarray, scorer: Scorer, k: int):
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                scores = np.round(scorer(part), _SCORE_DIGITS) + 0.0
+                scores = np.round(scorer(part), SCORE_DIGITS) + 0.0
                 ids = part.column("doc_id").to_pandas().to_numpy()
                 best = _keep(best, asked, ids, scores, k)
         if best is not None:
@@ -93,7 +93,7 @@ def _result_type(index: DataFrame, questions: DataFrame) -> T.StructType:
     )
 
 
-def _batches(questions: DataFrame, size: int, limit: int) -> Iterator[DataFrame]:
+def batches(questions: DataFrame, size: int, limit: int) -> Iterator[DataFrame]:
     """The questions in parts of about ``limit`` of their ``size``, small enough for a task."""
     number = max(1, math.ceil(size / limit))
     slot = F.pmod(F.xxhash64("question_id"), F.lit(number))
@@ -151,7 +151,7 @@ def vector_topk(
     documents = index.select("doc_id", "vector").where(F.col("vector").isNotNull())
     schema = _result_type(index, questions)
     parts = []
-    for batch in _batches(questions, size, limits.question_values):
+    for batch in batches(questions, size, limits.question_values):
         asked = batch.select("question_id", "vector").toPandas()
         if not asked.empty:
             scorer = _cosines(np.stack(asked["vector"]).astype("float64"))
@@ -198,6 +198,11 @@ def question_terms(questions: DataFrame, index: DataFrame, documents: int) -> Da
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
+    return term_weights(asked, spread, documents)
+
+
+def term_weights(asked: DataFrame, spread: DataFrame, documents: int) -> DataFrame:
+    """(question_id, term, weight) of terms with their ``tf`` in the question, and their ``df``."""
     rarity = F.log(
         F.lit(float(documents + 1)) / (F.coalesce(F.col("df"), F.lit(0)).cast("double") + 1.0)
     )
@@ -293,6 +298,14 @@ def question_scopes(index: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def in_scope(index: DataFrame, scopes: pd.DataFrame) -> DataFrame:
+    """RET3: the documents that some of the restricted questions of a batch may see; others are
+    neither split into words nor scored."""
+    runs = [int(run) for run in scopes.loc[scopes["scope"] == "run", "run_id"].unique()]
+    files = [str(name) for name in scopes.loc[scopes["scope"] == "file", "filename"].unique()]
+    return index.where(F.col("run_id").isin(runs) | F.col("filename").isin(files))
+
+
 def _text_scorer(postings: _Postings, scopes: pd.DataFrame) -> Scorer:
     everywhere = bool((scopes["scope"] == "all").all())
 
@@ -311,16 +324,22 @@ def text_topk(
     asked = questions.select("question_id", F.col("question").alias("text"), "run_id", "filename")
     size = asked.agg(F.sum(F.size(words(F.col("text"))) + F.lit(1))).first()[0] or 0
     number = index.count()
-    documents = index.select("doc_id", "run_id", "filename", words(F.col("text")).alias("words"))
     schema = _result_type(index, questions)
     parts = []
-    for batch in _batches(asked, size, limits.question_terms):
+    for batch in batches(asked, size, limits.question_terms):
         scopes = question_scopes(index, batch).toPandas()
-        if not scopes.empty:
-            ids = scopes["question_id"].to_numpy()
-            weights = question_terms(batch, index, number).toPandas()
-            task = _task_topk(ids, _text_scorer(_Postings.of(weights, ids), scopes), k)
-            parts.append(documents.mapInArrow(task, schema))
+        if scopes.empty:
+            continue
+        weights = question_terms(batch, index, number).toPandas()
+        restricted = scopes["scope"] != "all"
+        for some, documents in ((~restricted, index), (restricted, in_scope(index, scopes[restricted]))):
+            mine = scopes[some].reset_index(drop=True)
+            if not mine.empty:
+                ids = mine["question_id"].to_numpy()
+                used = weights[weights["question_id"].isin(ids)]
+                task = _task_topk(ids, _text_scorer(_Postings.of(used, ids), mine), k)
+                read = documents.select("doc_id", "run_id", "filename", words(F.col("text")).alias("words"))
+                parts.append(read.mapInArrow(task, schema))
     return _ranked(_union(parts, schema, index), k)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.bitmap import bitmap_of, mark_members
 from plumbline.functions.columns import quoted
-from plumbline.storage import settle
+from plumbline.storage import settle, small_table
 
 _PREFIX = 8
 
@@ -68,15 +68,15 @@ class ValueCounts:
         }
         if not pending:
             return {}
-        part_type = self.counted.schema["part"].dataType.simpleString()
         # A few numbers per part and column.
-        asked = spark.createDataFrame(
+        asked = small_table(
+            spark,
             [(part, slot, most) for (part, slot), most in pending.items()],
-            f"part {part_type}, slot int, cells long",
+            "part int; slot int; cells long",
         )
         frequent = self.counted.join(F.broadcast(asked), ["part", "slot", "cells"], "left_semi")
         first = frequent.groupBy("part", "slot").agg(F.min("prefix").alias("prefix"))
-        first = spark.createDataFrame(first.collect(), first.schema)
+        first = small_table(spark, first.collect(), "part int; slot int; prefix string")
         narrowed = frequent.join(F.broadcast(first), ["part", "slot", "prefix"], "left_semi")
         bitmap = settle(bitmap_of(narrowed, "h1"), "modes")
         cells = _hashed(_long_form(self.df, self.columns, self.group))
@@ -86,9 +86,10 @@ class ValueCounts:
         found: dict[tuple, str] = {}
         beyond: dict[tuple, str] = {}
         while pending:
-            limits = spark.createDataFrame(
+            limits = small_table(
+                spark,
                 [(part, slot, beyond.get((part, slot))) for part, slot in pending],
-                f"part {part_type}, slot int, last string",
+                "part int; slot int; last string",
             )
             rest = passing.join(F.broadcast(limits), ["part", "slot"]).where("last IS NULL OR value > last")
             least = rest.groupBy("part", "slot").agg(F.min("value").alias("value"))
@@ -96,7 +97,7 @@ class ValueCounts:
             rows = least.collect()
             if len(rows) < len(pending):
                 raise RuntimeError("the table changed while its values were counted")
-            least = spark.createDataFrame(rows, least.schema)
+            least = small_table(spark, rows, "part int; slot int; value string")
             keys = ["part", "slot", "h1", "h2"]
             told = self.counted.join(F.broadcast(_hashed(least).drop("prefix")), keys)
             for row in told.select("part", "slot", "value", "cells").collect():
@@ -110,7 +111,7 @@ class ValueCounts:
 
 
 def count_values(df: DataFrame, columns: list[str], group: str | None = None) -> ValueCounts:
-    """The counting pass.  A value held by a third of all rows is one row per task before the
+    """The counting pass; ``group`` names a column of small whole numbers.  A value held by a third of all rows is one row per task before the
     shuffle, and no group is ever larger than that."""
     counted = (
         _hashed(_long_form(df, columns, group))

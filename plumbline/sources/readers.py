@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import quoted
 from plumbline.functions.formats import file_stem
 from plumbline.functions.tokens import FILE_NULL_WORDS, is_number
+from plumbline.sources.csv_ranges import read_quoted_csv
 from plumbline.storage import settle
 
 FORMATS = ("csv", "parquet", "json")
@@ -71,9 +72,12 @@ def infer_types(text: DataFrame) -> DataFrame:
 def read_csv(
     spark: SparkSession, path: str, separator: str = ",", multiline: bool = False
 ) -> DataFrame:
-    """SRC1.  ``multiline`` allows line breaks inside quotes, at the price of one task per
-    file."""
-    return infer_types(_csv_text(spark, path, separator, multiline))
+    """SRC1.  ``multiline`` allows line breaks inside quotes; the files are then read by ranges,
+    many tasks to a file, and kept as Parquet for the passes that follow."""
+    if not multiline:
+        return infer_types(_csv_text(spark, path, separator, False))
+    names = _csv_text(spark, path, separator, True).columns
+    return infer_types(read_quoted_csv(spark, path, names, separator))
 
 
 def table_format(path: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
@@ -28,6 +29,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
+_ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
+    "map<string, double>": pa.map_(pa.string(), pa.float64()),
+    "map<string, string>": pa.map_(pa.string(), pa.string()),
+}
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds, as part of the plan: no task reads them from Python.  ``schema``
+    has simple types and maps of them, with ``;`` between the columns."""
+    fields = [tuple(column.strip().split(" ", 1)) for column in schema.split(";")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [
+        pa.array([list(v.items()) if isinstance(v, dict) else v for v in column], _ARROW[kind])
+        for column, (_, kind) in zip(columns, fields)
+    ]
+    ddl = ", ".join(f"{name} {kind}" for name, kind in fields)
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, [name for name, _ in fields]), ddl)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes prune columns and a lost
     executor costs a re-read instead of the shuffles behind it."""
