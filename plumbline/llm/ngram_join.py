@@ -277,7 +277,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     """The pairs (a, b) that are similar enough; only their documents' sets are moved."""
     spark = texts.sparkSession
     pairs = settle(pairs.select("a", "b"), "pairs")
-    sets = texts.mapInArrow(_wanted_sets(n, _filter_of(spark, pairs)), "id long, tokens binary")
+    # Null ids would turn a batch of ids into floating-point numbers.
+    known = texts.where("id is not null")
+    sets = known.mapInArrow(_wanted_sets(n, _filter_of(spark, pairs)), "id long, tokens binary")
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -468,15 +470,25 @@ def jaccard_join(
         .where(f"under = {everywhere}")
     )
     second = _verified(texts, candidates, n, percent)
-    found = settle(components(first.unionAll(second)), "components")
 
-    owners = sizes.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("owner"))
-    placed = (
-        sizes.join(owners, ["d1", "d2", "n"], "left")
-        .join(found.select(F.col("id").alias("owner"), "component"), "owner", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "owner", "id").alias("component"))
-    )
-    return JaccardJoin(placed, lambda: _block_pairs(texts, sizes, found, n), percent)
+    named = sizes.where("id is not null")
+    owners = named.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("owner"))
+    owned = settle(named.join(owners, ["d1", "d2", "n"], "left").select("id", "n", "owner"), "owned")
+    # An id with several texts joins the classes of all of them.
+    holding = owned.where("owner is not null")
+    several = holding.groupBy("id").agg(F.min("owner").alias("a"), F.max("owner").alias("high")).where("a <> high")
+    tied = holding.join(several, "id").where("owner <> a").select("a", F.col("owner").alias("b")).distinct()
+    found = settle(components(first.unionAll(second).unionAll(tied)), "components")
+
+    reached = found.select(F.col("id").alias("owner"), "component")
+    placed = holding.join(reached, "owner", "left").select("id", "n", F.coalesce("component", "owner").alias("component"))
+    # Rows without words go with the other rows of their id.
+    blank = owned.where("owner is null").select("id", "n")
+    others = placed.join(blank.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("component").alias("c"))
+    beside = blank.join(others, "id", "left").select("id", "n", F.coalesce("c", "id").alias("component"))
+    nobody = sizes.where("id is null").select("id", "n", F.lit(None).cast("long").alias("component"))
+    members = placed.unionAll(beside).unionAll(nobody).withColumnRenamed("n", "n_shingles")
+    return JaccardJoin(members, lambda: _block_pairs(texts, sizes, found, n), percent)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -490,3 +502,31 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+# Sets of documents, pairs by shared shingles, and everything reachable from each document.
+SQL = """
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_sort(
+    list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s
+  FROM listed),
+told AS (SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, chr(10))) AS class FROM sets),
+owners AS (SELECT class, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS owner FROM told WHERE n > 0 GROUP BY class),
+tokens AS (SELECT owner, n, unnest(s) AS token FROM owners),
+links AS (
+  SELECT a.owner AS a, b.owner AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.owner < b.owner
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.owner, b.owner, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT owner AS a, owner AS b FROM owners
+  UNION SELECT reached.a, edges.b FROM reached JOIN edges ON reached.b = edges.a),
+component AS (SELECT a AS owner, min(b) AS component FROM reached GROUP BY a),
+counts AS (SELECT component, count(*) AS n_links FROM links JOIN component ON owner = a GROUP BY component)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM told LEFT JOIN (SELECT class, owner FROM owners) o ON told.n > 0 AND told.class = o.class
+  LEFT JOIN component USING (owner) LEFT JOIN counts USING (component)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, laesa, repair
+from plumbline.llm import chat, decontaminate, laesa, ngram_join, repair
 from plumbline.llm.chat import op2_chat_formatting
 from plumbline.llm.decontaminate import op10_benchmark_decontamination
 from plumbline.llm.laesa import op12_laesa_clustering
@@ -37,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_counts": op13_token_counts,
 }
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
     "op2_chat_formatting": chat.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
     "op11_conversation_repair": repair.SQL,

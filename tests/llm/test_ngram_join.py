@@ -53,6 +53,22 @@ def test_awkward_rows(spark):
     check(messy(spark), 5, 80)
 
 
+def test_an_id_with_several_texts_joins_their_classes(spark):
+    turn = random.Random(2)
+    texts = [" ".join(turn.choices("abcdefgh", k=40)) for _ in range(5)]
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1]), (5, ""), (9, None), (8, "")]
+    rows += [(20, texts[2]), (11, texts[2]), (20, texts[3]), (30, texts[3]), (30, texts[4]), (4, texts[4] + " x")]
+    rows += [(None, texts[0]), (None, ""), (None, texts[4])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+
+
+def test_large_ids_beside_null_ids(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    far = 1 << 60
+    rows = [(far + 1, base), (far + 3, base + " x"), (None, "something else"), (None, None), (far + 5, base + " y")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 3, 90)
+
+
 def test_empty_table(spark):
     assert ngram_join.jaccard_join(empty(spark)).members.count() == 0
 
