@@ -49,7 +49,15 @@ def test_one_text_is_most_of_the_table(spark):
 
 def test_all_rows_equal(spark):
     df = spark.createDataFrame([(1, "x")] * 50, "doc_id long, text string")
-    assert sharding.shard(df, 4).count() == 50
+    check(df, 4)
+
+
+def test_most_rows_equal_in_text_and_id(spark):
+    rows = [(None, None)] * 400 + [(i, f"text {i}") for i in range(50)] + [(7, "a")] * 300
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = check(df, 4)
+    assert set(found[0].asDict()) == {"doc_id", "text", "size", "shard", "slot"}
 
 
 def test_empty_table(spark):
