@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import BLOCK_BYTES
+from plumbline.storage import settle
 
 KINDS = ("email", "ip", "card", "phone")
 # Stretches of text the field is trained on, at most.
 TRAINING_STRETCHES = 1_500
 # Characters of a training stretch, and atoms of a span, at most.
 _STRETCH = 160
-_LONGEST = 24
+_LONGEST = 48
 _ROUNDS = 12
 _MARGIN = 1.0
 
@@ -138,7 +139,7 @@ _PATTERNS = [
     for p in (
         r"[^@]+@[^@]+\.[A-Za-z]{2,8}",
         rf"[A-Za-z0-9._%+-]+ ?[\[({{] ?(?:at|AT) ?[\])}}] ?[A-Za-z0-9-]+{_DOT}.*[A-Za-z]{{2,8}}",
-        rf"[A-Za-z0-9._%+-]+ (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)* (?:dot|DOT) [A-Za-z]{2,8}",
+        rf"[A-Za-z0-9._%+-]+ (?:at|AT) [A-Za-z0-9-]+(?: (?:dot|DOT) [A-Za-z0-9-]+)* (?:dot|DOT) [A-Za-z]{{2,8}}",
         r".*[@]",
         r"[^0-9]*",
         r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
@@ -353,7 +354,8 @@ def _looked_at(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.
 
 
 def fit_field(docs: DataFrame, text_column: str = "text", sample: int = TRAINING_STRETCHES) -> np.ndarray | None:
-    """Trains the field on at most ``sample`` distinct stretches, those with the smallest hashes."""
+    """Trains the field on at most ``sample`` distinct stretches: equal shares with each kind of
+    datum and without any, then of all kinds, those with the smallest hashes of each."""
 
     def run(batches):
         for part, texts in _looked_at(batches, 1):
@@ -374,8 +376,17 @@ def fit_field(docs: DataFrame, text_column: str = "text", sample: int = TRAINING
             yield pa.RecordBatch.from_arrays([pa.array(stretch, pa.string()), pa.array(gold, pa.string())], ["stretch", "gold"])
 
     texts = docs.select(F.lit(0).alias("none"), F.col(text_column).cast("string").alias("text"))
-    found = texts.mapInArrow(run, "stretch string, gold string").distinct()
-    rows = found.orderBy(F.xxhash64("stretch"), "stretch", "gold").limit(sample).collect()
+    found = settle(texts.mapInArrow(run, "stretch string, gold string").distinct(), "stretches")
+    order = [F.xxhash64("stretch"), "stretch", "gold"]
+    kinds = [F.col("gold") == "", *[F.col("gold").contains(f":{kind}:") for kind in range(len(KINDS))]]
+    rows: dict = {}
+    for chosen, bound in [*((kind, sample // (len(kinds) + 1)) for kind in kinds), (F.lit(True), sample)]:
+        # As many new ones as the share, and no more than the sample in all.
+        limit = min(bound, sample - len(rows))
+        for row in found.where(chosen).orderBy(*order).limit(sample).collect():
+            if limit > 0 and row not in rows:
+                rows[row] = None
+                limit -= 1
     return train(
         [
             (row["stretch"], [tuple(map(int, span.split(":"))) for span in row["gold"].split(",") if span])

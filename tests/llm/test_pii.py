@@ -164,3 +164,14 @@ def test_long_texts_take_no_long(weights):
         start = time.time()
         pii.all_spans(text, weights)
         assert time.time() - start < 20
+
+
+def test_plain_spelled_addresses_have_a_feature():
+    plain = pii._PATTERNS[2]
+    assert plain.fullmatch("ann at mail dot example dot com") and not plain.fullmatch("ann at noon")
+
+
+def test_long_spelled_addresses_are_candidates():
+    text = "ann.lee [at] mail2 [dot] example [dot] co [dot] uk"
+    net = pii.lattice(text, 0, len(text))
+    assert (0, len(net.bounds) - 1) in net.spans
