@@ -15,10 +15,12 @@ from plumbline.llm.ngram_join import jaccard_join
 from plumbline.llm.pieces import encode, load_model
 from plumbline.llm.pii import fit_field, redact
 from plumbline.llm.quality import fit_quality, judge, trusted_ids
+from plumbline.llm.rows import with_row_keys
 from plumbline.storage import settle
 
 # Five-word shingles and a similarity of 0.8 make near duplicates.
 SHINGLE_WORDS, SIMILARITY = 5, 80
+ROW = "__row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,17 +33,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Documents without words are in no group and stay."""
-    members = jaccard_join(docs, n=SHINGLE_WORDS, percent=SIMILARITY).members
-    gone = members.where("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    Documents without words are in no group and stay.  Rows are judged each for itself: of rows
+    with the same text one stays, whether their ids are equal, different or null, and rows of one
+    id with different texts have nothing to do with each other."""
+    keyed = with_row_keys(docs, ROW)
+    members = jaccard_join(keyed, id_column=ROW, n=SHINGLE_WORDS, percent=SIMILARITY).members
+    gone = members.where("id <> component").select(F.col("id").alias(ROW))
+    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without words of a benchmark passage."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Documents without words of a benchmark passage; rows are judged each for itself, whatever
+    their ids."""
+    keyed = with_row_keys(docs, ROW)
+    texts = keyed.select(F.col(ROW).alias("doc_id"), "text")
+    found = contamination(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias(ROW))
+    return keyed.join(hit, ROW, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
