@@ -544,11 +544,13 @@ damaged AS (
   SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN ''
     WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM harmed, (SELECT unnest([1, 2]) AS copy) WHERE harm <> 0 AND (copy = 1 OR harm = 3)),
+numbered AS (
+  SELECT *, row_number() OVER w AS i FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 placed AS (
-  SELECT *, row_number() OVER w AS i, left(role, 1) AS r,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+  SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
     right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
-  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role)),
+  FROM numbered),
 told AS (
   SELECT *, ending = '' OR again AS gone, (ending NOT IN ('', '.', '!', '?'))::INT AS cut,
     i > 1 AND lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r NOT IN ('su', 'ua', 'au') AS illegal
