@@ -14,7 +14,7 @@ from plumbline.llm.decontaminate import contamination
 from plumbline.llm.ngram_join import jaccard_join
 from plumbline.llm.pieces import encode, load_model
 from plumbline.llm.pii import fit_field, redact
-from plumbline.llm.quality import fit_quality, judge, trusted_ids
+from plumbline.llm.quality import assess, trusted_ids
 from plumbline.llm.rows import with_row_keys
 from plumbline.storage import settle
 
@@ -26,7 +26,7 @@ ROW = "__row"
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = judge(docs, fit_quality(docs, trusted_ids(labels)), name="__quality")
+    judged = assess(docs, trusted_ids(labels), name="__quality")
     return judged.where("__quality.kept").drop("__quality")
 
 

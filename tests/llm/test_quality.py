@@ -67,6 +67,11 @@ def check(df, labels):
         for r in quality.judge(df, ratios).collect()
     )
     assert got == brute(rows, trusted)
+    at_once = collections.Counter(
+        (r.doc_id, *r.quality[:6], round(r.quality.score, 9), r.quality.kept)
+        for r in quality.assess(df, labels, buckets=64).collect()
+    )
+    assert at_once == got
 
 
 def test_documents(spark):
@@ -106,3 +111,14 @@ def test_good_documents_stay_and_junk_goes(spark):
     counts = {(r.quality, r.kept): r["count"] for r in judged.where("n_words >= 20").groupBy("quality", "kept").count().collect()}
     assert counts.get((1, False), 0) <= 0.02 * counts[1, True]
     assert counts.get((0, True), 0) <= 0.1 * counts[0, False]
+
+
+def test_assessing_keeps_columns_and_uses_no_python(spark):
+    df = messy(spark)
+    none = spark.createDataFrame([], "doc_id long")
+    assert quality.assess(df, none, name="verdict").columns == [*df.columns, "verdict"]
+    narrow = quality.assess(from_files(spark, "documents"), none, columns=["lang"])
+    assert narrow.columns == ["lang", "quality"]
+    plan = narrow._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert quality.assess(empty(spark), none).count() == 0
