@@ -15,6 +15,7 @@ at once, one position of all of them per step, and keeps the pieces of recent wo
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from plumbline.llm.words import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Words whose pieces a task remembers, at most.
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 # The format's mark of a space, and what a character without a piece costs.
 _SPACE_MARK = "▁"
 _UNKNOWN_PENALTY = 10.0
@@ -380,6 +381,30 @@ def encode(
 
     Null and empty texts have no pieces.  Rows are encoded each, null ids stay null, and other
     columns of ``docs`` are not used."""
+    return _encoded(docs, automaton, id_column, text_column, False)
+
+
+def round_trip(
+    docs: DataFrame, automaton: Automaton, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``encode`` with ``decoded_sha256``, the hash of the UTF-8 text that the pieces decode to, made
+    in the same pass from the bytes that the pieces spell."""
+    return _encoded(docs, automaton, id_column, text_column, True)
+
+
+def spell_all(spelled: np.ndarray, offsets: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The bytes of each list of ids; ``spelled`` are those of all pieces end to end."""
+    lengths = np.diff(offsets)[ids]
+    ends = np.cumsum(lengths)
+    places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(offsets[ids] - (ends - lengths), lengths)
+    whole = spelled[places].tobytes()
+    bounds = np.concatenate([[0], ends])[starts].tolist()
+    return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _encoded(
+    docs: DataFrame, automaton: Automaton, id_column: str, text_column: str, digests: bool
+) -> DataFrame:
     # Plain arrays, so that tasks need no import of the package.
     merges = automaton.merges and vars(automaton.merges)
     shared = docs.sparkSession.sparkContext.broadcast(vars(automaton) | {"merges": merges})
@@ -389,15 +414,23 @@ def encode(
         merges = held["merges"] and Merges(**held["merges"])
         net = Automaton(**held | {"merges": merges})
         encoder = MergeEncoder(net) if merges else Encoder(net)
+        spelled = np.frombuffer(b"".join(net.spelled), np.uint8)
+        offsets = np.cumsum([0, *map(len, net.spelled)])
         for block in blocks(batches, "text"):
             texts = pc.fill_null(block.batch.column(1), "").to_pylist()
             ids, starts = encoder.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([block.batch.column(0), lists], ["doc_id", "pieces"])
+            columns, names = [block.batch.column(0), lists], ["doc_id", "pieces"]
+            if digests:
+                # Decoded as ``decode_ids`` does, the space before a text left out.
+                decoded = [b.decode("utf-8", "replace").removeprefix(" ") for b in spell_all(spelled, offsets, ids, starts)]
+                hashes = [hashlib.sha256(text.encode()).hexdigest() for text in decoded]
+                columns, names = [*columns, pa.array(hashes, pa.string())], [*names, "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_column].dataType.simpleString()
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"doc_id {kind}, pieces array<int>")
+    return texts.mapInArrow(run, f"doc_id {kind}, pieces array<int>" + ", decoded_sha256 string" * digests)
 
 
 def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
@@ -416,11 +449,7 @@ def decode(encoded: DataFrame, automaton: Automaton) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     """All documents encoded, with a digest of the text that their pieces decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    automaton = load_model(model)
-    decoded = decode(encode(docs, automaton), automaton)
-    return decoded.select(
-        "doc_id",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        "pieces",
-        F.sha2("text", 256).alias("decoded_sha256"),
+    found = round_trip(docs, load_model(model))
+    return found.select(
+        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "decoded_sha256"
     )

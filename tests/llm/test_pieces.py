@@ -165,3 +165,21 @@ def test_query_returns_a_digest_of_the_round_trip(spark):
     assert {r.doc_id: r.decoded_sha256 for r in rows} == {
         i: sha256(t.encode()).hexdigest() for i, t in texts.items()
     }
+
+
+def test_round_trip_equals_decoding(spark, model):
+    from hashlib import sha256
+
+    rows = pc.round_trip(messy(spark), model).collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in rows) == sorted(
+        (str(r.doc_id), sha256((r.text or "").encode()).hexdigest()) for r in messy(spark).collect()
+    )
+    assert pc.round_trip(empty(spark), model).count() == 0
+
+
+def test_spelling_many_lists_at_once(model):
+    spelled = np.frombuffer(b"".join(model.spelled), np.uint8)
+    offsets = np.cumsum([0, *map(len, model.spelled)])
+    ids, starts = pc.MergeEncoder(model).encode(HARD)
+    found = pc.spell_all(spelled, offsets, ids, starts)
+    assert [b.decode().removeprefix(" ") for b in found] == HARD
