@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import blocks, find_words, mix
-from plumbline.storage import new_path
+from plumbline.storage import discard, new_path
 
 BLOCK_TOKENS = 1_000_000
 # Shares of the probability that a context may keep for words not seen after it.
@@ -400,6 +400,8 @@ def score_documents(
     )
     joined = payload.join(gathered, "block").select("ids", "held", "lengths", "homes", "tokens", "answers", "types")
     counted = _write(joined.mapInArrow(_align(parts), _COUNTED), "counted")
+    # The counted blocks hold the tokens, too; nothing reads the first table again.
+    discard(payload)
     types = counted.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
     rows = (
         counted.mapInArrow(_likelihoods(total, types, starts), "band long, mass long, likelihood double")
