@@ -49,18 +49,6 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, [name for name, _ in fields]), ddl)
 
 
-def discard(settled: DataFrame) -> None:
-    """Deletes a table that was written for later passes, once none of them is left.  Nothing that
-    is read afterwards may depend on it."""
-    spark = settled.sparkSession
-    root = f"{shared_folder(spark)}/plumbline/"
-    for folder in {file.rsplit("/", 1)[0] for file in settled.inputFiles()}:
-        # Only what this module has written.
-        if root.split("://")[-1].removeprefix("file:") in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes prune columns and a lost
     executor costs a re-read instead of the shuffles behind it."""
