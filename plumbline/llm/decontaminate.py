@@ -1,6 +1,6 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
-The index is a written table, one row per block of about 2 MB of text: the block's documents,
+The index is a written table, one row per block of about 1 MB of text: the block's documents,
 its sorted terms, and for each term the positions of its occurrences.  Blocks never share a
 document, so postings lists of one block are intersected where they lie and nothing of the
 corpus is shuffled.  A phrase starts from the term that is rarest in the whole corpus; the lists
