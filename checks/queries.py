@@ -50,8 +50,10 @@ from plumbline.operators.retrieve import (
     text_topk,
     vector_topk,
 )
+from plumbline.operators.sketches import approximate_fences, column_sketches, rank_error
 from plumbline.operators.trust import penalty_score, predict_trust_score
 from plumbline.operators.value_counts import modes
+from plumbline.operators.vector_index import build_vector_index, search_vectors
 from plumbline.operators.views import (
     cleaning_actions,
     cleaning_summary,
@@ -222,6 +224,35 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "iqr_fences_sketched",
+    E.with_ctes(
+        [("f", E.fence_rows("lineitem", LINEITEM_NUMBERS))],
+        "SELECT column_name, n AS non_null, true AS q1_within_error, true AS q3_within_error FROM f",
+    ),
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles from sketches stored per return flag, in two appends; their ranks, counted over
+    all rows, must be within the stated error."""
+    df = normalize_missing(table(spark, sf_dir, "lineitem"))
+    path = new_path(spark, "sketches")
+    late = F.coalesce(F.col("l_returnflag") == "R", F.lit(False))
+    for part in (df.where(~late), df.where(late)):
+        column_sketches(part, F.col("l_returnflag")).write.mode("append").parquet(path)
+    fences = approximate_fences(spark.read.parquet(path))
+    error = rank_error()
+    rows = []
+    for fence in fences:
+        value, checks = F.col(fence.column).cast("double"), []
+        for share, quartile in ((0.25, fence.q1), (0.75, fence.q3)):
+            below, reached = F.avg((value < quartile).cast("int")), F.avg((value <= quartile).cast("int"))
+            checks.append((below <= share + error) & (reached >= share - error))
+        names = ("column_name", "non_null", "q1_within_error", "q3_within_error")
+        cells = (F.lit(fence.column), F.lit(fence.non_null).cast("long"), *checks)
+        rows.append(F.struct(*[cell.alias(name) for name, cell in zip(names, cells)]))
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 def _outlier_query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df, key = _source(spark, sf_dir, name)
     df = normalize_missing(df, key)
@@ -1226,6 +1257,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_topk(vectors, group_centroids(vectors, "label"))
 
 
+@query("vector_topk_indexed", _VECTOR_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of random-projection buckets, with exact search."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label"
+    )
+    path = new_path(spark, "vector_index")
+    build_vector_index(vectors, path)
+    return search_vectors(path, group_centroids(vectors, "label")).matches
+
+
 @query(
     "vector_topk_nonfinite",
     _VECTOR_SQL.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 7 <> 0)"),

@@ -28,7 +28,7 @@ from plumbline.operators.normalize import normalize_missing
 from plumbline.operators.order_stats import quantiles
 
 _FENCE_FACTOR = 1.5
-_FENCE_MIN_VALUES = 4
+FENCE_MIN_VALUES = 4
 _MIXED_MIN_VALUES = 5
 _MIXED_RANGE = (0.10, 0.90)
 # Columns measured by one scan.  Parquet reads each column once however they are grouped; the
@@ -72,7 +72,7 @@ class Fences:
 
     @property
     def usable(self) -> bool:
-        return self.non_null >= _FENCE_MIN_VALUES and self.q3 - self.q1 != 0
+        return self.non_null >= FENCE_MIN_VALUES and self.q3 - self.q1 != 0
 
     @property
     def lower(self) -> float:
@@ -201,7 +201,7 @@ def fit_fences(
 ) -> list[Fences]:
     """AGG3: quartile fences of the given numeric columns."""
     values = {name: quoted(name).cast("double") for name in non_null}
-    enough = {name: n for name, n in non_null.items() if n >= _FENCE_MIN_VALUES}
+    enough = {name: n for name, n in non_null.items() if n >= FENCE_MIN_VALUES}
     found = quantiles(table, {name: values[name] for name in enough}, enough, (0.25, 0.75), limits)
     return [Fences(name, non_null[name], *found[name]) for name in enough]
 

@@ -110,7 +110,7 @@ def _union(parts: list[DataFrame], schema: T.StructType, index: DataFrame) -> Da
 # ── vectors ──────────────────────────────────────────────────────────────────────────────
 
 
-def _unit_rows(vectors: np.ndarray) -> np.ndarray:
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; a zero vector stays and is similar to nothing, and so is one
     with a component that is not finite."""
     vectors = np.where(np.isfinite(vectors).all(axis=1, keepdims=True), vectors, 0.0)
@@ -122,7 +122,7 @@ def _unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def _cosines(asked: np.ndarray) -> Scorer:
-    units = _unit_rows(asked)
+    units = unit_rows(asked)
 
     def score(part: pa.RecordBatch) -> np.ndarray:
         column = part.column("vector")
@@ -130,7 +130,7 @@ def _cosines(asked: np.ndarray) -> Scorer:
         flat = column.filter(fits).flatten().to_numpy(zero_copy_only=False)
         vectors = np.zeros((part.num_rows, asked.shape[1]))
         vectors[fits.to_numpy(zero_copy_only=False)] = flat.astype("float64").reshape(-1, asked.shape[1])
-        return units @ _unit_rows(vectors).T
+        return units @ unit_rows(vectors).T
 
     return score
 
