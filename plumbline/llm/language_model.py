@@ -57,12 +57,15 @@ def _unpacked(value: pa.Scalar, kind) -> np.ndarray:
 
 
 def _tight(values: np.ndarray) -> pa.Array:
-    """Small numbers in wide fields, and numbers of words, pack to a fraction."""
-    return pa.array([zstandard.ZstdCompressor(level=1).compress(values.tobytes())], pa.binary())
+    """Small numbers in wide fields, and numbers of words, pack to a fraction: all lowest bytes
+    first, then all second ones, and so on."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(planes.tobytes())], pa.binary())
 
 
 def _loose(value: pa.Scalar, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_buffer()), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value.as_buffer()), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _write(df: DataFrame, label: str) -> DataFrame:
@@ -77,7 +80,14 @@ def _cut(parts: int):
 
     def made(texts):
         ids, held, lengths, hashes = zip(*texts)
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, tokens, counts = np.unique(
+            np.concatenate(hashes), return_inverse=True, return_counts=True
+        )
+        # Frequent words get small numbers, which pack best.
+        order = np.argsort(-counts, kind="stable")
+        numbers = np.empty(len(order), np.uint32)
+        numbers[order] = np.arange(len(order), dtype=np.uint32)
+        words, tokens = words[order], numbers[tokens]
         ids, held = pa.chunked_array(ids).combine_chunks(), pa.chunked_array(held).combine_chunks()
         bounds = pa.array([0, len(ids)], pa.int32())
         # Any number will do that no other block has: only committed rows are ever read.
@@ -90,7 +100,7 @@ def _cut(parts: int):
                 _packed(np.concatenate(lengths).astype(np.int32)),
                 _packed(words),
                 _tight((mix(words, 5) % _U(parts)).astype(np.uint32)),
-                _tight(tokens.astype(np.uint32)),
+                _tight(tokens),
             ],
             ["block", "ids", "held", "lengths", "words", "homes", "tokens"],
         )
