@@ -2,11 +2,18 @@
 
 A string of ``length`` bytes that occurs twice holds the same anchors both times: the places
 where the hash of a short gram is smallest within some window of the string.  So only suffixes
-that start at anchors are sorted, about one in seventy, and of these only those whose gram occurs
-at two anchors at least.  A fixed bitmap of gram hashes says which; it may let others through.
-
-Anchors with the same gram meet in one group with ``length`` bytes to their left and right.
-Their suffixes are put in order by multikey quicksort to a shallow depth; those still equal go
+that start at anchors are sorted, about one in seventy.
+
+The strings that hold an anchor start at most ``length - gram`` bytes before it.  Those that start
+within some range of places before it all hold the bytes from the first to the last place common
+to them, a segment.  Equal strings have equal segments, so only anchors whose segment occurs twice
+take part, with the bytes that strings of this range can hold.  A fixed bitmap of segment hashes
+says which; it may let others through.  Segments of two ranges are counted first.  Where a segment
+occurs more often than one task should hold, its range is cut into eight and counted again, and
+such parts into single places, whose segments are whole strings: one that is frequent is repeated,
+and needs no group.  So no group has more than a bounded share of all anchors.
+
+Anchors with the same segment meet in one group.  Their suffixes are put in order by multikey quicksort to a shallow depth; those still equal go
 into a blind trie, which orders them with one comparison each.  The common prefixes of
 neighbours give all groups of suffixes that agree for some depth; inside such a group the longest
 common context to the left is found in the order of the reversed contexts.  Where both together
@@ -16,6 +23,8 @@ reach ``length`` bytes, the string is repeated.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +37,15 @@ from plumbline.storage import settle
 LENGTH = 200
 GRAM = 48
 _SHALLOW = 64
-# Bits of the map of grams that occur twice: 16 MB in every task.
+# Bits of the map of segments that occur twice: 16 MB in every task and level.
 _MAP_BITS = 1 << 27
 _BITMAP_BITS = 32768
+# Anchors that may meet in one group, and the number of segments sent out as more frequent: where
+# there would be more of these, the bound on groups is that share of all anchors.
+GROUP = 2048
+_FREQUENT = 1 << 21
+# Pieces that each level cuts a range of places into; the last one leaves single places.
+_PIECES = (2, 8, 1 << 30)
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -45,11 +60,30 @@ def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(backward[:count], forward[width - 1 : width - 1 + count])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of anchors, and the hashes of their grams.  Windows do not cross texts."""
-    window = length - gram + 1
+@dataclass(frozen=True)
+class Anchors:
+    """Places of anchors in a block, their texts, and the room to both ends of the text."""
+
+    places: np.ndarray
+    texts: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    running: np.ndarray
+    factors: np.ndarray
+
+    def segments(self, which: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
+        """Hashes of the bytes common to all strings that start ``first`` to ``last`` bytes before
+        an anchor."""
+        low, high = self.places[which] - first, self.places[which] + length - last
+        return mix((self.running[high] - self.running[low]) * self.factors[low], 1 + first * (length + 1) + last)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Anchors:
+    """Anchors of all texts.  Windows do not cross texts."""
+    none = np.empty(0, np.int64)
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return Anchors(none, none, none, none, np.zeros(1, np.uint64), np.ones(1, np.uint64))
+    window = length - gram + 1
     running, factors = prefix_hashes(data)
     grams = len(data) - gram + 1
     hashes = mix((running[gram:] - running[:-gram]) * factors[:grams]) | np.uint64(1)
@@ -61,7 +95,52 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     padded = np.pad(lowest, (window - 1, window - 1))
     best = _sliding(padded, window, np.maximum)[:grams]
     places = np.flatnonzero(hashes == best)
-    return places, hashes[places]
+    texts = text[places]
+    return Anchors(places, texts, places - offsets[texts], offsets[texts + 1] - places, running, factors)
+
+
+def pieces(first: int, last: int, count: int) -> list[tuple[int, int]]:
+    """The range cut into at most ``count`` ranges of about equal size."""
+    width = -(-(last - first + 1) // count)
+    return [(at, min(at + width - 1, last)) for at in range(first, last + 1, width)]
+
+
+@dataclass(frozen=True)
+class _Level:
+    """Broadcast: bits of the segments that occur twice, and sorted hashes of the frequent ones."""
+
+    shared: Any
+    frequent: Any
+
+    def is_shared(self, hashes: np.ndarray) -> np.ndarray:
+        spot = (hashes % np.uint64(_MAP_BITS)).astype(np.int64)
+        return ((self.shared.value[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def is_frequent(self, hashes: np.ndarray) -> np.ndarray:
+        known = self.frequent.value
+        if not len(known):
+            return np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return known[at] == hashes
+
+
+def _visit(found: Anchors, levels: list[_Level], length: int, gram: int):
+    """``(level, first, last, anchors, hashes)`` of all ranges of the first level, and of the parts
+    of frequent segments' ranges on the next ones, down to the first level not known yet."""
+
+    def parts(level: int, first: int, last: int, which: np.ndarray):
+        for a, b in pieces(first, last, _PIECES[level]):
+            fit = which[(found.left[which] >= a) & (found.right[which] >= length - b)]
+            if not len(fit):
+                continue
+            hashes = found.segments(fit, a, b, length)
+            yield level, a, b, fit, hashes
+            if level < len(levels) and level + 1 < len(_PIECES):
+                often = fit[levels[level].is_frequent(hashes)]
+                if len(often):
+                    yield from parts(level + 1, a, b, often)
+
+    yield from parts(0, 0, length - gram, np.arange(len(found.places)))
 
 
 def _common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -148,7 +227,7 @@ def deep_shallow_order(strings: list[bytes], shallow: int = _SHALLOW) -> list[in
 
 
 def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int) -> list[tuple[int, int]]:
-    """For each different ``(reversed left, right)`` context of a gram: how far to the left and to
+    """For each different ``(reversed left, right)`` context of a segment: how far to the left and to
     the right of the anchor bytes recur at another anchor.  All repeated strings found there
     hold the anchor, so what they cover is one run."""
     found = [(0, 0)] * len(members)
@@ -197,35 +276,43 @@ def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int)
     return found
 
 
-def _anchor_hashes(length: int, gram: int):
+def _segment_counts(length: int, gram: int, levels: list[_Level]):
+    """Segments of the first level that is not known yet, counted per block."""
+
     def run(batches):
         for block in blocks(batches, "text"):
-            _, hashes = anchors(block.data, block.offsets, length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["gram"])
+            found = anchors(block.data, block.offsets, length, gram)
+            hashes = [h for level, _, _, _, h in _visit(found, levels, length, gram) if level == len(levels)]
+            if hashes:
+                segments, counts = np.unique(np.concatenate(hashes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(segments.view(np.int64)), pa.array(counts)], ["segment", "n"])
 
     return run
 
 
-def _contexts(length: int, gram: int, bits):
-    """Per block and different context of a shared gram: the anchors that have it."""
+def _contexts(length: int, gram: int, levels: list[_Level]):
+    """Per block and different context of a shared segment that is not frequent: the anchors that
+    have it.  Contexts are as wide as strings of the segment's range need."""
 
     def run(batches):
-        shared = bits.value
         for block in blocks(batches, "text"):
-            data, offsets = block.data, block.offsets
-            places, hashes = anchors(data, offsets, length, gram)
-            spot = (hashes % np.uint64(_MAP_BITS)).astype(np.int64)
-            kept = ((shared[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
-            places, hashes = places[kept], hashes[kept]
-            text = np.searchsorted(offsets, places, "right") - 1
-            starts, ends = offsets[text], offsets[text + 1]
-            low, high = np.maximum(places - length, starts), np.minimum(places + length, ends)
-            raw = data.tobytes()
+            found = anchors(block.data, block.offsets, length, gram)
+            raw = block.data.tobytes()
             ids, digests = block.batch.column(0).to_pylist(), block.batch.column(1).to_pylist()
             held: dict[tuple[int, bytes, bytes], list[tuple[int, int, int]]] = {}
-            for place, key, i, start, a, b in zip(*(x.tolist() for x in (places, hashes.view(np.int64), text, starts, low, high))):
-                context = (key, raw[a:place][::-1], raw[place:b])
-                held.setdefault(context, []).append((ids[i], digests[i], place - start))
+            for level, first, last, which, hashes in _visit(found, levels, length, gram):
+                if level == len(levels):
+                    continue
+                kept = levels[level].is_shared(hashes) & ~levels[level].is_frequent(hashes)
+                which, hashes = which[kept], hashes[kept]
+                places, left = found.places[which], found.left[which]
+                low = places - np.minimum(left, last)
+                high = places + np.minimum(found.right[which], length - first)
+                for place, key, i, a, b, at in zip(
+                    *(x.tolist() for x in (places, hashes.view(np.int64), found.texts[which], low, high, left))
+                ):
+                    context = (key, raw[a:place][::-1], raw[place:b])
+                    held.setdefault(context, []).append((ids[i], digests[i], at))
             if not held:
                 continue
             bounds = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in held.values()])]).astype(np.int32))
@@ -239,13 +326,40 @@ def _contexts(length: int, gram: int, bits):
     return run
 
 
-_CONTEXT_NAMES = ["gram", "before", "after", "ids", "digests", "places"]
-_CONTEXTS = "gram long, before binary, after binary, ids array<long>, digests array<long>, places array<long>"
+def _frequent_runs(length: int, gram: int, levels: list[_Level]):
+    """Runs of bytes covered by frequent strings, which are the frequent segments of single places.
+    All of one anchor hold it, so they are one run."""
+
+    def run(batches):
+        for block in blocks(batches, "text"):
+            found = anchors(block.data, block.offsets, length, gram)
+            size = len(found.places)
+            start, stop = np.full(size, np.iinfo(np.int64).max), np.full(size, -1)
+            for level, first, _, which, hashes in _visit(found, levels, length, gram):
+                if level + 1 == len(_PIECES):
+                    which = which[levels[level].is_frequent(hashes)]
+                    start[which] = np.minimum(start[which], found.left[which] - first)
+                    stop[which] = np.maximum(stop[which], found.left[which] - first + length)
+            covered = np.flatnonzero(stop >= 0)
+            texts = pa.array(found.texts[covered])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block.batch.column(0).take(texts), block.batch.column(1).take(texts),
+                    pa.array(start[covered]), pa.array(stop[covered]),
+                ],
+                _RUNS.replace(" long", "").split(", "),
+            )
+
+    return run
+
+
+_CONTEXT_NAMES = ["segment", "before", "after", "ids", "digests", "places"]
+_CONTEXTS = "segment long, before binary, after binary, ids array<long>, digests array<long>, places array<long>"
 _RUNS = "id long, digest long, start long, stop long"
 
 
 def _repeated(length: int):
-    """Runs of bytes to remove.  Rows come sorted by gram; one gram is held at a time."""
+    """Runs of bytes to remove.  Rows come sorted by segment; one segment is held at a time."""
 
     def flush(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         contexts: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
@@ -278,10 +392,12 @@ def _repeated(length: int):
     return run
 
 
-def _shared_grams(spark: SparkSession, grams: DataFrame):
-    """The bitmap of grams that occur at two anchors or more."""
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    spot = f"shiftrightunsigned(shiftleft(gram, {64 - 27}), {64 - 27})"
+def _level(spark: SparkSession, counted: DataFrame) -> _Level:
+    """What occurs twice, and what is too frequent for one group."""
+    often = settle(counted.groupBy("segment").agg(F.sum("n").alias("n")).where("n > 1"), "segments")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    bound = max(GROUP, total // _FREQUENT)
+    spot = f"shiftrightunsigned(shiftleft(segment, {64 - 27}), {64 - 27})"
     rows = (
         often.select(F.expr(spot).alias("spot"))
         .groupBy(F.floor(F.col("spot") / _BITMAP_BITS).alias("part"))
@@ -291,7 +407,10 @@ def _shared_grams(spark: SparkSession, grams: DataFrame):
     for row in rows.toLocalIterator():
         start = int(row["part"]) * _BITMAP_BITS // 8
         bits[start : start + _BITMAP_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return spark.sparkContext.broadcast(bits)
+    # At most _FREQUENT of them reach the bound, as their numbers add up to at most the total.
+    frequent = often.where(F.col("n") > bound).select("segment").toArrow()["segment"].to_numpy()
+    known = np.sort(frequent.astype(np.int64).view(np.uint64))
+    return _Level(spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(known))
 
 
 def remove_repeats(
@@ -310,10 +429,15 @@ def remove_repeats(
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )
     long_enough = texts.where(F.octet_length("text") >= length)
-    bits = _shared_grams(spark, long_enough.mapInArrow(_anchor_hashes(length, gram), "gram long"))
-    contexts = long_enough.mapInArrow(_contexts(length, gram, bits), _CONTEXTS)
+    levels: list[_Level] = []
+    while len(levels) < len(_PIECES) and (not levels or len(levels[-1].frequent.value)):
+        counted = long_enough.mapInArrow(_segment_counts(length, gram, levels), "segment long, n long")
+        levels = [*levels, _level(spark, counted)]
+    contexts = long_enough.mapInArrow(_contexts(length, gram, levels), _CONTEXTS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_repeated(length), _RUNS)
+    found = contexts.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_repeated(length), _RUNS)
+    if len(levels) == len(_PIECES):
+        found = found.union(long_enough.mapInArrow(_frequent_runs(length, gram, levels), _RUNS))
     runs = settle(
         found.groupBy("id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")),
         "runs",

@@ -78,17 +78,55 @@ def test_full_map_lets_everything_through(spark, monkeypatch):
     """With few bits all grams look shared; the result is the same."""
     rows = [(i, f"{i} some passage that is repeated in all of them {i * 7} and an end") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    original = sd._shared_grams
+    original = sd._level
 
-    def full(session, grams):
-        shared = original(session, grams)
-        shared.value[:] = 255
-        return session.sparkContext.broadcast(shared.value)
+    def full(session, counted):
+        level = original(session, counted)
+        level.shared.value[:] = 255
+        return sd._Level(session.sparkContext.broadcast(level.shared.value), level.frequent)
 
-    monkeypatch.setattr(sd, "_shared_grams", full)
+    monkeypatch.setattr(sd, "_level", full)
     check(df, 24, 8)
 
 
+@pytest.mark.parametrize("group", [1, 3, 10, 30])
+def test_frequent_segments(spark, monkeypatch, group):
+    """Segments in more texts than a group may hold: parts of their ranges, then whole strings."""
+    monkeypatch.setattr(sd, "GROUP", group)
+    turn = random.Random(group)
+    passage = "".join(turn.choices("abcdefgh", k=90))
+    rows = []
+    for i in range(60):
+        own = ["".join(turn.choices("abcdefgh", k=turn.randrange(40))) for _ in range(2)]
+        cut = turn.randrange(30) if i % 3 else 0
+        rows.append((i, own[0] + passage[cut : 90 - turn.randrange(30) * (i % 2)] + own[1]))
+    rows += [(100 + i, passage * 2) for i in range(15)] + [(200, "a" * 300), (201, "ab" * 90), (201, "ab" * 90), (None, passage)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 24, 8)
+    check(from_files(spark, "documents", 60), 200, 48)
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    """A passage of all texts, with other bytes on both sides each time, gives no large group."""
+    monkeypatch.setattr(sd, "GROUP", 20)
+    sizes = []
+    original = sd._contexts
+
+    def seen(*args):
+        run = original(*args)
+        sizes.append(run)
+        return run
+
+    monkeypatch.setattr(sd, "_contexts", seen)
+    turn = random.Random(5)
+    passage = "".join(turn.choices("abcdefgh", k=60))
+    rows = [(i, "".join(turn.choices("ijklm", k=50)) + passage + "".join(turn.choices("ijklm", k=50))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, 24, 8)
+    contexts = df.selectExpr("doc_id", "xxhash64(text)", "text").mapInArrow(sizes[0], sd._CONTEXTS)
+    largest = contexts.selectExpr("segment", "size(ids) AS n").groupBy("segment").sum("n").toPandas()["sum(n)"]
+    assert largest.empty or largest.max() <= 20
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(empty(spark)).count() == 0
 
@@ -100,5 +138,5 @@ def test_copies_of_a_row_hold_their_runs_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text)] * 40, "doc_id long, text string")
     rows = sd.remove_repeats(docs).collect()
     assert len(rows) == 40 and {bytes(r.kept) for r in rows} == {b""}
-    (held,) = settled[0].collect()
+    (held,) = settled[-1].collect()
     assert len(held.runs) == len(set(held.runs))
