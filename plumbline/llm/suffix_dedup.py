@@ -40,6 +40,8 @@ _SHALLOW = 64
 # Bits of the map of segments that occur twice: 16 MB in every task and level.
 _MAP_BITS = 1 << 27
 _BITMAP_BITS = 32768
+# Text bytes handled at once: their hashes and windows take about a hundred times as much.
+_BLOCK = 1 << 18
 # Anchors that may meet in one group, and the number of segments sent out as more frequent: where
 # there would be more of these, the bound on groups is that share of all anchors.
 GROUP = 2048
@@ -280,7 +282,7 @@ def _segment_counts(length: int, gram: int, levels: list[_Level]):
     """Segments of the first level that is not known yet, counted per block."""
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK):
             found = anchors(block.data, block.offsets, length, gram)
             hashes = [h for level, _, _, _, h in _visit(found, levels, length, gram) if level == len(levels)]
             if hashes:
@@ -295,7 +297,7 @@ def _contexts(length: int, gram: int, levels: list[_Level]):
     have it.  Contexts are as wide as strings of the segment's range need."""
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK):
             found = anchors(block.data, block.offsets, length, gram)
             raw = block.data.tobytes()
             ids, digests = block.batch.column(0).to_pylist(), block.batch.column(1).to_pylist()
@@ -331,7 +333,7 @@ def _frequent_runs(length: int, gram: int, levels: list[_Level]):
     All of one anchor hold it, so they are one run."""
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK):
             found = anchors(block.data, block.offsets, length, gram)
             size = len(found.places)
             start, stop = np.full(size, np.iinfo(np.int64).max), np.full(size, -1)
@@ -454,7 +456,7 @@ _KEPT = "id long, text string, runs array<struct<start:bigint,stop:bigint>>, kep
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges runs that touch, and takes them out of the bytes."""
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", _BLOCK):
         lists, runs, kept = block.batch.column(2), [], []
         for i, (first, last) in enumerate(zip(block.offsets[:-1], block.offsets[1:])):
             raw = block.data[first:last].tobytes()
