@@ -4,16 +4,18 @@ A string of ``length`` bytes that occurs twice holds the same anchors both times
 where the hash of a short gram is smallest within some window of the string.  So only suffixes
 that start at anchors are sorted, about one in seventy.
 
-The strings that hold an anchor start at most ``length - gram`` bytes before it.  Those that start
-within some range of places before it all hold the bytes from the first to the last place common
-to them, a segment.  Equal strings have equal segments, so only anchors whose segment occurs twice
-take part, with the bytes that strings of this range can hold.  A fixed bitmap of segment hashes
-says which; it may let others through.  Segments of two ranges are counted first.  Where a segment
-occurs more often than one task should hold, its range is cut into eight and counted again, and
-such parts into single places, whose segments are whole strings: one that is frequent is repeated,
-and needs no group.  So no group has more than a bounded share of all anchors.
-
-Anchors with the same segment meet in one group.  Their suffixes are put in order by multikey quicksort to a shallow depth; those still equal go
+Of these only those whose gram occurs at two anchors at least take part, with the bytes on both
+sides that strings of ``length`` bytes can hold, their context.  A fixed bitmap of gram hashes says
+which; it may let others through.
+
+A gram that occurs more often than one task should hold makes no group.  The strings that hold an
+anchor start at most ``length - gram`` bytes before it; those that start in some range of places
+before it all hold the bytes from the first to the last place common to them, a segment.  For the
+contexts of frequent grams the range is cut into eight, whose segments are counted like grams, and
+where these are frequent too into single places, whose segments are whole strings: a frequent one is
+repeated, and needs no group.  So no group has more than a bounded share of all anchors.
+
+Anchors with the same gram or segment meet in one group.  Their suffixes are put in order by multikey quicksort to a shallow depth; those still equal go
 into a blind trie, which orders them with one comparison each.  The common prefixes of
 neighbours give all groups of suffixes that agree for some depth; inside such a group the longest
 common context to the left is found in the order of the reversed contexts.  Where both together
@@ -28,6 +30,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +40,17 @@ from plumbline.storage import settle
 LENGTH = 200
 GRAM = 48
 _SHALLOW = 64
-# Bits of the map of segments that occur twice: 16 MB in every task and level.
+# Bits of the map of grams or segments that occur twice: 16 MB in every task and level.
 _MAP_BITS = 1 << 27
 _BITMAP_BITS = 32768
 # Text bytes handled at once: their hashes and windows take about a hundred times as much.
 _BLOCK = 1 << 18
 # Anchors that may meet in one group, and the number of segments sent out as more frequent: where
 # there would be more of these, the bound on groups is that share of all anchors.
-GROUP = 2048
+GROUP = 1024
 _FREQUENT = 1 << 21
 # Pieces that each level cuts a range of places into; the last one leaves single places.
-_PIECES = (2, 8, 1 << 30)
+_PIECES = (8, 1 << 30)
 
 
 def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
@@ -62,17 +65,43 @@ def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(backward[:count], forward[width - 1 : width - 1 + count])
 
 
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of anchors, and the hashes of their grams.  Windows do not cross texts."""
+    window = length - gram + 1
+    if len(data) < length:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    running, factors = prefix_hashes(data)
+    grams = len(data) - gram + 1
+    hashes = mix((running[gram:] - running[:-gram]) * factors[:grams]) | np.uint64(1)
+    lowest = _sliding(hashes, window, np.minimum)
+    # A window counts if the whole string lies in one text.
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    lowest[text[: len(lowest)] != text[length - 1 : length - 1 + len(lowest)]] = 0
+    # A gram is an anchor if it is the lowest of some window that holds it.
+    padded = np.pad(lowest, (window - 1, window - 1))
+    best = _sliding(padded, window, np.maximum)[:grams]
+    places = np.flatnonzero(hashes == best)
+    return places, hashes[places]
+
+
 @dataclass(frozen=True)
-class Anchors:
-    """Places of anchors in a block, their texts, and the room to both ends of the text."""
+class Contexts:
+    """Contexts end to end: the anchors' places, and their bytes to the left and to the right."""
 
+    raw: bytes
     places: np.ndarray
-    texts: np.ndarray
     left: np.ndarray
     right: np.ndarray
     running: np.ndarray
     factors: np.ndarray
 
+    @classmethod
+    def of(cls, before: list[bytes], after: list[bytes]) -> Contexts:
+        raw = b"".join(piece for a, b in zip(before, after) for piece in (a[::-1], b))
+        left, right = (np.array([len(x) for x in side], np.int64) for side in (before, after))
+        ends = np.cumsum(left + right)
+        return cls(raw, ends - right, left, right, *prefix_hashes(np.frombuffer(raw, np.uint8)))
+
     def segments(self, which: np.ndarray, first: int, last: int, length: int) -> np.ndarray:
         """Hashes of the bytes common to all strings that start ``first`` to ``last`` bytes before
         an anchor."""
@@ -80,27 +109,6 @@ class Anchors:
         return mix((self.running[high] - self.running[low]) * self.factors[low], 1 + first * (length + 1) + last)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Anchors:
-    """Anchors of all texts.  Windows do not cross texts."""
-    none = np.empty(0, np.int64)
-    if len(data) < length:
-        return Anchors(none, none, none, none, np.zeros(1, np.uint64), np.ones(1, np.uint64))
-    window = length - gram + 1
-    running, factors = prefix_hashes(data)
-    grams = len(data) - gram + 1
-    hashes = mix((running[gram:] - running[:-gram]) * factors[:grams]) | np.uint64(1)
-    lowest = _sliding(hashes, window, np.minimum)
-    # A window counts if the whole string lies in one text.
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    lowest[text[: len(lowest)] != text[length - 1 : length - 1 + len(lowest)]] = 0
-    # A gram is an anchor if it is the lowest of some window that holds it.
-    padded = np.pad(lowest, (window - 1, window - 1))
-    best = _sliding(padded, window, np.maximum)[:grams]
-    places = np.flatnonzero(hashes == best)
-    texts = text[places]
-    return Anchors(places, texts, places - offsets[texts], offsets[texts + 1] - places, running, factors)
-
-
 def pieces(first: int, last: int, count: int) -> list[tuple[int, int]]:
     """The range cut into at most ``count`` ranges of about equal size."""
     width = -(-(last - first + 1) // count)
@@ -126,23 +134,23 @@ class _Level:
         return known[at] == hashes
 
 
-def _visit(found: Anchors, levels: list[_Level], length: int, gram: int):
-    """``(level, first, last, anchors, hashes)`` of all ranges of the first level, and of the parts
-    of frequent segments' ranges on the next ones, down to the first level not known yet."""
+def _visit(held: Contexts, levels: list[_Level], length: int, gram: int):
+    """``(level, first, last, contexts, hashes)`` of all ranges of the first level, and of the parts
+    of frequent segments' ranges on the next one, down to the first level not known yet."""
 
     def parts(level: int, first: int, last: int, which: np.ndarray):
         for a, b in pieces(first, last, _PIECES[level]):
-            fit = which[(found.left[which] >= a) & (found.right[which] >= length - b)]
+            fit = which[(held.left[which] >= a) & (held.right[which] >= length - b)]
             if not len(fit):
                 continue
-            hashes = found.segments(fit, a, b, length)
+            hashes = held.segments(fit, a, b, length)
             yield level, a, b, fit, hashes
             if level < len(levels) and level + 1 < len(_PIECES):
                 often = fit[levels[level].is_frequent(hashes)]
                 if len(often):
                     yield from parts(level + 1, a, b, often)
 
-    yield from parts(0, 0, length - gram, np.arange(len(found.places)))
+    yield from parts(0, 0, length - gram, np.arange(len(held.places)))
 
 
 def _common(a: bytes, b: bytes, start: int = 0) -> int:
@@ -278,90 +286,78 @@ def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int)
     return found
 
 
-def _segment_counts(length: int, gram: int, levels: list[_Level]):
-    """Segments of the first level that is not known yet, counted per block."""
+def _gram_counts(length: int, gram: int):
+    """Grams of anchors, counted per block."""
 
     def run(batches):
         for block in blocks(batches, "text", _BLOCK):
-            found = anchors(block.data, block.offsets, length, gram)
-            hashes = [h for level, _, _, _, h in _visit(found, levels, length, gram) if level == len(levels)]
-            if hashes:
-                segments, counts = np.unique(np.concatenate(hashes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(segments.view(np.int64)), pa.array(counts)], ["segment", "n"])
+            _, hashes = anchors(block.data, block.offsets, length, gram)
+            grams, counts = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["segment", "n"])
 
     return run
 
 
-def _contexts(length: int, gram: int, levels: list[_Level]):
-    """Per block and different context of a shared segment that is not frequent: the anchors that
-    have it.  Contexts are as wide as strings of the segment's range need."""
+def _contexts(length: int, gram: int, known: _Level):
+    """Per block and different context of a shared gram: the anchors that have it.  Contexts of
+    frequent grams are marked, and dealt out evenly."""
 
     def run(batches):
         for block in blocks(batches, "text", _BLOCK):
-            found = anchors(block.data, block.offsets, length, gram)
+            offsets = block.offsets
+            places, hashes = anchors(block.data, offsets, length, gram)
+            kept = known.is_shared(hashes)
+            places, hashes = places[kept], hashes[kept]
+            if not len(places):
+                continue
+            text = np.searchsorted(offsets, places, "right") - 1
+            starts = offsets[text]
+            low = np.maximum(places - (length - gram), starts)
+            high = np.minimum(places + length, offsets[text + 1])
+            often = known.is_frequent(hashes)
+            running, factors = prefix_hashes(block.data)
+            own = mix((running[high] - running[low]) * factors[low])
+            keys = np.where(often, own, hashes).view(np.int64)
             raw = block.data.tobytes()
             ids, digests = block.batch.column(0).to_pylist(), block.batch.column(1).to_pylist()
-            held: dict[tuple[int, bytes, bytes], list[tuple[int, int, int]]] = {}
-            for level, first, last, which, hashes in _visit(found, levels, length, gram):
-                if level == len(levels):
-                    continue
-                kept = levels[level].is_shared(hashes) & ~levels[level].is_frequent(hashes)
-                which, hashes = which[kept], hashes[kept]
-                places, left = found.places[which], found.left[which]
-                low = places - np.minimum(left, last)
-                high = places + np.minimum(found.right[which], length - first)
-                for place, key, i, a, b, at in zip(
-                    *(x.tolist() for x in (places, hashes.view(np.int64), found.texts[which], low, high, left))
-                ):
-                    context = (key, raw[a:place][::-1], raw[place:b])
-                    held.setdefault(context, []).append((ids[i], digests[i], at))
-            if not held:
-                continue
-            bounds = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in held.values()])]).astype(np.int32))
-            flat = [m for each in held.values() for m in each]
-            lists = [
-                pa.ListArray.from_arrays(bounds, pa.array([m[k] for m in flat], pa.int64())) for k in range(3)
-            ]
-            keys = [pa.array([c[k] for c in held], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*keys, *lists], _CONTEXT_NAMES)
+            held: dict[tuple[int, bool, bytes, bytes], list[tuple[int, int, int]]] = {}
+            for place, key, far, i, start, a, b in zip(*(x.tolist() for x in (places, keys, often, text, starts, low, high))):
+                context = (key, far, raw[a:place][::-1], raw[place:b])
+                held.setdefault(context, []).append((ids[i], digests[i], place - start))
+            # Contexts of frequent grams form no groups; equal ones of different blocks go anywhere.
+            dealt = {(hash((c[0], m[0])), *c[1:]) if c[1] else c: m for c, m in held.items()}
+            yield _context_rows(dealt)
 
     return run
 
 
-def _frequent_runs(length: int, gram: int, levels: list[_Level]):
-    """Runs of bytes covered by frequent strings, which are the frequent segments of single places.
-    All of one anchor hold it, so they are one run."""
-
-    def run(batches):
-        for block in blocks(batches, "text", _BLOCK):
-            found = anchors(block.data, block.offsets, length, gram)
-            size = len(found.places)
-            start, stop = np.full(size, np.iinfo(np.int64).max), np.full(size, -1)
-            for level, first, _, which, hashes in _visit(found, levels, length, gram):
-                if level + 1 == len(_PIECES):
-                    which = which[levels[level].is_frequent(hashes)]
-                    start[which] = np.minimum(start[which], found.left[which] - first)
-                    stop[which] = np.maximum(stop[which], found.left[which] - first + length)
-            covered = np.flatnonzero(stop >= 0)
-            texts = pa.array(found.texts[covered])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    block.batch.column(0).take(texts), block.batch.column(1).take(texts),
-                    pa.array(start[covered]), pa.array(stop[covered]),
-                ],
-                _RUNS.replace(" long", "").split(", "),
-            )
-
-    return run
+def _context_rows(held: dict[tuple[int, bool, bytes, bytes], list[tuple[int, int, int]]]) -> pa.RecordBatch:
+    bounds = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in held.values()])]).astype(np.int32))
+    flat = [m for each in held.values() for m in each]
+    lists = [pa.ListArray.from_arrays(bounds, pa.array([m[k] for m in flat], pa.int64())) for k in range(3)]
+    kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+    keys = [pa.array([c[k] for c in held], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([*keys, *lists], _CONTEXT_NAMES)
 
 
-_CONTEXT_NAMES = ["segment", "before", "after", "ids", "digests", "places"]
-_CONTEXTS = "segment long, before binary, after binary, ids array<long>, digests array<long>, places array<long>"
+_CONTEXT_NAMES = ["segment", "frequent", "before", "after", "ids", "digests", "places"]
+_CONTEXTS = (
+    "segment long, frequent boolean, before binary, after binary, ids array<long>, digests array<long>, places array<long>"
+)
+_RUN_NAMES = ["id", "digest", "start", "stop"]
 _RUNS = "id long, digest long, start long, stop long"
+_RUN_COLUMNS = [pa.list_(pa.int64())] * 4
+# Runs as lists, or a context of a frequent gram as it came.
+_FOUND_NAMES = ["runs_of", "runs_in", "starts", "stops", *_CONTEXT_NAMES[2:]]
+_FOUND = (
+    "runs_of array<long>, runs_in array<long>, starts array<long>, stops array<long>,"
+    " before binary, after binary, ids array<long>, digests array<long>, places array<long>"
+)
 
 
 def _repeated(length: int):
-    """Runs of bytes to remove.  Rows come sorted by segment; one segment is held at a time."""
+    """Runs of bytes to remove, as one row per batch; contexts of frequent grams pass through.
+    Rows come sorted by gram or segment; those of one are held at a time."""
 
     def flush(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         contexts: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
@@ -376,20 +372,107 @@ def _repeated(length: int):
                 out += [(i, d, place - left, place + right) for i, d, place in contexts[context]]
         return out
 
+    def row(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [[], [], [], []]
+        runs = [pa.array([column], pa.list_(pa.int64())) for column in columns]
+        none = [pa.nulls(1, kind) for kind in (pa.binary(), pa.binary(), *_RUN_COLUMNS[:3])]
+        return pa.RecordBatch.from_arrays([*runs, *none], _FOUND_NAMES)
+
     def run(batches):
         rows: list[tuple] = []
         for batch in batches:
+            far = batch.filter(batch.column(1))
+            if far.num_rows:
+                none = [pa.nulls(far.num_rows, kind) for kind in _RUN_COLUMNS]
+                yield pa.RecordBatch.from_arrays([*none, *far.columns[2:]], _FOUND_NAMES)
             out = []
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if rows and rows[-1][0] != row[0]:
+            near = batch.filter(pc.invert(batch.column(1)))
+            for each in zip(*(near.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
+                if rows and rows[-1][0] != each[0]:
                     out += flush(rows)
                     rows = []
-                rows.append(row)
-            columns = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _RUNS.replace(" long", "").split(", "))
+                rows.append(each)
+            yield row(out)
         if rows:
-            columns = list(zip(*flush(rows))) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _RUNS.replace(" long", "").split(", "))
+            yield row(flush(rows))
+
+    return run
+
+
+def _held(batch: pa.RecordBatch) -> Contexts:
+    return Contexts.of(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def _pieces_of(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
+def _segment_counts(length: int, gram: int, levels: list[_Level]):
+    """Segments of the first level that is not known yet, counted per batch of contexts."""
+
+    def run(batches):
+        for batch in _pieces_of(batches):
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            seen = [x for x in _visit(_held(batch), levels, length, gram) if x[0] == len(levels)]
+            if seen:
+                hashes = np.concatenate([x[4] for x in seen])
+                segments, at = np.unique(hashes, return_inverse=True)
+                counts = np.bincount(at, np.concatenate([sizes[x[3]] for x in seen])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(segments.view(np.int64)), pa.array(counts)], ["segment", "n"])
+
+    return run
+
+
+def _narrow_contexts(length: int, gram: int, levels: list[_Level]):
+    """Contexts of shared segments that are not frequent, as wide as strings of their ranges need."""
+
+    def run(batches):
+        for batch in _pieces_of(batches):
+            held, whole = _held(batch), [column.to_pylist() for column in batch.columns[2:]]
+            out: dict[tuple[int, bool, bytes, bytes], list[tuple[int, int, int]]] = {}
+            for level, first, last, which, hashes in _visit(held, levels, length, gram):
+                kept = levels[level].is_shared(hashes) & ~levels[level].is_frequent(hashes)
+                which, keys = which[kept], hashes[kept].view(np.int64)
+                places = held.places[which]
+                low = places - np.minimum(held.left[which], last)
+                high = places + np.minimum(held.right[which], length - first)
+                for i, key, place, a, b in zip(*(x.tolist() for x in (which, keys, places, low, high))):
+                    context = (key, False, held.raw[a:place][::-1], held.raw[place:b])
+                    out.setdefault(context, []).extend(zip(*(lists[i] for lists in whole)))
+            if out:
+                yield _context_rows(out)
+
+    return run
+
+
+def _frequent_runs(length: int, gram: int, levels: list[_Level]):
+    """Runs of bytes covered by frequent strings, which are the frequent segments of single places.
+    All of one anchor hold it, so they are one run."""
+
+    def run(batches):
+        for batch in _pieces_of(batches):
+            held = _held(batch)
+            before = np.full(batch.num_rows, -1)
+            behind = np.full(batch.num_rows, -1)
+            for level, first, _, which, hashes in _visit(held, levels, length, gram):
+                if level + 1 == len(_PIECES):
+                    which = which[levels[level].is_frequent(hashes)]
+                    before[which] = np.maximum(before[which], first)
+                    behind[which] = np.maximum(behind[which], length - first)
+            covered = np.flatnonzero(behind >= 0)
+            if len(covered):
+                ids, digests, places = (column.take(pa.array(covered)) for column in batch.columns[2:])
+                sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+                at = places.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.flatten(), digests.flatten(),
+                        pa.array(at - np.repeat(before[covered], sizes)), pa.array(at + np.repeat(behind[covered], sizes)),
+                    ],
+                    _RUN_NAMES,
+                )
 
     return run
 
@@ -415,6 +498,26 @@ def _level(spark: SparkSession, counted: DataFrame) -> _Level:
     return _Level(spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(known))
 
 
+def _grouped(spark: SparkSession, contexts: DataFrame, length: int) -> DataFrame:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_repeated(length), _FOUND)
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    rows = F.expr("inline(arrays_zip(runs_of, runs_in, starts, stops))")
+    return found.where("before IS NULL").select(rows).toDF(*_RUN_NAMES)
+
+
+def _frequent(spark: SparkSession, far: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs at anchors of frequent grams, from their contexts."""
+    levels: list[_Level] = []
+    while len(levels) < len(_PIECES) and (not levels or len(levels[-1].frequent.value)):
+        counted = far.mapInArrow(_segment_counts(length, gram, levels), "segment long, n long")
+        levels = [*levels, _level(spark, counted)]
+    found = _runs(_grouped(spark, far.mapInArrow(_narrow_contexts(length, gram, levels), _CONTEXTS), length))
+    return found.unionByName(far.mapInArrow(_frequent_runs(length, gram, levels), _RUNS))
+
+
 def remove_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM
 ) -> DataFrame:
@@ -431,15 +534,14 @@ def remove_repeats(
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     )
     long_enough = texts.where(F.octet_length("text") >= length)
-    levels: list[_Level] = []
-    while len(levels) < len(_PIECES) and (not levels or len(levels[-1].frequent.value)):
-        counted = long_enough.mapInArrow(_segment_counts(length, gram, levels), "segment long, n long")
-        levels = [*levels, _level(spark, counted)]
-    contexts = long_enough.mapInArrow(_contexts(length, gram, levels), _CONTEXTS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = contexts.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_repeated(length), _RUNS)
-    if len(levels) == len(_PIECES):
-        found = found.union(long_enough.mapInArrow(_frequent_runs(length, gram, levels), _RUNS))
+    grams = _level(spark, long_enough.mapInArrow(_gram_counts(length, gram), "segment long, n long"))
+    found = _grouped(spark, long_enough.mapInArrow(_contexts(length, gram, grams), _CONTEXTS), length)
+    if len(grams.frequent.value):
+        found = settle(found, "found")
+        far = found.where("before IS NOT NULL").select("before", "after", "ids", "digests", "places")
+        found = _runs(found).unionByName(_frequent(spark, far, length, gram))
+    else:
+        found = _runs(found)
     runs = settle(
         found.groupBy("id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")),
         "runs",
