@@ -24,6 +24,7 @@ reach ``length`` bytes, the string is repeated.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -45,9 +46,12 @@ _MAP_BITS = 1 << 27
 _BITMAP_BITS = 32768
 # Text bytes handled at once: their hashes and windows take about a hundred times as much.
 _BLOCK = 1 << 18
-# Anchors that may meet in one group, and the number of segments sent out as more frequent: where
-# there would be more of these, the bound on groups is that share of all anchors.
+# Anchors that may meet in one group: this share of all anchors, which is little beside a task's
+# part, but not fewer than GROUP, nor more than fit a task easily.  Segments that occur more often are
+# sent out, at most _FREQUENT of them.
+_SHARE = 512
 GROUP = 1024
+_LARGEST = 1 << 16
 _FREQUENT = 1 << 21
 # Pieces that each level cuts a range of places into; the last one leaves single places.
 _PIECES = (8, 1 << 30)
@@ -117,10 +121,12 @@ def pieces(first: int, last: int, count: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class _Level:
-    """Broadcast: bits of the segments that occur twice, and sorted hashes of the frequent ones."""
+    """Bits of the segments that occur twice, sorted hashes of the frequent ones (both broadcast), and
+    the number from which they are frequent."""
 
     shared: Any
     frequent: Any
+    bound: int
 
     def is_shared(self, hashes: np.ndarray) -> np.ndarray:
         spot = (hashes % np.uint64(_MAP_BITS)).astype(np.int64)
@@ -254,35 +260,47 @@ def repeats(members: list[tuple[bytes, bytes]], counts: list[int], length: int)
     suffixes = deep_shallow_order(rights) if len(rights) > 1 else [0]
     lefts = list({left: None for left, _ in members})
     ranks = {lefts[i]: rank for rank, i in enumerate(deep_shallow_order(lefts) if len(lefts) > 1 else [0])}
-    rank = [ranks[left] for left, _ in members]
-
-    def report(group: list[int], depth: int) -> None:
-        """The group's suffixes agree for ``depth`` bytes."""
-        group.sort(key=rank.__getitem__)
-        previous = -1
-        for place, i in enumerate(group):
-            following = _common(members[i][0], members[group[place + 1]][0]) if place + 1 < len(group) else -1
-            left = max(previous, following)
-            if left >= 0 and left + depth >= length:
+    # Members in the order of their left contexts, as one number each.
+    size = len(members)
+    keys = [ranks[left] * size + i for i, (left, _) in enumerate(members)]
+
+    def meet(one: int, other: int, depth: int) -> None:
+        """Two members whose suffixes agree for ``depth`` bytes."""
+        one, other = one % size, other % size
+        left = _common(members[one][0], members[other][0])
+        if left + depth >= length:
+            for i in (one, other):
                 found[i] = max(found[i][0], left), max(found[i][1], depth)
-            previous = following
+
+    def merge(one: list[int], other: list[int], depth: int) -> list[int]:
+        """Both groups' suffixes agree for ``depth`` bytes.  Only members that get a new neighbour
+        can have a longer context in common with one than before."""
+        large, small = (one, other) if len(one) >= len(other) else (other, one)
+        if len(small) * 16 < len(large):
+            for key in small:
+                insort(large, key)
+        else:
+            large = sorted(large + small)
+        for key in small:
+            at = bisect_left(large, key)
+            if at:
+                meet(large[at - 1], key, depth)
+            if at + 1 < len(large):
+                meet(key, large[at + 1], depth)
+        return large
 
     # Groups of suffixes by depth of agreement, from the common prefixes of neighbours.
     open_groups: list[tuple[int, list[int]]] = []
     for place, number in enumerate(suffixes):
-        own = list(by_right[number])
-        if len(own) > 1:
-            report(own, len(rights[number]))
+        group = sorted(keys[i] for i in by_right[number])
+        for one, other in zip(group, group[1:]):
+            meet(one, other, len(rights[number]))
         shared = _common(rights[number], rights[suffixes[place + 1]]) if place + 1 < len(suffixes) else -1
-        group = own
-        while open_groups and open_groups[-1][0] > shared:
+        while open_groups and open_groups[-1][0] >= max(shared, 0):
             depth, held = open_groups.pop()
-            group = held + group
-            report(group, depth)
-        if open_groups and open_groups[-1][0] == shared:
-            open_groups[-1][1].extend(group)
-        elif shared >= 0:
-            open_groups.append((shared, list(group)))
+            group = merge(held, group, depth)
+        if shared >= 0:
+            open_groups.append((shared, group))
     return found
 
 
@@ -477,11 +495,11 @@ def _frequent_runs(length: int, gram: int, levels: list[_Level]):
     return run
 
 
-def _level(spark: SparkSession, counted: DataFrame) -> _Level:
-    """What occurs twice, and what is too frequent for one group."""
+def _level(spark: SparkSession, counted: DataFrame, bound: int = 0) -> _Level:
+    """What occurs twice, and what is too frequent for one group: above ``bound`` if it is given."""
     often = settle(counted.groupBy("segment").agg(F.sum("n").alias("n")).where("n > 1"), "segments")
     total = often.agg(F.sum("n")).first()[0] or 0
-    bound = max(GROUP, total // _FREQUENT)
+    bound = max(bound or max(GROUP, min(total // _SHARE, _LARGEST)), total // _FREQUENT)
     spot = f"shiftrightunsigned(shiftleft(segment, {64 - 27}), {64 - 27})"
     rows = (
         often.select(F.expr(spot).alias("spot"))
@@ -495,7 +513,7 @@ def _level(spark: SparkSession, counted: DataFrame) -> _Level:
     # At most _FREQUENT of them reach the bound, as their numbers add up to at most the total.
     frequent = often.where(F.col("n") > bound).select("segment").toArrow()["segment"].to_numpy()
     known = np.sort(frequent.astype(np.int64).view(np.uint64))
-    return _Level(spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(known))
+    return _Level(spark.sparkContext.broadcast(bits), spark.sparkContext.broadcast(known), bound)
 
 
 def _grouped(spark: SparkSession, contexts: DataFrame, length: int) -> DataFrame:
@@ -508,12 +526,12 @@ def _runs(found: DataFrame) -> DataFrame:
     return found.where("before IS NULL").select(rows).toDF(*_RUN_NAMES)
 
 
-def _frequent(spark: SparkSession, far: DataFrame, length: int, gram: int) -> DataFrame:
+def _frequent(spark: SparkSession, far: DataFrame, length: int, gram: int, bound: int) -> DataFrame:
     """Runs at anchors of frequent grams, from their contexts."""
     levels: list[_Level] = []
     while len(levels) < len(_PIECES) and (not levels or len(levels[-1].frequent.value)):
         counted = far.mapInArrow(_segment_counts(length, gram, levels), "segment long, n long")
-        levels = [*levels, _level(spark, counted)]
+        levels = [*levels, _level(spark, counted, bound)]
     found = _runs(_grouped(spark, far.mapInArrow(_narrow_contexts(length, gram, levels), _CONTEXTS), length))
     return found.unionByName(far.mapInArrow(_frequent_runs(length, gram, levels), _RUNS))
 
@@ -539,7 +557,7 @@ def remove_repeats(
     if len(grams.frequent.value):
         found = settle(found, "found")
         far = found.where("before IS NOT NULL").select("before", "after", "ids", "digests", "places")
-        found = _runs(found).unionByName(_frequent(spark, far, length, gram))
+        found = _runs(found).unionByName(_frequent(spark, far, length, gram, grams.bound))
     else:
         found = _runs(found)
     runs = settle(

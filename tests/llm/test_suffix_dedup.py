@@ -80,10 +80,10 @@ def test_full_map_lets_everything_through(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     original = sd._level
 
-    def full(session, counted):
-        level = original(session, counted)
+    def full(session, counted, bound=0):
+        level = original(session, counted, bound)
         level.shared.value[:] = 255
-        return sd._Level(session.sparkContext.broadcast(level.shared.value), level.frequent)
+        return sd._Level(session.sparkContext.broadcast(level.shared.value), level.frequent, level.bound)
 
     monkeypatch.setattr(sd, "_level", full)
     check(df, 24, 8)
@@ -120,6 +120,26 @@ def test_groups_are_bounded(spark, monkeypatch):
         assert rows.empty or rows["sum(n)"].max() <= 20
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_of_contexts(seed):
+    """Against every pair of contexts."""
+    turn = random.Random(seed)
+    for _ in range(200):
+        size, length = turn.randrange(1, 14), turn.randrange(3, 14)
+        some = lambda k: bytes(turn.choices(b"ab", weights=[6, 1], k=turn.randrange(k)))
+        members = list({(some(9), b"g" + some(12)) for _ in range(size)})
+        counts = [turn.choice([1, 1, 1, 2]) for _ in members]
+        wanted = []
+        for i, (left, right) in enumerate(members):
+            run = (0, 0)
+            for k, (other_left, other_right) in enumerate(members):
+                a, b = sd._common(left, other_left), sd._common(right, other_right)
+                if (i != k or counts[i] > 1) and a + b >= length:
+                    run = max(run[0], a), max(run[1], b)
+            wanted.append(run)
+        assert sd.repeats(members, counts, length) == wanted
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(empty(spark)).count() == 0
 
