@@ -363,13 +363,12 @@ _CONTEXTS = (
     "segment long, frequent boolean, before binary, after binary, ids array<long>, digests array<long>, places array<long>"
 )
 _RUN_NAMES = ["id", "digest", "start", "stop"]
-_RUNS = "id long, digest long, start long, stop long"
 _RUN_COLUMNS = [pa.list_(pa.int64())] * 4
 # Runs as lists, or a context of a frequent gram as it came.
 _FOUND_NAMES = ["runs_of", "runs_in", "starts", "stops", *_CONTEXT_NAMES[2:]]
+_RUN_LISTS = "runs_of array<long>, runs_in array<long>, starts array<long>, stops array<long>"
 _FOUND = (
-    "runs_of array<long>, runs_in array<long>, starts array<long>, stops array<long>,"
-    " before binary, after binary, ids array<long>, digests array<long>, places array<long>"
+    f"{_RUN_LISTS}, before binary, after binary, ids array<long>, digests array<long>, places array<long>"
 )
 
 
@@ -467,7 +466,7 @@ def _narrow_contexts(length: int, gram: int, levels: list[_Level]):
 
 def _frequent_runs(length: int, gram: int, levels: list[_Level]):
     """Runs of bytes covered by frequent strings, which are the frequent segments of single places.
-    All of one anchor hold it, so they are one run."""
+    All of one anchor hold it, so they are one run.  One row of lists per batch of contexts."""
 
     def run(batches):
         for batch in _pieces_of(batches):
@@ -484,13 +483,12 @@ def _frequent_runs(length: int, gram: int, levels: list[_Level]):
                 ids, digests, places = (column.take(pa.array(covered)) for column in batch.columns[2:])
                 sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
                 at = places.flatten().to_numpy()
+                starts, stops = at - np.repeat(before[covered], sizes), at + np.repeat(behind[covered], sizes)
+                whole = pa.array([0, len(at)], pa.int32())
+                flat = (ids.flatten(), digests.flatten(), pa.array(starts), pa.array(stops))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.flatten(), digests.flatten(),
-                        pa.array(at - np.repeat(before[covered], sizes)), pa.array(at + np.repeat(behind[covered], sizes)),
-                    ],
-                    _RUN_NAMES,
-                )
+                    [pa.ListArray.from_arrays(whole, values) for values in flat], _FOUND_NAMES[:4]
+                )
 
     return run
 
@@ -521,19 +519,18 @@ def _grouped(spark: SparkSession, contexts: DataFrame, length: int) -> DataFrame
     return contexts.repartition(parts, "segment").sortWithinPartitions("segment").mapInArrow(_repeated(length), _FOUND)
 
 
-def _runs(found: DataFrame) -> DataFrame:
-    rows = F.expr("inline(arrays_zip(runs_of, runs_in, starts, stops))")
-    return found.where("before IS NULL").select(rows).toDF(*_RUN_NAMES)
+def _lists(found: DataFrame) -> DataFrame:
+    return found.where("before IS NULL").select(*_FOUND_NAMES[:4])
 
 
 def _frequent(spark: SparkSession, far: DataFrame, length: int, gram: int, bound: int) -> DataFrame:
-    """Runs at anchors of frequent grams, from their contexts."""
+    """Lists of runs at anchors of frequent grams, from their contexts."""
     levels: list[_Level] = []
     while len(levels) < len(_PIECES) and (not levels or len(levels[-1].frequent.value)):
         counted = far.mapInArrow(_segment_counts(length, gram, levels), "segment long, n long")
         levels = [*levels, _level(spark, counted, bound)]
-    found = _runs(_grouped(spark, far.mapInArrow(_narrow_contexts(length, gram, levels), _CONTEXTS), length))
-    return found.unionByName(far.mapInArrow(_frequent_runs(length, gram, levels), _RUNS))
+    found = _lists(_grouped(spark, far.mapInArrow(_narrow_contexts(length, gram, levels), _CONTEXTS), length))
+    return found.unionByName(far.mapInArrow(_frequent_runs(length, gram, levels), _RUN_LISTS))
 
 
 def remove_repeats(
@@ -557,9 +554,8 @@ def remove_repeats(
     if len(grams.frequent.value):
         found = settle(found, "found")
         far = found.where("before IS NOT NULL").select("before", "after", "ids", "digests", "places")
-        found = _runs(found).unionByName(_frequent(spark, far, length, gram, grams.bound))
-    else:
-        found = _runs(found)
+        found = _lists(found).unionByName(_frequent(spark, far, length, gram, grams.bound))
+    found = found.select(F.expr("inline(arrays_zip(runs_of, runs_in, starts, stops))")).toDF(*_RUN_NAMES)
     runs = settle(
         found.groupBy("id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")),
         "runs",
