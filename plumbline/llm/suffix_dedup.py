@@ -15,11 +15,11 @@ contexts of frequent grams the range is cut into eight, whose segments are count
 where these are frequent too into single places, whose segments are whole strings: a frequent one is
 repeated, and needs no group.  So no group has more than a bounded share of all anchors.
 
-Anchors with the same gram or segment meet in one group.  Their suffixes are put in order by multikey quicksort to a shallow depth; those still equal go
-into a blind trie, which orders them with one comparison each.  The common prefixes of
-neighbours give all groups of suffixes that agree for some depth; inside such a group the longest
-common context to the left is found in the order of the reversed contexts.  Where both together
-reach ``length`` bytes, the string is repeated.
+Anchors with the same gram or segment meet in one group.  Their suffixes are put in order by
+multikey quicksort to a shallow depth; those still equal go into a blind trie, which orders them
+with one comparison each.  The common prefixes of neighbours give all groups of suffixes that agree
+for some depth; inside such a group the longest common context to the left is found in the order of
+the reversed contexts.  Where both together reach ``length`` bytes, the string is repeated.
 """
 
 from __future__ import annotations
