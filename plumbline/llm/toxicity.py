@@ -47,6 +47,10 @@ _PART = re.compile(r"[^\W_]+")
 _JOINED = re.compile(r"[^\W_]+(?:(?:[^\w\s]|_)+[^\W_]+)+")
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[^\S\n][^\W_]){2,}(?!\S)")
 _MARKS = re.compile(r"[\W_]+")
+# Three stretches of one character.
+_ALONE = b"\1\1\1"
+# Characters of a stretch that is remembered whole.
+_HELD = 80
 
 # Pairs of gaps of a subsequence's three characters.
 _GAPS = [(a, b) for a in range(1, _SPAN) for b in range(1, _SPAN) if a + b <= _SPAN]
@@ -68,8 +72,22 @@ def units(text: str) -> list[str]:
     text = text.lower()
     found = _PART.findall(text)
     found += [_MARKS.sub("", joined) for joined in _JOINED.findall(text)]
-    found += [_MARKS.sub("", spaced) for spaced in _SPACED.findall(text)]
-    if any(len(unit) > _LONGEST for unit in found):
+    found += [_MARKS.sub("", spelled) for spelled in _SPACED.findall(text)]
+    return _pieces(found)
+
+
+def stretch_units(stretch: str) -> list[str]:
+    """``units`` of a lower-case text without white space: its parts, and all of them joined."""
+    if stretch.isalnum():
+        return [stretch] if len(stretch) <= _LONGEST else _pieces([stretch])
+    found = _PART.findall(stretch)
+    if len(found) > 1:
+        found.append("".join(found))
+    return _pieces(found)
+
+
+def _pieces(found: list[str]) -> list[str]:
+    if max(map(len, found), default=0) > _LONGEST:
         step = _LONGEST // 2
         found = [
             piece
@@ -144,21 +162,49 @@ class Machine:
 
 
 class Scorer:
-    """Values of the worst words of texts; remembers recent words."""
+    """Values of the worst words of texts; remembers the worst of recent stretches without space.
+
+    No word but a spelled one holds a space, so a text's words are those of its stretches and, if
+    three stretches of one character stand in a row, the spelled ones."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.codes, self.known = machine, _code_table(), {}
+        self.machine, self.codes, self.known, self.values = machine, _code_table(), {}, {}
+
+    def _learn(self, stretches: list[str]) -> None:
+        if len(self.values) > _REMEMBERED:
+            self.values = {}
+        values = self.values
+        each = list(map(stretch_units, stretches))
+        new = list({unit: None for found in each for unit in found if unit not in values})
+        for start in range(0, len(new), 5_000):
+            part = new[start : start + 5_000]
+            values.update(zip(part, self.machine.values(part, self.codes).tolist()))
+        for stretch, found in zip(stretches, each):
+            self.known[stretch] = (
+                values[found[0]] if len(found) == 1 else max(map(values.__getitem__, found), default=-np.inf)
+            )
 
     def worst(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > _REMEMBERED:
             self.known = {}
         known = self.known
-        split = [units(text) for text in texts]
-        new = list({unit: None for each in split for unit in each if unit not in known})
-        for start in range(0, len(new), 5_000):
-            part = new[start : start + 5_000]
-            known.update(zip(part, self.machine.values(part, self.codes).tolist()))
-        return np.array([max(map(known.__getitem__, each), default=_NOTHING) for each in split])
+        split = []
+        for text in texts:
+            text = text.lower()
+            stretches = text.split()
+            found, sizes = set(stretches), list(map(len, stretches))
+            if _ALONE in bytes([size < 2 for size in sizes]):
+                # What comes back is in lower case and without marks, hence one stretch.
+                found.update(_MARKS.sub("", spelled) for spelled in _SPACED.findall(text))
+            if max(sizes, default=0) > _HELD:
+                # A word is a stretch of its own.
+                long = [stretch for stretch in found if len(stretch) > _HELD]
+                found.difference_update(long)
+                found.update(unit for stretch in long for unit in stretch_units(stretch))
+            split.append(found)
+        self._learn(list({stretch: None for each in split for stretch in each if stretch not in known}))
+        values = np.array([max(map(known.__getitem__, each), default=-np.inf) for each in split])
+        return np.where(values == -np.inf, _NOTHING, values)
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:

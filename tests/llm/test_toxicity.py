@@ -87,6 +87,28 @@ def test_gaps_and_inserted_characters(spark):
     assert (machine.probability(scorer.worst(calm)) < 0.5).all()
 
 
+def test_texts_score_like_the_worst_of_their_words():
+    table = np.random.default_rng(5).normal(size=tx._FEATURES)
+    machine = tx.Machine(table, 0.1)
+    texts = [
+        "You  i d i o t, m.o.r.o.n\u00a0and_so on\x1fA\tB c D\ne f", "ΑΣ Σ Σ ΑΣ İ i̇ q", "", " .,_ ", "x y", "x y z", "x y\nz",
+        "x y z.", "a" * 200 + ".b-" + "c" * 30, ("d." * 90 + " ") * 2, "é è ê ü 漢 字 !", "a  b  c", "a b c d" * 20,
+    ]
+    found = tx.Scorer(machine).worst(texts)
+    for text, value in zip(texts, found):
+        words = tx.units(text)
+        assert value == (machine.values(words, tx._code_table()).max() if words else tx._NOTHING)
+
+
+def test_repeated_words_are_split_once(monkeypatch):
+    split = []
+    for name in ("units", "stretch_units"):
+        monkeypatch.setattr(tx, name, lambda text, old=getattr(tx, name): split.append(text) or old(text))
+    scorer = tx.Scorer(tx.Machine(np.zeros(tx._FEATURES), 0.0))
+    scorer.worst([f"the water of house {i % 7}" for i in range(500)])
+    assert sum(map(len, split)) < 100
+
+
 def test_awkward_rows(spark):
     docs, labels = insults(spark)
     machine = tx.fit_machine(docs, labels.unionAll(spark.createDataFrame([(None, 1), (1, None)], labels.schema)))
