@@ -35,6 +35,8 @@ BLOCK_TOKENS = 1_000_000
 # Shares of the probability that a context may keep for words not seen after it.
 KEPT_MASS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 1.0)
 _BANDS = 64
+# Probabilities multiplied before a logarithm is taken.
+_FACTORS = 8
 _ADDED = 0.1
 _U = np.uint64
 _END, _START = _U(0xA5A5A5A500000001), _U(0xA5A5A5A500000002)
@@ -149,7 +151,9 @@ def _read(held, lengths, words: int, tokens) -> _Tokens:
 
 def _parted(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by part of the key space, and where each part begins."""
-    return np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
+    # Numbers of two bytes are sorted by counting.
+    order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
 
 
 def _pair_homes(homes: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
@@ -269,32 +273,50 @@ def _align(parts: int):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]):
-    """Per block: ids, tokens, the counts of its words, its distinct pairs and their counts."""
+    """Per block: ids, tokens, the counts of its words, its distinct pairs, which of them each token
+    is, and their counts."""
     for batch in batches:
         for ids, held, lengths, tokens, seen, met, _ in zip(*batch.columns):
             seen = _loose(seen, np.int64)
             read = _read(held, lengths, len(seen), tokens)
-            yield ids.values, read, seen, np.unique(read.pair_keys), _loose(met, np.int64)
+            keys, at = np.unique(read.pair_keys, return_inverse=True)
+            yield ids.values, read, seen, keys, at, _loose(met, np.int64)
 
 
 def _band(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), _BANDS - 1)
 
 
+def _log_sums(single: np.ndarray, double: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Sums of log probabilities per band and kept mass.  The logarithm is taken of products of
+    eight; none is under 1e-200."""
+    order = np.argsort(band.astype(np.uint8), kind="stable")
+    sizes = np.bincount(band, minlength=_BANDS)
+    groups = -(-sizes // _FACTORS)
+    shift = (np.cumsum(groups) - groups) * _FACTORS - (np.cumsum(sizes) - sizes)
+    place = np.arange(len(order)) + np.repeat(shift, sizes)
+    filled = np.ones((2, int(groups.sum()) * _FACTORS))
+    filled[0, place], filled[1, place] = single[order], double[order]
+    single, double = (np.ascontiguousarray(row.reshape(-1, _FACTORS).T) for row in filled)
+    bands = np.repeat(np.arange(_BANDS), groups)
+    sums = np.zeros((_BANDS, len(KEPT_MASS)))
+    for i, mass in enumerate(KEPT_MASS):
+        products = np.multiply.reduce(mass * single + (1 - mass) * double, axis=0)
+        sums[:, i] = np.bincount(bands, np.log(products), _BANDS)
+    return sums
+
+
 def _likelihoods(total: int, types: int, starts: int):
     """Sums of log probabilities per band of contexts and kept mass, each token left out."""
 
     def run(batches):
         sums = np.zeros((_BANDS, len(KEPT_MASS)))
-        for _, read, seen, keys, met in _counted(batches):
+        for _, read, seen, _, at, met in _counted(batches):
             trained = np.repeat(~read.held, read.lengths)
-            at = np.searchsorted(keys, read.pair_keys[trained])
             contexts = np.append(seen, starts)[read.previous[trained]]
             single = (seen[read.tokens[trained]] - 1 + _ADDED) / (total - 1 + _ADDED * (types + 1))
-            double = (met[at] - 1) / np.maximum(contexts - 1, 1)
-            band = _band(contexts)
-            for i, mass in enumerate(KEPT_MASS):
-                sums[:, i] += np.bincount(band, np.log(mass * single + (1 - mass) * double), _BANDS)
+            double = (met[at[trained]] - 1) / np.maximum(contexts - 1, 1)
+            sums += _log_sums(single, double, _band(contexts))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(np.arange(_BANDS), len(KEPT_MASS))),
@@ -317,28 +339,23 @@ class Automaton:
     failure: np.ndarray
     unigrams: np.ndarray
 
+    def weigh(self, previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Weights of the steps that read a word after another, or after the start (``root - 1``)."""
+        # A word never trained on is no context: its state is the root.
+        state = np.where(self.failure[previous] > 0, self.root, previous)
+        keys = state * self.root + word
+        place = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
+        return np.where(self.arcs[place] == keys, self.weights[place], self.failure[state] + self.unigrams[word])
+
     def read(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text.  All texts are read at once, the longest ones first,
-        one token a step."""
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        totals = np.zeros(len(order))
-        states = np.full(len(order), self.root - 1)
-        for t in range(int(lengths[0]) if len(lengths) else 0):
-            active = int(np.searchsorted(-lengths, -t, "left"))
-            word = tokens[starts[:active] + t]
-            state = states[:active]
-            keys = state * self.root + word
-            place = np.minimum(np.searchsorted(self.arcs, keys), len(self.arcs) - 1)
-            taken = (self.arcs[place] == keys) & (state != self.root)
-            totals[:active] += np.where(
-                taken, self.weights[place], self.failure[state] + self.unigrams[word]
-            )
-            # A word never trained on is no context: its state is the root.
-            states[:active] = np.where(self.failure[word] > 0, self.root, word)
-        out = np.empty(len(order))
-        out[order] = totals
-        return out
+        """Log10 probability of each text.  A bigram automaton's state follows from the last word, so
+        all steps are weighed at once; a text's weights are added from left to right."""
+        text, first = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+        word = tokens[np.repeat(starts - first, lengths) + np.arange(len(text))]
+        previous = np.full_like(word, self.root - 1)
+        previous[1:] = word[:-1]
+        previous[first[lengths > 0]] = self.root - 1
+        return np.bincount(text, self.weigh(previous, word), len(lengths))
 
 
 def build_automaton(
@@ -367,12 +384,14 @@ def build_automaton(
 
 def _score(total: int, types: int, starts: int, kept: np.ndarray):
     def run(batches):
-        for ids, read, seen, keys, met in _counted(batches):
+        for ids, read, seen, keys, at, met in _counted(batches):
             automaton = build_automaton(seen, keys, met, kept, total, types, starts)
             begins = np.cumsum(read.lengths) - read.lengths
             known = np.add.reduceat((seen[read.tokens] > 0).astype(np.int64), begins)
             base = np.add.reduceat(automaton.unigrams[read.tokens], begins)
-            score = automaton.read(read.tokens, begins, read.lengths)
+            # Each different step is weighed once; a text's weights are added from left to right.
+            weights = automaton.weigh(*np.divmod(keys, automaton.root))[at]
+            score = np.bincount(np.repeat(np.arange(len(begins)), read.lengths), weights, len(begins))
             columns = [ids, read.held, read.lengths, known, base, score]
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],

@@ -109,6 +109,32 @@ def test_states_keep_all_probability():
         assert mass == pytest.approx(1.0)
 
 
+def test_log_sums_are_those_of_each_token():
+    turn = np.random.default_rng(3)
+    single, double, band = turn.random(500) * 1e-9 + 1e-11, turn.random(500), turn.integers(0, lm._BANDS, 500)
+    double[::3] = 0
+    wanted = np.zeros((lm._BANDS, len(lm.KEPT_MASS)))
+    for i, mass in enumerate(lm.KEPT_MASS):
+        np.add.at(wanted[:, i], band, np.log(mass * single + (1 - mass) * double))
+    assert lm._log_sums(single, double, band) == pytest.approx(wanted)
+    assert not lm._log_sums(single[:0], double[:0], band[:0]).any()
+
+
+def test_a_long_text_takes_few_steps(monkeypatch):
+    net = lm.build_automaton(
+        np.array([5, 3, 0]), np.array([0, 1, 4, 12]), np.array([3, 2, 3, 2]), np.full(lm._BANDS, 0.3), 8, 2, 2
+    )
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: looked.append(1) or search(*a, **k))
+    text = np.tile([0, 1, 2, 0, 0], 400)
+    found = net.read(text, np.array([0, 1990]), np.array([1990, 10]))
+    assert len(looked) < 10
+    once = [net.read(text, np.array([0]), np.array([k]))[0] for k in (5, 10, 15)]
+    # From the second time on, each five words add the same.
+    assert once[2] - once[1] == pytest.approx(once[1] - once[0])
+    assert found == pytest.approx([once[0] + 397 * (once[1] - once[0]), once[1]])
+
+
 def test_better_than_unigrams_on_held_out_text(spark):
     row = (
         lm.op4_language_model(spark, "/root/testdata/sf0.001").where("held_out")
