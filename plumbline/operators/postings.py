@@ -19,19 +19,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.limits import DEFAULT_LIMITS, Limits
-from plumbline.operators.retrieve import RESULTS, SCORE_DIGITS, batches, term_weights, words
+from plumbline.operators.retrieve import RESULTS, SCORE_DIGITS, batches, keep, term_weights, words
 from plumbline.storage import settle
 
 BLOCK_DOCUMENTS, TERM_BUCKETS, FIRST_BLOCKS = 1024, 64, 4
 # Bounds and scores are sums in different orders, and scores are rounded.
 _SLACK = 10.0**-SCORE_DIGITS
 _CLASS_STEPS = 2
+# Rows of the matrices whose product scores a block.
+_TERMS_AT_ONCE = 512
 
 
 def _size_class(lists: Column) -> Column:
@@ -113,13 +117,62 @@ class PostingsSearch:
     read_blocks: int
 
 
-def _scores(chosen: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
-    """(question_id, doc_id, score) of the documents in the chosen (question_id, block)."""
-    asked = chosen.join(F.broadcast(weights), "question_id").select("question_id", "block", "term", "share")
-    hits = postings.join(asked, ["term", "block"]).select(
-        "question_id", "share", F.inline("entries").alias("doc_id", "weight")
+def _block_topk(terms: pd.DataFrame, k: int):
+    """The k best documents of a block for each question that it was chosen for."""
+    asked, numbers = np.unique(terms["question_id"].to_numpy(), return_inverse=True)
+    place = pd.Series(np.arange(len(asked)), index=asked)
+    codes, vocabulary = pd.factorize(terms["term"])
+    shares, known = terms["share"].to_numpy("float64"), pa.array(vocabulary, pa.string())
+
+    def run(postings: pa.Table, chosen: pa.Table) -> pa.Table:
+        ids = chosen.column("question_id").to_pandas().to_numpy()
+        if not len(ids) or not postings.num_rows:
+            return chosen.select(["question_id"]).slice(0, 0).append_column(
+                "doc_id", postings.column("doc_ids").combine_chunks().flatten().slice(0, 0)
+            ).append_column("score", pa.array([], pa.float64()))
+        rows = np.full(len(asked), -1)
+        rows[place[ids].to_numpy()] = np.arange(len(ids))
+        word = pc.index_in(postings.column("term").combine_chunks(), known).to_numpy(zero_copy_only=False)
+        lists = postings.column("doc_ids").combine_chunks()
+        encoded = lists.flatten().dictionary_encode()
+        document, weight = encoded.indices.to_numpy(), postings.column("weights").combine_chunks().flatten().to_numpy()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        scores = np.zeros((len(ids), len(encoded.dictionary)))
+        at = np.full(len(vocabulary), -1)
+        for first in range(0, len(word), _TERMS_AT_ONCE):
+            part = word[first : first + _TERMS_AT_ONCE]
+            start, stop = ends[first - 1] if first else 0, ends[first + len(part) - 1]
+            sizes = np.diff(np.concatenate([[start], ends[first : first + len(part)]]))
+            width = scores.shape[1]
+            cell = np.repeat(np.arange(len(part)) * width, sizes) + document[start:stop]
+            # Rows of one id add up.
+            held = np.bincount(cell, weight[start:stop], len(part) * width).reshape(len(part), width)
+            at[:] = -1
+            at[part] = np.arange(len(part))
+            used = (at[codes] >= 0) & (rows[numbers] >= 0)
+            use = np.zeros((len(ids), len(part)))
+            use[rows[numbers[used]], at[codes[used]]] = shares[used]
+            scores += use @ held
+        scores = np.round(scores, SCORE_DIGITS) + 0.0
+        # Documents that score nothing are filled up by their ids.
+        best = keep(None, ids, encoded.dictionary.to_pandas().to_numpy(), np.where(scores > 0, scores, -np.inf), k)
+        return pa.Table.from_pandas(best, preserve_index=False)
+
+    return run
+
+
+def _block_best(chosen: DataFrame, postings: DataFrame, terms: pd.DataFrame, k: int, kinds: str) -> DataFrame:
+    """(question_id, doc_id, score) of the best documents in the chosen (question_id, block).
+
+    A block's postings meet all its questions in one group, so an entry is moved once, however many
+    questions use its term, and k rows per question and block come out."""
+    needed = F.broadcast(chosen.select("block").distinct())
+    entries = postings.join(needed, "block", "left_semi").select(
+        "block", "term", F.col("entries.doc_id").alias("doc_ids"), F.col("entries.weight").alias("weights")
     )
-    return hits.groupBy("question_id", "doc_id").agg(F.sum(F.col("share") * F.col("weight")).alias("score"))
+    grouped = entries.groupBy("block").cogroup(chosen.where("question_id IS NOT NULL").groupBy("block"))
+    found = grouped.applyInArrow(_block_topk(terms, k), kinds)
+    return _best(found.groupBy("question_id", "doc_id").agg(F.sum("score").alias("score")), k)
 
 
 def _search(
@@ -151,7 +204,17 @@ def _search(
     promising = Window.partitionBy("question_id").orderBy(F.desc("bound"), "block")
     ranked = bounds.withColumn("place", F.row_number().over(promising))
     first = settle(ranked.where(F.col("place") <= first_blocks), "first-blocks")
-    best = settle(_best(_scores(first.select("question_id", "block"), postings, weights), k), "first-scores")
+    # Bounded by the words of a batch.
+    held = weights.where("question_id IS NOT NULL").select("question_id", "term", "share").toPandas()
+    kinds = ", ".join(
+        f"{name} {kind.simpleString()}"
+        for name, kind in (
+            ("question_id", questions.schema["question_id"].dataType),
+            ("doc_id", postings.schema["entries"].dataType.elementType["doc_id"].dataType),
+            ("score", T.DoubleType()),
+        )
+    )
+    best = settle(_block_best(first.select("question_id", "block"), postings, held, k, kinds), "first-scores")
     threshold = best.groupBy("question_id").agg(
         F.min(F.when(F.col("rank") == k, F.col("score"))).alias("threshold")
     )
@@ -162,7 +225,7 @@ def _search(
         .select("question_id", "block")
     )
     rest = settle(rest, "rest-blocks")
-    others = _best(_scores(rest, postings, weights), k)
+    others = _block_best(rest, postings, held, k, kinds)
     return best.unionByName(others).drop("rank"), first.count() + rest.count()
 
 

@@ -39,7 +39,7 @@ Scorer = Callable[[pa.RecordBatch], np.ndarray]
 # ── the k best of each task, then of all ─────────────────────────────────────────────────
 
 
-def _keep(
+def keep(
     best: pd.DataFrame | None, asked: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int
 ) -> pd.DataFrame:
     """The k best so far, joined by those among ``scores`` (questions x documents)."""
@@ -68,7 +68,7 @@ def _task_topk(asked: np.ndarray, scorer: Scorer, k: int):
                 part = batch.slice(start, step)
                 scores = np.round(scorer(part), SCORE_DIGITS) + 0.0
                 ids = part.column("doc_id").to_pandas().to_numpy()
-                best = _keep(best, asked, ids, scores, k)
+                best = keep(best, asked, ids, scores, k)
         if best is not None:
             yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 

@@ -129,6 +129,19 @@ def test_postings_skip_most_blocks_for_rare_words(spark, frame, tmp_path):
     assert search.read_blocks == 1 and search.all_blocks > 20
 
 
+def test_postings_come_out_of_a_block_as_the_best_of_each_question(spark, frame, tmp_path):
+    rows = [(i, None, None, None, f"common water house {'day ' * (i % 5)}n{i}") for i in range(300)]
+    index = spark.createDataFrame([(i, t) for i, *_, t in rows], "doc_id long, text string")
+    path = str(tmp_path / "postings")
+    build_postings(index, path, block_documents=1000)
+    asked = [(q, f"common water house day n{q}", None, None) for q in range(40)]
+    search = postings_topk(spark, path, frame(QUESTIONS, *asked), 3, first_blocks=1)
+    best = {row.question_id: row.doc_id for row in search.matches.where("rank = 1").collect()}
+    assert best == {q: q for q in range(40)} and search.matches.count() == 120
+    # No row per question and document.
+    assert "inline(entries" not in search.matches._jdf.queryExecution().toString()
+
+
 def test_postings_of_nothing(spark, frame, tmp_path):
     path = str(tmp_path / "postings")
     build_postings(spark.createDataFrame([], INDEX), path)
