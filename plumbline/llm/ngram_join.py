@@ -4,7 +4,8 @@ A document is the set of its word n-grams.  If two sets are similar enough, they
 among the first few of each under *any* order of all tokens.  Three orders are used.  All put
 tokens that are frequent in the corpus last, by one table; the others go by three different
 hashes.  A pair, but for those with a pivot, is verified only if it shares prefix tokens under all
-three.
+three.  So the first order goes first, and a document that shares no prefix token under it with one
+of nearly its size has no prefixes under the others.
 
 Equal sets are one class from the start.  For the components alone, groups of thousands of near
 copies need not make all pairs of their members: first every member of a large bucket is compared
@@ -164,12 +165,23 @@ def _describe(n: int) -> Callable:
     return run
 
 
-def _prefixes(n: int, percent: int, frequent, orders: int) -> Callable:
-    """Per document: id, size, digest and its first tokens under every order."""
+def _let_through(batches, bits: np.ndarray, wanted: bool = True):
+    """The rows whose ids the filter lets through, or all others."""
+    for batch in batches:
+        place = _place_of(batch.column(0).to_numpy(zero_copy_only=False))
+        chosen = ((bits[place >> 3] >> (place & 7)) & 1).astype(bool)
+        yield batch.filter(pa.array(chosen if wanted else ~chosen))
+
+
+def _prefixes(n: int, percent: int, frequent, orders: range, filters: list[tuple]) -> Callable:
+    """Per document that each filter lets through, or does not, as wanted: id, size, digest and its
+    first tokens under the orders."""
 
     def run(batches):
         table, ranks = frequent.value
         top = np.uint64(1 << 63)
+        for bits, wanted in filters:
+            batches = _let_through(batches, bits.value, wanted)
         for block in blocks(batches, "text"):
             hashes, offsets = shingles(find_words(block), n)
             rows = []
@@ -182,7 +194,7 @@ def _prefixes(n: int, percent: int, frequent, orders: int) -> Callable:
                 place[place == len(table)] = 0
                 often = np.flatnonzero(table[place] == tokens) if len(table) else []
                 firsts = []
-                for order in range(orders):
+                for order in orders:
                     keys = mix(tokens, 20 + order) >> np.uint64(1)
                     if len(often):
                         keys[often] = top + ranks[place[often]]
@@ -201,10 +213,10 @@ def _prefixes(n: int, percent: int, frequent, orders: int) -> Callable:
                     pa.array(_signed([row[3] for row in rows])),
                     *[
                         pa.ListArray.from_arrays(ends, np.concatenate([row[4][k] for row in rows]))
-                        for k in range(orders)
+                        for k in range(len(orders))
                     ],
                 ],
-                ["id", "n", "d1", "d2", *[f"p{k}" for k in range(orders)]],
+                ["id", "n", "d1", "d2", *[f"p{k}" for k in orders]],
             )
 
     return run
@@ -214,17 +226,11 @@ def _wanted_sets(n: int, bits) -> Callable:
     """Id and token set of the documents that the filter lets through."""
 
     def run(batches):
-        wanted = bits.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            place = (mix(ids.astype(np.int64).view(np.uint64), 31) % np.uint64(_FILTER_BITS)).astype(np.int64)
-            chosen = (wanted[place >> 3] >> (place & 7)) & 1
-            part = batch.filter(pa.array(chosen.astype(bool)))
-            for block in blocks(iter([part]), "text"):
-                sets = [tokens.tobytes() for tokens in _sets(block, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [block.batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"]
-                )
+        for block in blocks(_let_through(batches, bits.value), "text"):
+            sets = [tokens.tobytes() for tokens in _sets(block, n)]
+            yield pa.RecordBatch.from_arrays(
+                [block.batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"]
+            )
 
     return run
 
@@ -251,8 +257,8 @@ def _place_of(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64), 31) % np.uint64(_FILTER_BITS)).astype(np.int64)
 
 
-def _filter_of(spark: SparkSession, pairs: DataFrame):
-    """A bitmap of fixed size that lets all ids of the pairs through, and some others."""
+def _filter_of(spark: SparkSession, ids: DataFrame):
+    """A bitmap of fixed size that lets all ids in the columns through, and some others."""
 
     def places(batches):
         for batch in batches:
@@ -260,7 +266,7 @@ def _filter_of(spark: SparkSession, pairs: DataFrame):
                 found = np.unique(_place_of(column.to_numpy()))
                 yield pa.RecordBatch.from_arrays([pa.array(found)], ["place"])
 
-    numbered = pairs.select("a", "b").mapInArrow(places, "place long")
+    numbered = ids.mapInArrow(places, "place long")
     rows = (
         numbered.groupBy(F.floor(F.col("place") / _BITMAP_BITS).alias("part"))
         .agg(F.bitmap_construct_agg(F.col("place") % _BITMAP_BITS).alias("bits"))
@@ -417,31 +423,47 @@ def jaccard_join(
     sizes = described.where("kind = 0").select("id", "n", "d1", "d2")
     frequent = spark.sparkContext.broadcast(_frequent_table(described))
 
-    arrays = [f"p{k}" for k in range(orders)]
-    schema = "id long, n long, d1 long, d2 long, " + ", ".join(f"{c} array<long>" for c in arrays)
-    prefixes = texts.where("id is not null").mapInArrow(_prefixes(n, percent, frequent, orders), schema)
-    classes = prefixes.groupBy("d1", "d2", "n").agg(
-        F.min("id").alias("id"), *[F.first(c).alias(c) for c in arrays]
+    named = sizes.where("id is not null")
+    classes = settle(
+        named.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("owner"), F.count("*").alias("rows")),
+        "classes",
     )
-    numbered = [
-        F.expr(f"transform({c}, (t, i) -> named_struct('k', {k}, 'token', t, 'at', i))")
-        for k, c in enumerate(arrays)
-    ]
-    tokens = classes.select("id", "n", F.inline(F.flatten(F.array(*numbered))))
-    # Only sets of nearly equal size can be similar: a row stays if its neighbour by size is near.
+    # Prefixes are grouped only where a set has several rows.
+    repeated = classes.where("rows > 1")
+    copied = _filter_of(spark, named.join(repeated, ["d1", "d2", "n"], "left_semi").select("id"))
     bucket = Window.partitionBy("token", "k")
-    by_size = bucket.orderBy("n", "at", "id")
-    shared = settle(
-        tokens.withColumn("under", F.lag("n").over(by_size))
-        .withColumn("over", F.lead("n").over(by_size))
-        .withColumn("size", F.count("*").over(bucket))
-        .withColumn("pivot", F.min(F.struct("at", "id", "n")).over(bucket))
-        .where(f"100 * under >= {percent} * n or 100 * n >= {percent} * over")
-        .select("id", "n", "k", "token", "at", "size", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")),
-        "buckets",
-    )
+
+    known = texts.where("id is not null")
+
+    def buckets(chosen: range, filters: list[tuple]) -> DataFrame:
+        """The prefix tokens of one row per set that others of nearly its size have, too."""
+        arrays = [f"p{k}" for k in chosen]
+        schema = "id long, n long, d1 long, d2 long, " + ", ".join(f"{c} array<long>" for c in arrays)
+        alone, several = (
+            known.mapInArrow(_prefixes(n, percent, frequent, chosen, [*filters, (copied, wanted)]), schema)
+            for wanted in (False, True)
+        )
+        owned = several.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in arrays])
+        numbered = [
+            F.expr(f"transform({c}, (t, i) -> named_struct('k', {k}, 'token', t, 'at', i))")
+            for k, c in zip(chosen, arrays)
+        ]
+        tokens = alone.unionByName(owned).select("id", "n", F.inline(F.flatten(F.array(*numbered))))
+        # Only sets of nearly equal size can be similar: a row stays if its neighbour by size is near.
+        by_size = bucket.orderBy("n", "at", "id")
+        return settle(
+            tokens.withColumn("under", F.lag("n").over(by_size))
+            .withColumn("over", F.lead("n").over(by_size))
+            .withColumn("size", F.count("*").over(bucket))
+            .withColumn("pivot", F.min(F.struct("at", "id", "n")).over(bucket))
+            .where(f"100 * under >= {percent} * n or 100 * n >= {percent} * over")
+            .select("id", "n", "k", "token", "at", "size", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")),
+            "buckets",
+        )
+
+    shared = buckets(range(1), [])
     near_pivot = (
-        shared.where(f"size > {_LARGE_BUCKET} and k = 0 and id <> p")
+        shared.where(f"size > {_LARGE_BUCKET} and id <> p")
         .where(_enough("n", "at", "pn", "pat", percent))
         .select(F.col("p").alias("a"), F.col("id").alias("b"))
         .distinct()
@@ -449,6 +471,9 @@ def jaccard_join(
     first = _verified(texts, near_pivot, n, percent)
     found = settle(components(first), "components")
 
+    if orders > 1:
+        reached = _filter_of(spark, shared.select("id"))
+        shared = shared.unionByName(buckets(range(1, orders), [(reached, True)]))
     joined = (
         shared.join(found, "id", "left")
         .select("id", "n", "k", "token", "at", F.coalesce("component", "id").alias("component"))
@@ -471,8 +496,7 @@ def jaccard_join(
     )
     second = _verified(texts, candidates, n, percent)
 
-    named = sizes.where("id is not null")
-    owners = named.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("owner"))
+    owners = classes.select("d1", "d2", "n", "owner")
     owned = settle(named.join(owners, ["d1", "d2", "n"], "left").select("id", "n", "owner"), "owned")
     # An id with several texts joins the classes of all of them.
     holding = owned.where("owner is not null")

@@ -49,9 +49,9 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, [name for name, _ in fields]), ddl)
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once and read it back, so that later passes prune columns and a lost
     executor costs a re-read instead of the shuffles behind it."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

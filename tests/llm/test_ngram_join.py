@@ -153,3 +153,33 @@ def test_query_counts_the_links_of_each_component(spark):
     assert {r.doc_id: (r.component_id, r.n_links) for r in found} == {
         i: (c, counts.get(c, 0)) for i, c in component.items()
     }
+
+
+def test_only_documents_that_meet_others_have_prefixes_under_all_orders(spark, monkeypatch):
+    asked, prefixes = [], ngram_join._prefixes
+
+    def counted(n, percent, frequent, orders, filters):
+        asked.append((list(orders), len(filters)))
+        return prefixes(n, percent, frequent, orders, filters)
+
+    monkeypatch.setattr(ngram_join, "_prefixes", counted)
+    base = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    rows = [(i, text) for i, text in enumerate(base)] + [(40, base[3] + " y"), (41, base[5]), (42, base[5])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    # The first order for all, alone or copied; the others for what the first lets through.
+    assert asked == [([0], 1), ([0], 1), ([1, 2], 2), ([1, 2], 2)]
+
+
+def test_filters_let_their_rows_through():
+    import pyarrow as pa
+
+    ids = np.arange(0, 4000, 7)
+    bits = np.zeros(ngram_join._FILTER_BITS // 8, np.uint8)
+    place = ngram_join._place_of(ids[::3])
+    np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
+    inside, outside = (
+        [i for part in ngram_join._let_through([batch], bits, wanted) for i in part.column(0).to_pylist()]
+        for wanted in (True, False)
+    )
+    assert set(ids[::3]) <= set(inside) and sorted(inside + outside) == list(ids)
