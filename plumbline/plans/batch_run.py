@@ -35,6 +35,9 @@ from plumbline.sources.writers import (
 from plumbline.storage import settle
 
 FILE = "__file"
+# Bytes of a row group of the stored batch: a few large files are read by a task each, later passes
+# by many.
+ROW_GROUP = 4 << 20
 
 
 @dataclass
@@ -78,7 +81,7 @@ def run_quality_batch(
         return BatchRun(spark.createDataFrame([], "filename string"), None, {}, {})
     numbers = spark.createDataFrame(list(zip(paths, range(len(paths)))), f"{FILE} string, {GROUP} int")
     # Read and typed once; the passes take their columns from here.
-    numbered = settle(df.join(F.broadcast(numbers), FILE).drop(FILE), "batch")
+    numbered = settle(df.join(F.broadcast(numbers), FILE).drop(FILE), "batch", row_group=ROW_GROUP)
     profile = fit_grouped_profile(normalize_missing(numbered, key), key, limits)
     before = {row[GROUP]: row for row in _scored(grouped_metrics(profile), scorer)}
     cleaned = {part for part, row in before.items() if needs_cleaning(row.trust_score, threshold)}

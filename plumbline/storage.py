@@ -49,9 +49,17 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, [name for name, _ in fields]), ddl)
 
 
-def settle(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def settle(
+    df: DataFrame, label: str, compression: str = "snappy", row_group: int | None = None
+) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes prune columns and a lost
-    executor costs a re-read instead of the shuffles behind it."""
+    executor costs a re-read instead of the shuffles behind it.
+
+    A task reads no less than a row group.  Where few tasks write much, ``row_group`` bytes at
+    most let many tasks read it."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    writer = df.write.option("compression", compression)
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

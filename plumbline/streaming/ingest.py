@@ -33,9 +33,10 @@ def landing_stream(
         reader = reader.option("header", True).option("escape", '"')
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    # A path is escaped like a web address.
+    # A path is escaped like a web address; most have nothing to decode, row by row.
     path = F.col("_metadata.file_path")
-    return reader.load(folder).withColumn(FILE, F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path))
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return reader.load(folder).withColumn(FILE, F.when(path.contains("%"), decoded).otherwise(path))
 
 
 def ingest(

@@ -204,3 +204,38 @@ def test_grouped_metrics_of_no_usable_fence(spark):
     df = spark.createDataFrame([(0, 1.0, "x"), (1, None, None)], f"{GROUP} int, v double, t string")
     found = {row[GROUP]: row for row in grouped_metrics(fit_grouped_profile(df)).collect()}
     assert found[0].outlier_pct == 0.0 and found[1].missing_pct == 100.0
+
+
+def test_large_file_is_shared_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A file of one row group is read by one task, the batch that is stored from it by several."""
+    from plumbline.plans import batch_run
+
+    folder, seen = str(tmp_path / "one"), []
+    fit = batch_run.fit_grouped_profile
+    monkeypatch.setattr(batch_run, "ROW_GROUP", 1 << 14, raising=False)
+    monkeypatch.setattr(batch_run, "fit_grouped_profile", lambda table, *rest: seen.append(table) or fit(table, *rest))
+    spark.range(0, 40_000, 1, 1).select("id", F.rand(1).alias("v")).write.parquet(folder)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = spark.read.parquet(folder).withColumn(FILE, F.lit("/x/one.parquet"))
+        done = run_quality_batch(df, scorer="formula", threshold=0.0)
+        busy = seen[0].groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (row,) = done.results.collect()
+    assert row.before.total_rows == sum(part["count"] for part in busy) == 40_000
+    assert len(busy) > 3
+
+
+def test_names_of_landed_files_are_decoded(spark, tmp_path):
+    names = ["plain.parquet", "with space.parquet", "per%20cent.parquet", "plus+sign.parquet", "ümlaut + %.parquet"]
+    spark.range(1).coalesce(1).write.parquet(str(tmp_path / "source"))
+    (source,) = (tmp_path / "source").glob("*.parquet")
+    (tmp_path / "landing").mkdir()
+    for name in names:
+        (tmp_path / "landing" / name).write_bytes(source.read_bytes())
+    found = []
+    stream = landing_stream(spark, str(tmp_path / "landing"), spark.range(1).schema)
+    writer = stream.writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect()))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(row[FILE].rpartition("/")[2] for row in found) == sorted(names)
