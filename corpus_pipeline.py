@@ -15,7 +15,7 @@ from plumbline.llm.ngram_join import jaccard_join
 from plumbline.llm.pieces import encode, load_model
 from plumbline.llm.pii import fit_field, redact
 from plumbline.llm.quality import assess, trusted_ids
-from plumbline.llm.rows import with_row_keys
+from plumbline.llm.rows import with_row_keys, without_rows
 from plumbline.storage import settle
 
 # Five-word shingles and a similarity of 0.8 make near duplicates.
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = with_row_keys(docs, ROW)
     members = jaccard_join(keyed, id_column=ROW, n=SHINGLE_WORDS, percent=SIMILARITY).members
     gone = members.where("id <> component").select(F.col("id").alias(ROW))
-    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
+    return without_rows(keyed, gone, ROW).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts = keyed.select(F.col(ROW).alias("doc_id"), "text")
     found = contamination(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias(ROW))
-    return keyed.join(hit, ROW, "left_anti").select(docs.columns)
+    return without_rows(keyed, hit, ROW).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from plumbline.storage import settle
 
 _FAR = 1 << 62
+# Keys that every task holds at once; about 50 bytes each.
+KEYS_AT_ONCE = 1 << 21
 
 
 def with_row_keys(docs: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
@@ -36,3 +38,13 @@ def with_row_keys(docs: DataFrame, name: str, id_column: str = "doc_id") -> Data
         docs.join(repeated, ident == F.col("__repeated"), "left_semi")
     )
     return alone.withColumn(name, ident).unionByName(settle(others.withColumn(name, beyond), "row-keys"))
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``keyed`` without the rows whose key ``name`` is in ``gone``.
+
+    These keys are written once.  As many as a task can hold go to the rows, so that no text is
+    shuffled; only more than that are joined by a shuffle."""
+    gone = settle(gone.select(name), "gone-keys")
+    few = gone.count() <= KEYS_AT_ONCE
+    return keyed.join(F.broadcast(gone) if few else gone, name, "left_anti")

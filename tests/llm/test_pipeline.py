@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import BASE, empty, from_files, messy
 from test_decontaminate import brute as contaminated
@@ -103,3 +104,23 @@ def test_messy_rows_through_every_stage(spark, make):
             docs = after
     assert after.count() == docs.count()
     assert make is empty or after.count() > 0
+
+
+@pytest.mark.parametrize("stage", [pipeline.near_duplicates, pipeline.decontamination])
+def test_dropping_rows_moves_no_text(spark, monkeypatch, stage):
+    """The few keys go to the rows; more than a task may hold are shuffled, with the same result."""
+    from plumbline.llm import rows
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = stage(spark, docs, SF)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        few = sorted(few.collect())
+        monkeypatch.setattr(rows, "KEYS_AT_ONCE", -1)
+        many = stage(spark, docs, SF)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert few == sorted(many.collect()) and 0 < len(few) < docs.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
