@@ -1,6 +1,6 @@
 """Benchmark decontamination through a distributed positional inverted index.
 
-The index is a written table, one row per block of about 1 MB of text: the block's documents,
+The index is a written table, one row per block of about half a MB of text: the block's documents,
 its sorted terms, and for each term the positions of its occurrences.  Blocks never share a
 document, so postings lists of one block are intersected where they lie and nothing of the
 corpus is shuffled.  A phrase starts from the term that is rarest in the whole corpus; the lists
@@ -26,6 +26,8 @@ from plumbline.storage import settle
 WINDOW = 10
 # Phrases that every task holds at once; about 100 bytes each.
 PHRASES_AT_ONCE = 200_000
+# Text bytes of a block, and bytes of a row group of the index: what a task holds of them at once.
+INDEX_BLOCK, INDEX_ROW_GROUP = 1 << 19, 4 << 20
 
 _INDEX = "block long, ids array<long>, firsts array<int>, terms binary, counts binary, postings binary"
 _MATCHES = "block long, place int, phrase long, start int, stop int"
@@ -53,7 +55,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", INDEX_BLOCK):
             words = find_words(block, "alnum")
             order = np.argsort(words.hashes, kind="stable").astype(np.uint32)
             sorted_terms = words.hashes[order]
@@ -71,7 +73,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 ["block", "ids", "firsts", "terms", "counts", "postings"],
             )
 
-    return PhraseIndex(settle(texts.mapInArrow(run, _INDEX), "postings"))
+    rows = texts.mapInArrow(run, _INDEX)
+    return PhraseIndex(settle(rows, "postings", row_group=INDEX_ROW_GROUP, large_rows=True))
 
 
 def phrases_of(

@@ -50,16 +50,24 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 
 def settle(
-    df: DataFrame, label: str, compression: str = "snappy", row_group: int | None = None
+    df: DataFrame,
+    label: str,
+    compression: str = "snappy",
+    row_group: int | None = None,
+    large_rows: bool = False,
 ) -> DataFrame:
     """Write ``df`` once and read it back, so that later passes prune columns and a lost
     executor costs a re-read instead of the shuffles behind it.
 
     A task reads no less than a row group.  Where few tasks write much, ``row_group`` bytes at
-    most let many tasks read it."""
+    most let many tasks read it.  Parquet looks at the size of a row group and of a page after a
+    hundred rows; ``large_rows`` lets it look after each, so that rows of a MB do not make a page,
+    and buffers of that size, of all that a task writes."""
     path = new_path(df.sparkSession, label)
     writer = df.write.option("compression", compression)
     if row_group:
         writer = writer.option("parquet.block.size", row_group)
+    if large_rows:
+        writer = writer.option("parquet.page.size.row.check.min", 1)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

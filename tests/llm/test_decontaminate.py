@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from helpers import LOWER, empty, messy
@@ -67,6 +68,19 @@ def test_in_small_batches_of_phrases(spark, monkeypatch):
     check(spark, *made(2, 60))
 
 
+def test_no_task_holds_all_that_another_wrote(spark):
+    # 10 MB of text written by one task: no row group, and so no page, has more than a few blocks.
+    some = "concat_ws(' ', transform(sequence(1, 20000), k -> cast(pmod(hash(id, k), 90000) as string)))"
+    docs = spark.range(0, 90, 1, 1).selectExpr("id as doc_id", f"{some} as text")
+    index = dc.build_index(docs)
+    sizes = []
+    for path in index.table.inputFiles():
+        footer = pq.ParquetFile(path.removeprefix("file://")).metadata
+        sizes += [footer.row_group(k).total_byte_size for k in range(footer.num_row_groups)]
+    assert sum(sizes) > 2 * max(sizes) and max(sizes) < 6 << 20
+    assert index.documents().where("n_words = 20000").count() == 90
+
+
 def test_awkward_rows(spark):
     docs = [(r.doc_id, r.text) for r in messy(spark).collect()]
     items = [(1, "quick brown fox jumps over the lazy dog and runs far"), (10, "two"), (9, None), (8, ""), (2, "..."), (None, "long long")]
